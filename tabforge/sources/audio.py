@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,12 +39,13 @@ def audio_mfcc(files: DataFrame, *, sample_rate: int = 22050, n_mfcc: int = 13,
     names = [f"mfcc_{i}" for i in range(n_mfcc)]
 
     def load(batches: Iterable[pd.DataFrame]):
+        bank, basis = mel_bank(sample_rate), dct_rows(n_mfcc)
         for batch in batches:
             feats = np.full((len(batch), n_mfcc), np.nan)
             for i, (ext, blob) in enumerate(zip(batch["suffix"], batch["content"])):
                 try:
                     samples, rate = known[ext](bytes(blob))
-                    feats[i] = mean_mfcc(resample(mono(samples), rate, sample_rate), sample_rate, n_mfcc)
+                    feats[i] = mean_mfcc(resample(mono(samples), rate, sample_rate), bank, basis)
                 except Exception:  # unreadable: the row stays NaN
                     continue
             out = pd.DataFrame(feats, columns=names)
@@ -123,8 +123,7 @@ def _hz(mel):
     return np.where(mel < 15, mel * 200 / 3, 1000 * np.exp((mel - 15) * np.log(6.4) / 27))
 
 
-@lru_cache(maxsize=8)
-def _mel_bank(rate: int) -> np.ndarray:
+def mel_bank(rate: int) -> np.ndarray:
     """Triangular filters of equal area, evenly spaced on the mel scale."""
     edges = _hz(np.linspace(_mel(0.0), _mel(rate / 2), N_MELS + 2))
     freqs = np.fft.rfftfreq(N_FFT, 1 / rate)
@@ -134,26 +133,24 @@ def _mel_bank(rate: int) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)) * 2 / (right - left)
 
 
-@lru_cache(maxsize=8)
-def _dct_rows(n: int) -> np.ndarray:
+def dct_rows(n: int) -> np.ndarray:
     k = np.arange(n)[:, None]
     rows = np.cos(np.pi * k * (2 * np.arange(N_MELS) + 1) / (2 * N_MELS)) * np.sqrt(2 / N_MELS)
     rows[0] /= np.sqrt(2)
     return rows
 
 
-def mean_mfcc(y: np.ndarray, rate: int, n_mfcc: int) -> np.ndarray:
+def mean_mfcc(y: np.ndarray, bank: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Cepstral coefficients averaged over all frames of the signal."""
     if len(y) == 0:
         raise ValueError("no samples")
     padded = np.pad(y, N_FFT // 2)
     frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
-    bank = _mel_bank(rate).T
     power = np.concatenate([
-        np.abs(np.fft.rfft(frames[i:i + _BLOCK] * window)) ** 2 @ bank
+        np.abs(np.fft.rfft(frames[i:i + _BLOCK] * window)) ** 2 @ bank.T
         for i in range(0, len(frames), _BLOCK)
     ])
     db = 10 * np.log10(np.maximum(power, 1e-10))
     db = np.maximum(db, db.max() - TOP_DB)
-    return _dct_rows(n_mfcc) @ db.mean(axis=0)
+    return basis @ db.mean(axis=0)
