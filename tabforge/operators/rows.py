@@ -63,6 +63,21 @@ def chunk_of(row_index: Column, chunk_size: int) -> Column:
     return F.floor(row_index / chunk_size)
 
 
+def rank_in_groups(df: DataFrame, by: Sequence[str], order_by: Sequence[str],
+                   rank: str = "rank") -> DataFrame:
+    """1-based position of each row inside its group, in key order.
+
+    Positions come from one global range sort, so a group of any size is
+    spread over tasks; a group's first position is subtracted afterwards.
+    """
+    indexed = with_row_index(df, [*by, *order_by], "__row")
+    starts = indexed.groupBy(*by).agg(F.min("__row").alias("__start"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    joined = indexed.alias("a").join(starts.alias("b"), same)
+    return joined.select(*[f"a.{c}" for c in df.columns],
+                         (F.col("__row") - F.col("__start") + 1).alias(rank))
+
+
 def _as_list(order_by) -> list[str]:
     if order_by is None:
         return []

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions import text as X
 from tabforge.operators.metrics import higher_is_better
 from tabforge.operators.profile import HIGH_NULL_PCT
+from tabforge.operators.rows import rank_in_groups
 
 # States that count as done, the state of a node without a log
 # row, the insight bounds, and the model folders of each algorithm.
@@ -73,9 +74,10 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def leaderboard(metrics: DataFrame, by: Sequence[str] = ("run_name", "metric")) -> DataFrame:
     """Models ranked within each run and metric, best first, ties by name."""
-    signed = F.when(higher_is_better(F.col("metric")), F.col("value")).otherwise(-F.col("value"))
-    order = Window.partitionBy(*by).orderBy(signed.desc_nulls_last(), "plugin_name")
-    return metrics.withColumn("rank", F.row_number().over(order))
+    cost = F.when(higher_is_better(F.col("metric")), -F.col("value")).otherwise(F.col("value"))
+    # A model without a value comes last.
+    costed = metrics.withColumn("__cost", F.coalesce(cost, F.lit(float("inf"))))
+    return rank_in_groups(costed, by, ["__cost", "plugin_name"]).drop("__cost")
 
 
 def best_model(metrics: DataFrame, metric: str = "f1") -> DataFrame:
@@ -115,25 +117,26 @@ def insights(metrics: DataFrame, importance: DataFrame, profile: DataFrame) -> D
     return low.unionByName(dominant).unionByName(nulls)
 
 
+_MODEL_PATH = r"([^/]+)/artifacts/([^/]+)_model/"
+
+
 def model_catalog(files: DataFrame) -> DataFrame:
     """Trained models of all runs, from their metadata files (path, metadata JSON).
 
-    A path ends in ``<run>/artifacts/<folder>_model/<file>``.
+    The path holds ``<run>/artifacts/<folder>_model/``.
     """
-    parts = F.split("path", "/")
-    folder = F.regexp_replace(F.element_at(parts, -2), "_model$", "")
+    path = F.col("path")
     meta = F.from_json("metadata", "task string, features array<string>, X_cols array<string>")
-    rows = files.where(F.col("path").rlike(r"/artifacts/[^/]+_model/[^/]+$"))
-    rows = rows.withColumn("__folder", folder).withColumn("__meta", meta)
+    rows = files.where(path.rlike(_MODEL_PATH)).withColumn("__meta", meta)
     cols = F.coalesce("__meta.X_cols", "__meta.features")
-    plugin = _plugin_of(F.col("__folder"))
+    plugin = _plugin_of(F.regexp_extract(path, _MODEL_PATH, 2))
     return rows.select(
-        F.element_at(parts, -4).alias("run_name"),
+        F.regexp_extract(path, _MODEL_PATH, 1).alias("run_name"),
         F.concat(F.lit("train_"), plugin).alias("node_id"),
         plugin.alias("plugin_name"),
         F.coalesce(F.col("__meta.task"), F.lit("unknown")).alias("task"),
         F.coalesce(F.size(cols), F.lit(0)).alias("n_features"),
-        F.col("path").alias("artifact_path"),
+        path.alias("artifact_path"),
     )
 
 
