@@ -133,20 +133,30 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, *,
 
 
 def bounded_distinct(df: DataFrame, column: str, at_most: int) -> int:
-    """Exact number of distinct present values, or ``at_most + 1`` when there are more.
+    """Exact number of distinct present values, or ``at_most + 1`` when there are more."""
+    return bounded_distincts(df, [column], at_most)[column]
 
-    The first pass is a small sketch.  With at most 20 values over 512
-    registers its estimate is 512 * ln(512 / 492) = 20.4 or less, so an
-    estimate above the bound proves the bound is exceeded.  Only then-possible
-    small sets are counted exactly, which shuffles a few values per task.
+
+def bounded_distincts(df: DataFrame, columns: Iterable[str], at_most: int) -> dict[str, int]:
+    """The same for several columns, in two passes over the table.
+
+    The first pass is a small sketch per column.  With at most 20 values over
+    512 registers its estimate is 512 * ln(512 / 492) = 20.4 or less, so an
+    estimate above the bound proves the bound is exceeded.  Only columns that
+    may still be small are counted exactly; they shuffle few values per task.
     """
-    value = present(column, df.schema[column].dataType)
-    if at_most <= 20:
-        estimate = df.agg(F.approx_count_distinct(value, 0.05).alias("n")).first().n
-        if estimate > at_most:
-            return at_most + 1
-    exact = df.agg(F.count_distinct(value).alias("n")).first().n
-    return min(exact, at_most + 1)
+    if at_most > MAX_INTEGER_CLASSES:
+        raise ValueError(f"the bound must be {MAX_INTEGER_CLASSES} or less")
+    values = {c: present(c, df.schema[c].dataType) for c in columns}
+    names = list(values)
+    estimates = df.agg(*[F.approx_count_distinct(values[c], 0.05).alias(f"n{i}")
+                         for i, c in enumerate(names)]).first()
+    out = {c: at_most + 1 for c in names}
+    small = [c for i, c in enumerate(names) if estimates[i] <= at_most]
+    if small:
+        exact = df.agg(*[F.count_distinct(values[c]).alias(f"n{i}") for i, c in enumerate(small)]).first()
+        out |= {c: min(exact[i], at_most + 1) for i, c in enumerate(small)}
+    return out
 
 
 def detect_target(df: DataFrame, *, sample_rows: int | None = None,
@@ -201,10 +211,9 @@ def task_from_count(data_type: T.DataType, n_distinct: int, max_classes: int | N
 
 def task_types(df: DataFrame, labels: Iterable[str]) -> DataFrame:
     """Distinct count (capped at 21) and task of several label columns."""
-    rows = []
-    for label in labels:
-        n = bounded_distinct(df, label, MAX_INTEGER_CLASSES)
-        rows.append((label, n, task_from_count(df.schema[label].dataType, n, MAX_INTEGER_CLASSES)))
+    counts = bounded_distincts(df, labels, MAX_INTEGER_CLASSES)
+    rows = [(label, n, task_from_count(df.schema[label].dataType, n, MAX_INTEGER_CLASSES))
+            for label, n in counts.items()]
     return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct bigint, task string")
 
 
