@@ -44,8 +44,7 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
     else:
         best = F.array_position(SCORES, F.array_max(SCORES)).cast("int")
         scored = scored.withColumn("__p", F.element_at(F.array(*[F.lit(v) for v in model.labels]), best))
-    pos = model.labels[-1] if model.labels else None
-    values = evaluate(scored, "__y", "__p", model.task, pos_label=pos, by=("feature",))
+    values = evaluate(scored, "__y", "__p", model.task, pos_label=model.pos_label, by=("feature",))
     values = values.where(F.col("metric") == metric).select("feature", "value")
     # One row: the metric of the unchanged rows.
     before = values.where(F.col("feature") == "").select(F.col("value").alias("before"))

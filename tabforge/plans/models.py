@@ -17,7 +17,7 @@ from tabforge.functions import workspace
 from tabforge.functions.types import is_numeric
 from tabforge.operators.metrics import evaluate
 from tabforge.operators.profile import REGRESSION
-from tabforge.operators.runs import MODEL_FOLDERS, model_catalog
+from tabforge.operators.runs import MODEL_FOLDERS, best_model, model_catalog
 
 # Internal columns, prefixed so they never meet a user's column.
 FEATURES, LABEL, SCORES = "__features", "__label", "__scores"
@@ -47,6 +47,13 @@ class TrainedModel:
     def is_classifier(self) -> bool:
         return self.task != REGRESSION
 
+    @property
+    def pos_label(self):
+        """Class that counts as positive: 1 when it occurs, else the largest."""
+        if not self.labels:
+            return None
+        return 1 if 1 in self.labels else self.labels[-1]
+
     @property
     def n_trees(self) -> int:
         return sum(getattr(m, "getNumTrees", 0) for m in self.members)
@@ -244,7 +251,19 @@ def importance_frame(spark: SparkSession, importance: dict[str, float]) -> DataF
 def evaluate_model(model: TrainedModel, df: DataFrame) -> DataFrame:
     """Metrics of the model on a table that has its trained target column."""
     return evaluate(predict(model, df, output="__prediction"), model.target, "__prediction",
-                    model.task, pos_label=model.labels[-1] if model.labels else None)
+                    model.task, pos_label=model.pos_label)
+
+
+def training_log(spark: SparkSession, model: TrainedModel) -> DataFrame:
+    """Objective per training step, for freshly trained models that record it."""
+    rows = []
+    for member in model.members:
+        last = member.stages[-1] if isinstance(member, PipelineModel) else member
+        if getattr(last, "hasSummary", False):
+            summary = last.summary() if callable(last.summary) else last.summary
+            history = list(summary.objectiveHistory)
+            rows += [(i, len(history), float(v)) for i, v in enumerate(history, start=1)]
+    return spark.createDataFrame(rows, "epoch int, epochs int, objective double")
 
 
 # --- storage --------------------------------------------------------------------------
@@ -280,6 +299,28 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
     return TrainedModel(members=members, **meta)
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """A small result (profile, ranking, metrics, receipt) as one JSON file."""
+    df.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def publish_best(spark: SparkSession, project: str, metrics: DataFrame, metric: str = "f1") -> DataFrame:
+    """Point each run's export record at its best saved model; the records are returned.
+
+    ``metrics`` has (run_name, plugin_name, metric, value) rows.
+    """
+    rows = []
+    for r in best_model(metrics, metric).collect():
+        path = model_dir(project, r.run_name, r.plugin_name)
+        if not workspace.path_exists(spark, path):
+            raise FileNotFoundError(path)
+        record = spark.createDataFrame([("spark", path, r.plugin_name)],
+                                       "format string, path string, plugin string")
+        write_report(record, f"{project.rstrip('/')}/runs/{r.run_name}/artifacts/export_meta")
+        rows.append((r.run_name, "spark", path, r.plugin_name))
+    return spark.createDataFrame(rows, "run_name string, format string, path string, plugin string")
+
+
 def scan_models(spark: SparkSession, project: str) -> DataFrame:
     """Catalog of the models saved under all runs of a project."""
     pattern = f"{project.rstrip('/')}/runs/*/artifacts/*_model/metadata"

@@ -6,15 +6,15 @@ from dataclasses import replace
 
 from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.ml.functions import vector_to_array
 from pyspark.storagelevel import StorageLevel
 
 from tabforge.functions.workspace import cut_lineage
-from tabforge.plans.models import FEATURES, LABEL, TrainedModel, design
-from tabforge.plans.training import fit_forest
+from tabforge.plans.models import FEATURES, LABEL, TrainedModel, design, load_model, model_dir, save_model
+from tabforge.plans.training import BOOSTING_PRESETS, fit_forest
 
 _MARGIN, _RESIDUAL, _STEP = "__margin", "__residual", "__step"
 
@@ -54,6 +54,25 @@ def update_boosted(model: TrainedModel, df: DataFrame, n_estimators: int = 50,
     return replace(model, members=members, params={**model.params, "learning_rate": rate})
 
 
+def update_saved_model(spark: SparkSession, project: str, plugin: str, source_run: str, new_run: str,
+                       df: DataFrame, *, n_estimators: int = 50,
+                       learning_rate: float | None = None) -> DataFrame:
+    """Continue a saved model on new rows and save the result under a new run.
+
+    The source run's model stays as it is.  Returns the receipt.
+    """
+    model = load_model(spark, model_dir(project, source_run, plugin))
+    if plugin == "random_forest":
+        newer = update_forest(model, df, n_estimators)
+    elif plugin in BOOSTING_PRESETS:
+        newer = update_boosted(model, df, n_estimators, learning_rate)
+    else:
+        raise ValueError(f"{plugin} models cannot be updated")
+    path = save_model(spark, newer, model_dir(project, new_run, plugin))
+    return spark.createDataFrame([(plugin, source_run, path)],
+                                 "plugin_name string, source_run string, updated_artifact_path string")
+
+
 def _boost(base, rows: DataFrame, model: TrainedModel, rounds: int, rate: float, every: int):
     """Fit trees to the loss gradient at the current margin, one per round.
 
