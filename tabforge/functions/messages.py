@@ -72,7 +72,12 @@ def _kind(parsed: Column, head: Column) -> Column:
 
 
 def _key_path(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """Path of a top-level key; a variant path has no escapes, only two quotes."""
+    if "'" not in key:
+        return f"$['{key}']"
+    if '"' not in key:
+        return f'$["{key}"]'
+    raise ValueError(f"key {key!r} holds both kinds of quotes")
 
 
 def explode_messages(df: DataFrame, column: str, fields: Mapping[str, str]) -> DataFrame:

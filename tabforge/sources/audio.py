@@ -57,7 +57,9 @@ def audio_mfcc(files: DataFrame, *, sample_rate: int = 22050, n_mfcc: int = 13,
         X.plain_path(path).alias("path"), X.suffix(path).alias("suffix"), "content")
     rows = kept.mapInPandas(load, "audio_path string, " + ", ".join(f"{n} double" for n in names))
     label = [X.parent_name(F.col("audio_path")).alias("label")] if label_from_dir else []
-    return rows.select("audio_path", X.file_name(F.col("audio_path")).alias("filename"), *label, *names)
+    # Pandas has one missing value: what comes back null was NaN.
+    values = [F.coalesce(n, F.lit(float("nan"))).alias(n) for n in names]
+    return rows.select("audio_path", X.file_name(F.col("audio_path")).alias("filename"), *label, *values)
 
 
 def wav_samples(blob: bytes) -> tuple[np.ndarray, int]:
