@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.registered.base import query, table
 from tabforge.sources.audio import audio_mfcc
@@ -17,7 +18,7 @@ from tabforge.sources.images import image_metadata
 RATE = 22050
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def png_bytes(embedding: pd.Series, rgb: pd.Series) -> pd.Series:
     """Each vector as a small grey or colour image."""
     def chunk(name: bytes, data: bytes) -> bytes:
@@ -52,7 +53,7 @@ def images(spark, sf_dir):
     return image_metadata(files)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_bytes(embedding: pd.Series) -> pd.Series:
     """Each vector as a tenth of a second of sound: one tone per component."""
     t = np.arange(RATE // 10) / RATE

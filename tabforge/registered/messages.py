@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabforge.functions.messages import explode_messages, extract_records, parse_messages
 from tabforge.registered.base import query, table
@@ -120,7 +121,7 @@ def extract_documents(spark, sf_dir):
     return rows.select(_doc_id(), "page", "total_pages", "char_count", "text", "label")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def docx_bytes(text: pd.Series) -> pd.Series:
     """Word files with one paragraph per line."""
     head = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
