@@ -18,21 +18,27 @@ def message_text(c: Column, data_type: T.DataType) -> Column:
     return F.make_valid_utf8(c.cast("string")) if isinstance(data_type, T.BinaryType) else c
 
 
-def strict_json(text: Column) -> Column:
-    """Variant of the whole text, null unless all of it is one JSON value.
+def with_json(df: DataFrame, text: Column, out: str = "__json") -> DataFrame:
+    """Add the text as ``__text`` and its variant, null unless all of it is one JSON value.
 
     Spark's parser stops after the first value.  The text is therefore parsed
     as the first item of a two-item array whose second item is the text's own
-    hash: anything left over breaks the array or displaces the hash.
+    hash: anything left over breaks the array or displaces the hash.  Steps
+    that are used twice are columns of their own, so each runs once per row.
     """
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    whole = F.try_variant_get(pair, "$[1]", "bigint") == mark
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    mark = F.xxhash64("__text")
+    pair = F.try_parse_json(F.concat(F.lit("["), "__text", F.lit(","), F.col("__mark").cast("string"), F.lit("]")))
+    whole = F.try_variant_get("__pair", "$[1]", "bigint") == F.col("__mark")
+    return (
+        df.withColumn("__text", text).withColumn("__mark", mark).withColumn("__pair", pair)
+        .withColumn(out, F.when(whole, F.try_variant_get("__pair", "$[0]", "variant")))
+        .drop("__mark", "__pair")
+    )
 
 
 def leading_char(text: Column) -> Column:
-    return F.regexp_extract(text, r"^[ \t\n\r]*(\S)", 1)
+    """First character after JSON white space."""
+    return F.substring(F.ltrim(text, F.lit(" \t\n\r")), 1, 1)
 
 
 def _value_text(v: Column) -> Column:
@@ -49,11 +55,7 @@ def parse_messages(df: DataFrame, column: str, fields: Mapping[str, str], *,
     A null message keeps kind ``raw`` with null text; JSON ``null`` is a value.
     """
     text = message_text(F.col(column), df.schema[column].dataType)
-    decoded = (
-        df.withColumn("__text", text)
-        .withColumn("__json", strict_json(F.col("__text")))
-        .withColumn("__head", leading_char(F.col("__text")))
-    )
+    decoded = with_json(df, text).withColumn("__head", leading_char(F.col("__text")))
     kind = _kind(F.col("__json"), F.col("__head"))
     obj = F.when(F.col("kind") == "object", F.col("__json"))
     out = decoded.withColumn("kind", kind)
@@ -88,12 +90,9 @@ def explode_messages(df: DataFrame, column: str, fields: Mapping[str, str]) -> D
     """
     text = message_text(F.col(column), df.schema[column].dataType)
     keep = [c for c in df.columns if c != column]
-    decoded = (
-        df.withColumn("__text", text)
-        .withColumn("__json", strict_json(F.col("__text")))
-        .withColumn("__items", F.when(leading_char(F.col("__text")) == "[",
-                                      F.try_variant_get("__json", "$", "array<variant>")))
-    )
+    is_list = leading_char(F.col("__text")) == "["
+    decoded = with_json(df, text).withColumn(
+        "__items", F.when(is_list, F.try_variant_get("__json", "$", "array<variant>")))
     single = F.array(F.col("__json"))
     items = F.when(F.col("__items").isNotNull(), F.col("__items")).otherwise(single)
     rows = decoded.select(*keep, "__text", "__json", F.posexplode(items).alias("position", "__item"))
@@ -119,7 +118,7 @@ def extract_records(df: DataFrame, column: str, fields: Mapping[str, str],
     """
     text = message_text(F.col(column), df.schema[column].dataType)
     keep = [c for c in df.columns if c != column]
-    payload = df.withColumn("__json", strict_json(text)).withColumn("__head", leading_char(text))
+    payload = with_json(df, text).withColumn("__head", leading_char(F.col("__text")))
     whole = F.try_variant_get("__json", "$", "array<variant>")
     if records_path:
         inner = F.try_variant_get(F.col("__json"), _key_path(records_path), "variant")

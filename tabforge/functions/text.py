@@ -16,16 +16,20 @@ PATH_FORMATS = (
 DEFAULT_PATH_FORMAT = "csv"
 
 
+# White space of any script, as Python strips it.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip_text(c: Column) -> Column:
     """Remove leading and trailing white space of any script."""
-    blank = r"[\p{IsWhite_Space}\x1c-\x1f]"
-    return F.regexp_replace(c, f"(?U)^{blank}+|{blank}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def decode_utf8(content: Column) -> Column:
     """Bytes to text; malformed sequences become U+FFFD, newlines become ``\\n``."""
     text = F.make_valid_utf8(content.cast("string"))
-    return F.regexp_replace(text, "\r\n?", "\n")
+    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    return F.replace(unix, F.lit("\r"), F.lit("\n"))
 
 
 def clean_document(content: Column) -> Column:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _local_fallback: dict[str, str] = {}
@@ -41,10 +42,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The result also has a fixed partition layout, so per-partition counts and
     positions taken in separate jobs agree.
     """
-    spark = df.sparkSession
+    use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def use_checkpoint_dir(spark: SparkSession) -> None:
+    """Let checkpoints, also those Spark ML takes between rounds, go to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give work that costs far more than a shuffle at least one partition per core.
+
+    Few or unsplittable files leave most cores idle.  A table with as many
+    files as cores is returned as it is; otherwise one pass without columns
+    counts the partitions that hold rows, and only too few are reshuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df._jdf.inputFiles()) >= cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if busy >= cores else df.repartition(cores)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,8 +142,8 @@ def bounded_distincts(df: DataFrame, columns: Iterable[str], at_most: int) -> di
 
     The first pass is a small sketch per column.  With at most 20 values over
     512 registers its estimate is 512 * ln(512 / 492) = 20.4 or less, so an
-    estimate above the bound proves the bound is exceeded.  Only columns that
-    may still be small are counted exactly; they shuffle few values per task.
+    estimate above the bound proves the bound is exceeded.  Only the columns
+    that may still be small are counted exactly; they shuffle few values per task.
     """
     if at_most > MAX_INTEGER_CLASSES:
         raise ValueError(f"the bound must be {MAX_INTEGER_CLASSES} or less")
@@ -154,8 +154,8 @@ def bounded_distincts(df: DataFrame, columns: Iterable[str], at_most: int) -> di
     out = {c: at_most + 1 for c in names}
     small = [c for i, c in enumerate(names) if estimates[i] <= at_most]
     if small:
-        exact = df.agg(*[F.count_distinct(values[c]).alias(f"n{i}") for i, c in enumerate(small)]).first()
-        out |= {c: min(exact[i], at_most + 1) for i, c in enumerate(small)}
+        exact = {r.column_name: r.n_distinct for r in distinct_counts(df, small).collect()}
+        out |= {c: min(exact[c], at_most + 1) for c in small}
     return out
 
 
@@ -220,27 +220,30 @@ def task_types(df: DataFrame, labels: Iterable[str]) -> DataFrame:
 def find_text_column(df: DataFrame, order_by: str | None = None) -> str | None:
     """First text column whose first five present values average over 20 characters.
 
-    Falls back to the first text column.  Only lengths leave the scan; each
-    task keeps its five first rows per column.
+    Falls back to the first text column.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return None
-    averages = head_lengths(df, names, order_by)
-    found = {r.column_name: r.avg_len for r in averages.collect()}
+    found = {r.column_name: r.avg_len for r in head_lengths(df, names, order_by).collect()}
     return next((n for n in names if found.get(n) is not None and found[n] > TEXT_MIN_AVG), names[0])
 
 
 def head_lengths(df: DataFrame, names: Iterable[str], order_by: str | None = None,
                  n: int = TEXT_SAMPLE) -> DataFrame:
-    """Mean length of the first ``n`` present values of each text column."""
-    key = F.col(order_by) if order_by else F.monotonically_increasing_id()
-    lengths = df.select(key.alias("__key"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.char_length(F.col(f"`{c}`")).alias("len"))
-        for c in names]))).where(F.col("len").isNotNull())
-    first = Window.partitionBy("column_name").orderBy("__key", "len")
-    head = lengths.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= n)
-    return head.groupBy("column_name").agg(F.avg("len").alias("avg_len"))
+    """Mean length of the first ``n`` present values of each text column.
+
+    With a key each task keeps its ``n`` first rows in a heap; nothing is
+    sorted as a whole, and only lengths leave the scan.
+    """
+    out = None
+    for name in names:
+        lengths = df.where(F.col(f"`{name}`").isNotNull()).select(
+            *([F.col(order_by).alias("__key")] if order_by else []), F.char_length(F.col(f"`{name}`")).alias("len"))
+        head = (lengths.orderBy("__key", "len") if order_by else lengths).limit(n)
+        part = head.agg(F.avg("len").alias("avg_len")).select(F.lit(name).alias("column_name"), "avg_len")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def file_info(df: DataFrame, **target_options) -> DataFrame:

@@ -12,8 +12,9 @@ from tabforge.operators.metrics import higher_is_better
 from tabforge.operators.profile import HIGH_NULL_PCT
 from tabforge.operators.rows import rank_in_groups
 
-# States that count as done, the state of a node without a log
-# row, the insight bounds, and the model folders of each algorithm.
+# Node states, those that count as done, the state of a node
+# without a log row, the insight bounds, and the model folders of each algorithm.
+STATES = ("pending", "ready", "running", "succeeded", "failed", "awaiting_human", "approved", "skipped")
 DONE_STATES = ("succeeded", "approved", "skipped")
 INITIAL_STATE = "pending"
 LOW_ACCURACY = 0.7
@@ -51,12 +52,22 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def node_states(log: DataFrame, node_ids: Sequence[str] | None = None) -> DataFrame:
-    """Latest state of each run's nodes; a listed node without a log row is pending."""
-    latest = log.groupBy("run_name", "node_id").agg(F.max_by("state", "ts").alias("state"))
+    """Latest state of each run's nodes; a listed node without a log row is pending.
+
+    States are compared as numbers: a fixed-width buffer lets the log be
+    reduced by hash, map-side, where text would sort all of it first.
+    """
+    known = F.array(*[F.lit(s) for s in STATES])
+    number = F.array_position(known, F.col("state"))
+    number = F.when(number > 0, number).otherwise(
+        F.raise_error(F.concat(F.lit("unknown state "), F.coalesce("state", F.lit("null")))).cast("bigint"))
+    latest = log.groupBy("run_name", "node_id").agg(F.max_by(number, "ts").alias("number"))
+    latest = latest.select("run_name", "node_id", F.element_at(known, F.col("number").cast("int")).alias("state"))
     if node_ids is None:
         return latest
-    wanted = latest.groupBy("run_name").agg(
-        F.map_from_entries(F.collect_list(F.struct("node_id", "state"))).alias("states"))
+    # At most one entry per listed node goes into a run's map.
+    listed = F.when(F.col("node_id").isin(*node_ids), F.struct("node_id", "state"))
+    wanted = latest.groupBy("run_name").agg(F.map_from_entries(F.collect_list(listed)).alias("states"))
     nodes = F.explode(F.array(*[F.lit(n) for n in node_ids])).alias("node_id")
     rows = wanted.select("run_name", "states", nodes)
     state = F.coalesce(F.try_element_at("states", F.col("node_id")), F.lit(INITIAL_STATE))
@@ -98,10 +109,9 @@ def top_feature(importance: DataFrame) -> DataFrame:
 
 def relative_importance(importance: DataFrame) -> DataFrame:
     """Scores as whole percent of the highest score."""
-    top = importance.agg(F.max("score").alias("__top"))  # one row
-    share = F.when(F.col("__top") > 0, F.col("score") / F.col("__top") * 100).otherwise(0.0)
-    joined = importance.join(F.broadcast(top), F.lit(True))
-    return joined.select("feature", "score", share.cast("int").alias("relative_pct"))
+    top = importance.agg(F.max("score")).scalar()
+    share = F.coalesce(F.col("score") / F.nullif(top, F.lit(0.0)) * 100, F.lit(0.0))
+    return importance.select("feature", "score", share.cast("int").alias("relative_pct"))
 
 
 def insights(metrics: DataFrame, importance: DataFrame, profile: DataFrame) -> DataFrame:

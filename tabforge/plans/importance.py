@@ -17,6 +17,8 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
                            normalise: bool = False) -> DataFrame:
     """Loss of the main metric when a feature's values are exchanged among rows.
 
+    ``normalise`` gives shares of the sum, with gains from an exchange as 0.
+
     Rows fall into small random groups and each takes the values of the next
     row of its group.  The unchanged row and one variant per feature are then
     scored side by side and reduced to metrics; variants never leave the scan
@@ -45,24 +47,18 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
         best = F.array_position(SCORES, F.array_max(SCORES)).cast("int")
         scored = scored.withColumn("__p", F.element_at(F.array(*[F.lit(v) for v in model.labels]), best))
     values = evaluate(scored, "__y", "__p", model.task, pos_label=model.pos_label, by=("feature",))
-    values = values.where(F.col("metric") == metric).select("feature", "value")
-    # One row: the metric of the unchanged rows.
-    before = values.where(F.col("feature") == "").select(F.col("value").alias("before"))
-    after = values.where(F.col("feature") != "")
+    # One value per feature: as many as the model is wide.
+    found = {r.feature: r.value for r in values.where(F.col("metric") == metric).collect()}
     sign = -1.0 if metric == "rmse" else 1.0
-    out = after.join(F.broadcast(before), F.lit(True)).select(
-        "feature", (sign * (F.col("before") - F.col("value"))).alias("score"))
-    return normalised(out) if normalise else out
+    scores = [(n, sign * (found[""] - found[n])) for n in names]
+    if normalise:
+        positive = [(n, max(v, 0.0)) for n, v in scores]
+        total = sum(v for _, v in positive) or 1.0
+        scores = [(n, v / total) for n, v in positive]
+    return df.sparkSession.createDataFrame(scores, "feature string, score double")
 
 
 def _swap(i: int):
     return F.concat(F.slice("__x", 1, i), F.slice("__other", i + 1, 1),
                     F.slice("__x", F.lit(i + 2), F.size("__x")))
 
-
-def normalised(importance: DataFrame) -> DataFrame:
-    """Scores as shares of their sum, with negative scores as 0."""
-    positive = importance.select("feature", F.greatest("score", F.lit(0.0)).alias("score"))
-    total = positive.agg(F.sum("score").alias("__sum"))  # one row
-    share = F.when(F.col("__sum") > 0, F.col("score") / F.col("__sum")).otherwise(0.0)
-    return positive.join(F.broadcast(total), F.lit(True)).select("feature", share.alias("score"))

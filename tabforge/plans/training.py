@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tabforge.functions import text as X
+from tabforge.functions.workspace import spread, use_checkpoint_dir
 from tabforge.operators.features import target_name
 from tabforge.operators.profile import BINARY, MULTICLASS, REGRESSION, detect_task_type, find_text_column
 from tabforge.plans.models import (
@@ -41,8 +42,14 @@ BOOSTING_PRESETS = {
 
 
 def class_labels(df: DataFrame, target: str) -> list:
-    """Sorted distinct labels."""
-    rows = df.select(target).where(F.col(f"`{target}`").isNotNull()).distinct().limit(MAX_CLASSES + 1)
+    """Sorted distinct labels.
+
+    A sketch refuses a hopeless label column before its values are shuffled.
+    """
+    label = F.col(f"`{target}`")
+    if df.agg(F.approx_count_distinct(label, 0.05).alias("n")).first().n > 1.5 * MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    rows = df.select(target).where(label.isNotNull()).distinct().limit(MAX_CLASSES + 1)
     labels = sorted(r[0] for r in rows.collect())
     if len(labels) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
@@ -83,7 +90,7 @@ def fit_forest(model: TrainedModel, df: DataFrame, n_estimators: int, seed: int
     forest = make(featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators,
                   maxDepth=model.params["max_depth"],
                   seed=model.params["seed"] if seed is None else seed, **extra)
-    return forest.fit(with_class_metadata(design(df, model), model))
+    return forest.fit(with_class_metadata(spread(design(df, model)), model))
 
 
 def with_class_metadata(rows: DataFrame, model: TrainedModel) -> DataFrame:
@@ -109,7 +116,8 @@ def train_boosted(df: DataFrame, target: str | None = None, *, preset: str = "xg
     model = outline(df, preset, target, features, task, params)
     settings = {"featuresCol": FEATURES, "labelCol": LABEL, "maxIter": params["n_estimators"],
                 "stepSize": params["learning_rate"], "maxDepth": params["max_depth"], "seed": seed}
-    rows = design(df, model)
+    use_checkpoint_dir(df.sparkSession)
+    rows = spread(design(df, model))
     if not model.is_classifier:
         model.members.append(GBTRegressor(**settings).fit(rows))
     elif len(model.labels) == 2:
@@ -142,7 +150,7 @@ def train_mlp(df: DataFrame, target: str | None = None, *, features: Sequence[st
         task = detect_task_type(df, target, max_classes=None)
     params = {"hidden": hidden, "layers": layers, "epochs": epochs, "seed": seed}
     model = outline(df, "lstm_tabular", target, features, task, params)
-    rows = design(df, model)
+    rows = spread(design(df, model))
     scaled = "__scaled"
     scaler = StandardScaler(inputCol=FEATURES, outputCol=scaled, withMean=True)
     if model.is_classifier:
@@ -177,7 +185,7 @@ def train_text(df: DataFrame, target: str | None = None, *, text: str | None = N
         IDF(inputCol="__tf", outputCol="__tfidf", minDocFreq=min_doc_freq),
         LogisticRegression(featuresCol="__tfidf", labelCol=LABEL, maxIter=epochs, regParam=reg),
     ]
-    model.members.append(Pipeline(stages=stages).fit(design(df, model)))
+    model.members.append(Pipeline(stages=stages).fit(spread(design(df, model))))
     return model
 
 

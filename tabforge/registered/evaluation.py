@@ -273,7 +273,7 @@ def run_summary(spark, sf_dir):
 
 @query("latest_run", f"SELECT run_name, run_id FROM ({_LOG}) ORDER BY run_id DESC LIMIT 1")
 def latest_run(spark, sf_dir):
-    return R.latest_run(run_log(spark, sf_dir).select("run_name", "run_id").distinct())
+    return R.latest_run(run_log(spark, sf_dir).select("run_name", "run_id"))
 
 
 @query("latest_node_state", f"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.registered.base import query, table
+from tabforge.registered.base import query, spread_table
 from tabforge.sources.audio import audio_mfcc
 from tabforge.sources.images import image_metadata
 
@@ -49,7 +49,7 @@ def images(spark, sf_dir):
     path = F.concat(F.lit("file:/images/"), F.col("label").cast("string"), F.lit("/"), key.cast("string"), F.lit(".png"))
     content = F.when(key % 10 == 9, F.lit("broken").cast("binary")).otherwise(
         png_bytes("embedding", key % 2 == 0))
-    files = table(spark, sf_dir, "embeddings").select(path.alias("path"), content.alias("content"))
+    files = spread_table(spark, sf_dir, "embeddings").select(path.alias("path"), content.alias("content"))
     return image_metadata(files)
 
 
@@ -74,5 +74,5 @@ def sounds(spark, sf_dir) -> DataFrame:
     key = F.col("vec_id")
     ext = F.when(key % 20 == 19, ".mp3").otherwise(".wav")
     path = F.concat(F.lit("file:/audio/"), F.col("label").cast("string"), F.lit("/"), key.cast("string"), ext)
-    files = table(spark, sf_dir, "embeddings").select(path.alias("path"), wav_bytes("embedding").alias("content"))
+    files = spread_table(spark, sf_dir, "embeddings").select(path.alias("path"), wav_bytes("embedding").alias("content"))
     return audio_mfcc(files)

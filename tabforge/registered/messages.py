@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.functions.messages import explode_messages, extract_records, parse_messages
-from tabforge.registered.base import query, table
+from tabforge.registered.base import query, spread_table
 from tabforge.sources import documents as D
 
 # --- messages -------------------------------------------------------------------
@@ -74,12 +74,12 @@ FROM items
 
 @query("parse_messages", PARSED)
 def parsed(spark, sf_dir):
-    return parse_messages(event_messages(table(spark, sf_dir, "events")), "message", {"k": "bigint"})
+    return parse_messages(event_messages(spread_table(spark, sf_dir, "events")), "message", {"k": "bigint"})
 
 
 @query("explode_messages", EXPLODED)
 def exploded(spark, sf_dir):
-    return explode_messages(event_messages(table(spark, sf_dir, "events")), "message", {"k": "bigint"})
+    return explode_messages(event_messages(spread_table(spark, sf_dir, "events")), "message", {"k": "bigint"})
 
 
 @query("extract_records", """
@@ -89,7 +89,7 @@ UNION ALL SELECT doc_id, 0, text FROM d WHERE doc_id % 3 = 2
 """)
 def records(spark, sf_dir):
     """Lines of each document out of a list payload, a keyed list, or a single record."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line")))
     payload = (
         F.when(F.col("doc_id") % 3 == 0, F.to_json(lines))
@@ -103,7 +103,7 @@ def records(spark, sf_dir):
 
 def document_files(spark, sf_dir, suffix: F.Column, content: F.Column) -> DataFrame:
     path = F.concat(F.lit("file:/docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), suffix)
-    return table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
+    return spread_table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
 
 
 def _doc_id():

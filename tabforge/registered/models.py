@@ -15,7 +15,7 @@ from tabforge.plans.importance import permutation_importance
 from tabforge.plans.shap import shap_importance
 from tabforge.plans.tuning import tune
 from tabforge.plans.updating import update_boosted, update_forest
-from tabforge.registered.base import query, r6, table
+from tabforge.registered.base import query, r6, spread_table, table
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 KEY = ["l_orderkey", "l_linenumber"]
@@ -142,7 +142,7 @@ def evaluate_model(spark, sf_dir):
 @query("predict_with_confidence")
 def predict_with_confidence(spark, sf_dir):
     model, _, _ = line_model(spark, sf_dir)
-    return MO.predict_with_confidence(model, table(spark, sf_dir, "lineitem"), keep=KEY)
+    return MO.predict_with_confidence(model, spread_table(spark, sf_dir, "lineitem"), keep=KEY)
 
 
 @query("feature_importance")

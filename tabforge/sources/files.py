@@ -30,6 +30,8 @@ SUFFIX_READERS = {
     ".arrow": "arrow",
 }
 
+READ_BYTES_PER_TASK = 128 << 20
+
 
 def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
@@ -95,7 +97,11 @@ def read_arrow(spark: SparkSession, *paths: str, schema: T.StructType | None = N
                 yield from _aligned(_read_batch(path, i), target).to_batches()
 
     parts = files.select("path").mapInArrow(footers, "path string, batch bigint")
-    return parts.repartition("path", "batch").mapInArrow(load, schema)
+    # The rows to shuffle are tiny, so adaptive coalescing would leave one task:
+    # the number of tasks follows from the bytes to read.
+    size = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, size // READ_BYTES_PER_TASK)
+    return parts.repartition(tasks, "path", "batch").mapInArrow(load, schema)
 
 
 def list_files(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
