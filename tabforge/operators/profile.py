@@ -19,6 +19,20 @@ HIGH_NULL_PCT = 0.1
 TEXT_SAMPLE = 5
 TEXT_MIN_AVG = 20
 
+# Modality tags of each kind of source.
+MODALITIES = {
+    "file": ("tabular",),
+    "database": ("tabular",),
+    "object_store": ("tabular",),
+    "feature_set": ("tabular",),
+    "document": ("text",),
+    "image": ("image",),
+    "audio": ("audio", "tabular"),
+    "kafka": ("stream", "tabular"),
+    "rest_poll": ("stream", "tabular"),
+    "websocket": ("stream",),
+}
+
 BINARY, MULTICLASS, REGRESSION = "binary_classification", "multiclass", "regression"
 
 
@@ -51,7 +65,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return rows.withColumn("null_pct", share)
 
 
-def table_profile(df: DataFrame, *, data_types: Iterable[str] = ("tabular",),
+def table_profile(df: DataFrame, *, data_types: Iterable[str] = MODALITIES["file"],
                   sample_path: str | None = None, target: str | None = None) -> DataFrame:
     """One row for the table: counts, columns, nulls and modality tags."""
     cols = profile_columns(df).orderBy("position")

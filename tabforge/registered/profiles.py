@@ -106,10 +106,14 @@ _LAST_COLUMNS = {"labels": "toxic", "orders": "o_orderpriority", "part": "p_reta
                  "supplier": "s_acctbal", "customer": "c_mktsegment"}
 
 
-def _target_sql(rows: str) -> str:
+_KEYS = {"labels": "doc_id", "orders": "o_orderkey", "part": "p_partkey", "lineitem": "l_orderkey",
+         "embeddings": "vec_id", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey"}
+
+
+def _target_sql(head: int | None = None) -> str:
     parts = []
     for name, last in _LAST_COLUMNS.items():
-        source = f"SELECT {last} FROM {name} {rows.format(name=name)}"
+        source = f"SELECT {last} FROM {name}" + (f" ORDER BY {_KEYS[name]} LIMIT {head}" if head else "")
         text = last in ("o_orderpriority", "c_mktsegment")
         test = "count(*) > 0" if text or last == "label" else f"count(DISTINCT {last}) < 20"
         parts.append(f"SELECT '{name}' AS table_name, CASE WHEN {test} THEN '{last}' END AS detected_target "
@@ -118,19 +122,22 @@ def _target_sql(rows: str) -> str:
 
 
 def _targets(spark, sf_dir, **options) -> DataFrame:
-    rows = []
-    for name in _LAST_COLUMNS:
-        df = table(spark, sf_dir, name)
-        key = df.columns[0]
-        rows.append((name, P.detect_target(df, **options, **({"order_by": key} if options else {}))))
+    rows = [(name, P.detect_target(table(spark, sf_dir, name), order_by=_KEYS[name], **options))
+            for name in _LAST_COLUMNS]
     return spark.createDataFrame(rows, "table_name string, detected_target string")
 
 
-@query("detect_target", _target_sql(""))
+@query("detect_target", _target_sql())
 def detect_target(spark, sf_dir):
     return _targets(spark, sf_dir)
 
 
+@query("detect_target_head", _target_sql(1000))
+def detect_target_head(spark, sf_dir):
+    """The rule on a preview: the first 1000 rows decide."""
+    return _targets(spark, sf_dir, sample_rows=1000)
+
+
 _TASKS = {
     "lineitem": ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey", "l_discount"],
     "orders": ["o_orderpriority", "o_custkey", "o_totalprice"],
@@ -166,6 +173,20 @@ def detect_task_type(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("detect_task_type_uncapped", """
+SELECT 'lineitem' AS table_name, 'l_suppkey' AS column_name, CASE WHEN count(DISTINCT l_suppkey) = 2
+       THEN 'binary_classification' ELSE 'multiclass' END AS task FROM lineitem
+UNION ALL SELECT 'labels', 'toxic', CASE WHEN count(DISTINCT toxic) = 2
+       THEN 'binary_classification' ELSE 'multiclass' END FROM labels
+UNION ALL SELECT 'lineitem', 'l_tax', CASE WHEN count(*) > 0 THEN 'regression' END FROM lineitem
+""")
+def detect_task_type_uncapped(spark, sf_dir):
+    """Integers are classes whatever their number."""
+    rows = [(t, c, P.detect_task_type(table(spark, sf_dir, t), c, max_classes=None))
+            for t, c in (("lineitem", "l_suppkey"), ("labels", "toxic"), ("lineitem", "l_tax"))]
+    return spark.createDataFrame(rows, "table_name string, column_name string, task string")
+
+
 _TEXT_COLUMNS = {
     "documents": ("doc_id", ["text", "lang", "source"]),
     "conversations": ("conv_id", ["role", "text"]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Sequence
 from urllib.parse import unquote, urlparse
@@ -40,7 +41,11 @@ def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None =
 
 def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None,
              **options) -> DataFrame:
-    """CSV with a header.  Without a schema, types cost one more pass over the files."""
+    """CSV with a header.  Without a schema, types cost one more pass over the files.
+
+    Files are split between lines; pass ``multiLine=True`` when quoted fields
+    hold line breaks, which reads each file in one task.
+    """
     reader = spark.read.options(**{"header": True, "multiLine": False, "escape": '"', **options})
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(list(paths))
@@ -65,9 +70,15 @@ def _looks_multi_line(spark: SparkSession, path: str) -> bool:
     first = workspace.first_file(spark, path)
     if first is None or first.endswith((".gz", ".bz2", ".zst", ".lz4", ".snappy")):
         return False
-    head = workspace.first_bytes(spark, first, 4096).lstrip(b"\xef\xbb\xbf \t\r\n")
-    line = head.split(b"\n", 1)[0].rstrip()
-    return head.startswith(b"[") or (line.startswith(b"{") and line in (b"{",))
+    head = workspace.first_bytes(spark, first, 4096).removeprefix(b"\xef\xbb\xbf").lstrip()
+    line, newline, _ = head.partition(b"\n")
+    if head.startswith(b"["):
+        return True
+    try:
+        json.loads(line)
+    except ValueError:
+        return bool(newline)  # the first line alone is no record
+    return False
 
 
 def read_arrow(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:

@@ -30,6 +30,21 @@ def test_csv_json_parquet(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path / "t.parquet")).count() == 2
 
 
+@pytest.mark.parametrize("text, n", [
+    ('{ "a": 1,\n  "b": 2 }', 1), ('{"a": 1, "b": 2}', 1), ('{"a": 1, "b": 2}\n{"a": 3, "b": 4}\n', 2),
+    ('\n [{"a": 1, "b": 2},\n {"a": 3, "b": 4}]', 2), ('{"a": 1, "b": "' + "x" * 9000 + '"}\n{"a": 2}', 2),
+])
+def test_json_layouts(spark, tmp_path, text, n):
+    (tmp_path / "t.json").write_text(text)
+    df = files.read_json(spark, str(tmp_path / "t.json"))
+    assert df.count() == n and df.columns == ["a", "b"]
+
+
+def test_quoted_line_breaks_need_multi_line(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n')
+    assert rows(files.read_csv(spark, str(tmp_path / "t.csv"), multiLine=True)) == [(1, "x\ny")]
+
+
 def test_unknown_suffix_is_csv(spark, tmp_path):
     (tmp_path / "t.data").write_text("a,b\n1,2\n")
     assert rows(files.read_table(spark, str(tmp_path / "t.data"))) == [(1, 2)]
