@@ -66,6 +66,14 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"[^.](\.[^.]+)$", 1))
 
 
+def suffix_glob(suffixes: tuple[str, ...]) -> str:
+    """Glob of the suffixes in any case, so a scan never opens other files."""
+    def any_case(s: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s)
+
+    return "*{" + ",".join(any_case(s) for s in suffixes) + "}"
+
+
 def plain_path(uri: Column) -> Column:
     """File path of a ``file:`` URI; other URIs stay as they are."""
     return F.regexp_replace(uri, r"^file:/+", "/")

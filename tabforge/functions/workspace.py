@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,19 @@ def claim(spark: SparkSession, path: str) -> bool:
     """Create an empty marker; False when somebody else already holds it."""
     fs, p = _fs(spark, path)
     fs.mkdirs(p.getParent())
-    return fs.createNewFile(p)
+    try:
+        return fs.createNewFile(p)
+    except Py4JJavaError:
+        # Another writer created it between the check and the create.
+        if fs.exists(p):
+            return False
+        raise
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none when it does not exist."""
+    fs, p = _fs(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 64) -> bytes:

@@ -110,9 +110,11 @@ class FeatureSets:
     # -- storage --
 
     def _claim(self, name: str) -> int:
-        version = next_versions(self._entries().where(F.col("name") == name)).collect()
-        n = version[0].next_version if version else 1
-        while not workspace.claim(self.spark, f"{self.root}/_claims/{name}/v{n:06d}"):
+        """Next number after all claims ever made, so numbers are never reused."""
+        folder = f"{self.root}/_claims/{name}"
+        taken = [int(f[1:]) for f in workspace.file_names(self.spark, folder) if re.fullmatch(r"v\d+", f)]
+        n = max(taken, default=0) + 1
+        while not workspace.claim(self.spark, f"{folder}/v{n:06d}"):
             n += 1
         return n
 

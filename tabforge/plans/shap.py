@@ -50,22 +50,62 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
 def contributions(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     """Shapley values, shape (rows, features, outputs)."""
     outputs = len(leaves[0][0]) if leaves else 1
-    phi = np.zeros((len(x), x.shape[1], outputs))
-    for value, feats, low, high, share in leaves:
-        d = len(feats)
+    phi = np.zeros((len(x), x.shape[1] * outputs))
+    for group in packed(leaves, x.shape[1]):
+        step = max(1, _CELLS // group[1].size)
+        for at in range(0, len(x), step):
+            phi[at:at + step] += _group_contributions(group, x[at:at + step])
+    return phi.reshape(len(x), x.shape[1], outputs)
+
+
+# Array cells a task works on at a time.
+_CELLS = 1 << 22
+
+
+def packed(leaves: list[Leaf], width: int) -> list[tuple]:
+    """Leaves with equally many features as arrays, and where each value goes.
+
+    ``target[j]`` maps a weight per leaf to the (feature, output) it counts for.
+    """
+    by_size: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        by_size.setdefault(len(leaf[1]), []).append(leaf)
+    out = []
+    for d, same in by_size.items():
         if d == 0:
             continue
-        known = ((x[:, feats] > low) & (x[:, feats] <= high)).astype(float)
-        order = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-        for j in range(d):
-            # Coefficient k: total product over the others with k of them known.
-            poly = np.zeros((len(x), d))
-            poly[:, 0] = 1.0
-            for m in range(d):
-                if m != j:
-                    poly[:, 1:] = poly[:, 1:] * share[m] + poly[:, :-1] * known[:, m:m + 1]
-                    poly[:, 0] *= share[m]
-            phi[:, feats[j]] += ((known[:, j] - share[j]) * (poly @ order))[:, None] * value
+        for at in range(0, len(same), 4096):
+            part = same[at:at + 4096]
+            value, feats, low, high, share = (np.array([leaf[i] for leaf in part]) for i in range(5))
+            outputs, rows = value.shape[1], np.arange(len(part))
+            target = np.zeros((d, len(part), width, outputs))
+            for j in range(d):
+                target[j, rows, feats[:, j]] = value
+            out.append((target.reshape(d, len(part), -1), feats, low, high, share))
+    return out
+
+
+def _group_contributions(group: tuple, x: np.ndarray) -> np.ndarray:
+    target, feats, low, high, share = group
+    d = feats.shape[1]
+    values = x[:, feats]
+    known = (values > low) & (values <= high)
+    # Coefficient k of the product over all features: k of them known.
+    poly = np.zeros((*known.shape[:2], d + 1))
+    poly[..., 0] = 1.0
+    for m in range(d):
+        shifted = poly[..., :-1] * known[..., m:m + 1]
+        poly *= share[:, m:m + 1]
+        poly[..., 1:] += shifted
+    order = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
+    phi = 0.0
+    for j in range(d):
+        # Take feature j out of the product again: divide by (share + t) or by share.
+        s, weight, q = share[:, j], 0.0, 0.0
+        for k in range(d - 1, -1, -1):
+            q = np.where(known[..., j], poly[..., k + 1] - s * q, poly[..., k] / s)
+            weight = weight + order[k] * q
+        phi = phi + ((known[..., j] - s) * weight) @ target[j]
     return phi
 
 

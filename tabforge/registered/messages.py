@@ -126,7 +126,9 @@ def docx_bytes(text: pd.Series) -> pd.Series:
     """Word files with one paragraph per line."""
     head = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
 
-    def build(t: str) -> bytes:
+    def build(t: str | None) -> bytes | None:
+        if t is None:
+            return None
         body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in t.split("\n"))
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -146,17 +148,17 @@ def extract_docx(spark, sf_dir):
 
 
 @query("extract_documents_job", f"""
-SELECT doc_id, ['.txt', '.md', '.docx', '.doc', '.rst'][doc_id % 6 + 1] AS suffix, doc_id % 6 = 3 AS failed,
-       CASE WHEN doc_id % 6 = 3 THEN 0 WHEN doc_id % 6 = 2 THEN length({_PARAGRAPHS}) ELSE length(text) END
+SELECT doc_id, ['.txt', '.md', '.docx', '.doc', '.rst'][doc_id % 5 + 1] AS suffix, doc_id % 5 = 3 AS failed,
+       CASE WHEN doc_id % 5 = 3 THEN 0 WHEN doc_id % 5 = 2 THEN length({_PARAGRAPHS}) ELSE length(text) END
        AS char_count
-FROM documents WHERE doc_id % 6 <> 5
+FROM documents
 """)
 def extract_documents_job(spark, sf_dir):
-    """Files of all kinds: unreadable ones give an error row, unknown suffixes are skipped."""
-    kind = F.col("doc_id") % 6
-    suffixes = F.array(*[F.lit(s) for s in (".txt", ".md", ".docx", ".doc", ".rst", ".bin")])
+    """Files of all kinds in one job: unreadable ones give an error row."""
+    kind = F.col("doc_id") % 5
+    suffixes = F.array(*[F.lit(s) for s in (".txt", ".md", ".docx", ".doc", ".rst")])
     plain = F.col("text").cast("binary")
-    content = F.when(kind == 2, docx_bytes("text")).otherwise(plain)
+    content = F.when(kind == 2, docx_bytes(F.when(kind == 2, F.col("text")))).otherwise(plain)
     files = document_files(spark, sf_dir, F.element_at(suffixes, (kind + 1).cast("int")), content)
     rows = D.parse_documents(files)
     return rows.select(_doc_id(), F.regexp_extract("filename", r"(\.\w+)$", 1).alias("suffix"),

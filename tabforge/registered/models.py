@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.workspace import scratch_path
+from tabforge.functions.workspace import scratch_path, spread
 from tabforge.plans import models as MO
 from tabforge.plans import training as TR
 from tabforge.plans.importance import permutation_importance
@@ -153,14 +153,15 @@ def feature_importance(spark, sf_dir):
 
 @query("permutation_importance")
 def permuted(spark, sf_dir):
-    model, _, test = line_model(spark, sf_dir)
-    return permutation_importance(model, test, normalise=True)
+    model, _, _ = line_model(spark, sf_dir)
+    return permutation_importance(model, labelled_lines(spark, sf_dir, "multi"), normalise=True)
 
 
 @query("shap_importance")
 def shap(spark, sf_dir):
-    model, _, test = line_model(spark, sf_dir)
-    return shap_importance(model, test).withColumn("score", r6("score"))
+    model, _, _ = line_model(spark, sf_dir)
+    lines = spread(labelled_lines(spark, sf_dir, "multi"))
+    return shap_importance(model, lines).withColumn("score", r6("score"))
 
 
 @query("update_forest")

@@ -24,7 +24,8 @@ _BLOCK = 4096
 
 def read_audio(spark: SparkSession, audio_dir: str, *, sample_rate: int = 22050, n_mfcc: int = 13,
                label_from_dir: bool = True, decoders=None) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(audio_dir)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", X.suffix_glob(AUDIO_SUFFIXES)).load(audio_dir))
     return audio_mfcc(files, sample_rate=sample_rate, n_mfcc=n_mfcc,
                       label_from_dir=label_from_dir, decoders=decoders)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions import text as X
+from tabforge.functions.workspace import spread
 
 # Suffixes read as documents.
 TEXT_SUFFIXES = (".txt", ".md", ".rst")
@@ -29,8 +30,14 @@ def read_documents(spark: SparkSession, *paths: str, label_from_dir: bool = Fals
 
     A file that cannot be read yields one row with its error as the text.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return parse_documents(files, label_from_dir=label_from_dir, extractors=extractors)
+    def scan(suffixes: tuple[str, ...]) -> DataFrame:
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                .option("pathGlobFilter", X.suffix_glob(suffixes)).load(list(paths)).select("path", "content"))
+
+    # Each scan lists and opens only its own files.
+    rows = text_documents(scan(TEXT_SUFFIXES)).unionByName(
+        extracted_documents(spread(scan(BINARY_SUFFIXES)), extractors))
+    return _labelled(rows, label_from_dir)
 
 
 def parse_documents(files: DataFrame, *, label_from_dir: bool = False,
@@ -39,8 +46,11 @@ def parse_documents(files: DataFrame, *, label_from_dir: bool = False,
     files = files.select("path", "content", X.suffix(F.col("path")).alias("__suffix"))
     plain = text_documents(files.where(F.col("__suffix").isin(*TEXT_SUFFIXES)))
     parsed = extracted_documents(files.where(F.col("__suffix").isin(*BINARY_SUFFIXES)), extractors)
-    out = plain.unionByName(parsed)
-    return out.withColumn("label", X.parent_name(F.col("source"))) if label_from_dir else out
+    return _labelled(plain.unionByName(parsed), label_from_dir)
+
+
+def _labelled(rows: DataFrame, label_from_dir: bool) -> DataFrame:
+    return rows.withColumn("label", X.parent_name(F.col("source"))) if label_from_dir else rows
 
 
 def text_documents(files: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ UNREADABLE = (0, 0, "unknown")
 
 
 def read_images(spark: SparkSession, image_dir: str, *, label_from_dir: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(image_dir)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", X.suffix_glob(IMAGE_SUFFIXES)).load(image_dir))
     return image_metadata(files, label_from_dir=label_from_dir)
 
 

@@ -206,9 +206,10 @@ def test_document_folder(spark, tmp_path):
     (tmp_path / "negative" / "word.docx").write_bytes(_docx("One", "  ", "Two"))
     (tmp_path / "negative" / "broken.docx").write_bytes(b"nope")
     (tmp_path / "negative" / "skip.bin").write_bytes(b"nope")
+    (tmp_path / "negative" / "UPPER.TXT").write_text("loud")
     df = documents.read_documents(spark, str(tmp_path), label_from_dir=True)
     got = {(r.label, r.filename): r for r in df.collect()}
-    assert len(got) == 9
+    assert len(got) == 10
     first = got["positive", "d0.txt"]
     assert first.text == "positive text 0\nsecond line" and first.char_count == len(first.text)
     assert first.source == str(tmp_path / "positive" / "d0.txt")
