@@ -53,20 +53,23 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, min_rows: int = 2) -> DataFrame:
     """Give work that costs far more than a shuffle at least one partition per core.
 
     Few or unsplittable files leave most cores idle.  A table with as many
     files as cores is returned as it is; otherwise one pass without columns
-    counts the partitions that hold rows, and only too few are reshuffled.
+    counts rows per partition, and only too few partitions are reshuffled.
+    Tables under ``min_rows`` rows stay as they are.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df._jdf.inputFiles()) >= cores:
         return df
-    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
-    return df if busy >= cores else df.repartition(cores)
+    busy = df.groupBy(F.spark_partition_id().alias("p")).count().agg(
+        F.count("p").alias("partitions"), F.sum("count").alias("rows")).first()
+    enough = busy.partitions >= cores or (busy.rows or 0) < min_rows
+    return df if enough else df.repartition(cores)
 
 
 def _fs(spark: SparkSession, path: str):

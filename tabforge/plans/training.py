@@ -32,8 +32,12 @@ from tabforge.plans.models import (
     array_widths,
     design,
     feature_columns,
+    feature_names,
 )
 
+# Below this many rows an iteration costs less than starting its tasks.
+SPREAD_ROWS = 20_000
+
 # Preset settings of the two boosting algorithms.
 BOOSTING_PRESETS = {
     "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
@@ -90,7 +94,7 @@ def fit_forest(model: TrainedModel, df: DataFrame, n_estimators: int, seed: int
     forest = make(featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators,
                   maxDepth=model.params["max_depth"],
                   seed=model.params["seed"] if seed is None else seed, **extra)
-    return forest.fit(with_class_metadata(spread(design(df, model)), model))
+    return forest.fit(with_class_metadata(spread(design(df, model), SPREAD_ROWS), model))
 
 
 def with_class_metadata(rows: DataFrame, model: TrainedModel) -> DataFrame:
@@ -117,7 +121,7 @@ def train_boosted(df: DataFrame, target: str | None = None, *, preset: str = "xg
     settings = {"featuresCol": FEATURES, "labelCol": LABEL, "maxIter": params["n_estimators"],
                 "stepSize": params["learning_rate"], "maxDepth": params["max_depth"], "seed": seed}
     use_checkpoint_dir(df.sparkSession)
-    rows = spread(design(df, model))
+    rows = spread(design(df, model), SPREAD_ROWS)
     if not model.is_classifier:
         model.members.append(GBTRegressor(**settings).fit(rows))
     elif len(model.labels) == 2:
@@ -150,24 +154,26 @@ def train_mlp(df: DataFrame, target: str | None = None, *, features: Sequence[st
         task = detect_task_type(df, target, max_classes=None)
     params = {"hidden": hidden, "layers": layers, "epochs": epochs, "seed": seed}
     model = outline(df, "lstm_tabular", target, features, task, params)
-    rows = spread(design(df, model))
     scaled = "__scaled"
     scaler = StandardScaler(inputCol=FEATURES, outputCol=scaled, withMean=True)
     if model.is_classifier:
-        from tabforge.plans.models import feature_names
-
         width = len(feature_names(model.features, model.widths))
         net = MultilayerPerceptronClassifier(
             featuresCol=scaled, labelCol=LABEL, seed=seed, maxIter=epochs, stepSize=learning_rate,
             layers=[width] + [hidden] * layers + [len(model.labels)])
     else:
         net = LinearRegression(featuresCol=scaled, labelCol=LABEL, maxIter=epochs)
-    model.members.append(Pipeline(stages=[scaler, net]).fit(rows))
+    # The network reads its rows in every step.
+    rows = spread(design(df, model), SPREAD_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model.members.append(Pipeline(stages=[scaler, net]).fit(rows))
+    finally:
+        rows.unpersist()
     return model
 
 
 def train_text(df: DataFrame, target: str | None = None, *, text: str | None = None,
-               n_features: int = 1 << 18, min_doc_freq: int = 2, epochs: int = 50,
+               n_features: int = 1 << 16, min_doc_freq: int = 2, epochs: int = 50,
                reg: float = 0.001) -> TrainedModel:
     """Text classifier: hashed term weights and logistic regression."""
     target = target_name(df, target)
@@ -185,7 +191,7 @@ def train_text(df: DataFrame, target: str | None = None, *, text: str | None = N
         IDF(inputCol="__tf", outputCol="__tfidf", minDocFreq=min_doc_freq),
         LogisticRegression(featuresCol="__tfidf", labelCol=LABEL, maxIter=epochs, regParam=reg),
     ]
-    model.members.append(Pipeline(stages=stages).fit(spread(design(df, model))))
+    model.members.append(Pipeline(stages=stages).fit(spread(design(df, model), SPREAD_ROWS)))
     return model
 
 

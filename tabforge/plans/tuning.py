@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from tabforge.functions.workspace import spread
 from tabforge.operators.profile import MULTICLASS
 from tabforge.plans.models import FEATURES, LABEL, TrainedModel, design
-from tabforge.plans.training import outline, train_boosted, train_random_forest, with_class_metadata
+from tabforge.plans.training import SPREAD_ROWS, outline, train_boosted, train_random_forest, with_class_metadata
 
 FOREST_SPACE = {"n_estimators": (50, 300), "max_depth": (3, 15), "min_instances": (1, 10)}
 BOOSTED_SPACE = {"n_estimators": (50, 300), "learning_rate": (0.01, 0.3), "max_depth": (3, 10)}
@@ -68,7 +68,7 @@ def tune(df: DataFrame, target: str | None = None, *, plugin: str = "xgboost",
         evaluator = RegressionEvaluator(labelCol=LABEL, metricName="rmse")
     search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
                             numFolds=cv, seed=seed, parallelism=parallelism)
-    means = list(search.fit(with_class_metadata(spread(design(df, model)), model)).avgMetrics)
+    means = list(search.fit(with_class_metadata(spread(design(df, model), SPREAD_ROWS), model)).avgMetrics)
     pick = max if model.is_classifier else min
     best = pick(range(len(means)), key=means.__getitem__)
     rows = [(i, json.dumps(s), float(m), i == best) for i, (s, m) in enumerate(zip(settings, means))]

@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tabforge.functions.workspace import cut_lineage, spread
 from tabforge.plans.models import FEATURES, LABEL, TrainedModel, design, load_model, model_dir, save_model
-from tabforge.plans.training import BOOSTING_PRESETS, fit_forest
+from tabforge.plans.training import BOOSTING_PRESETS, SPREAD_ROWS, fit_forest
 
 _MARGIN, _RESIDUAL, _STEP = "__margin", "__residual", "__step"
 
@@ -39,7 +39,7 @@ def update_boosted(model: TrainedModel, df: DataFrame, n_estimators: int = 50,
     """Boosting rounds on the new rows, starting from the old model's margins."""
     _check_features(model, df)
     rate = learning_rate or model.params["learning_rate"]
-    rows = spread(design(df, model)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(design(df, model), SPREAD_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if model.combine == "one_vs_rest":
             members = [
