@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.workspace import cut_lineage
@@ -36,18 +36,16 @@ def with_row_index(df: DataFrame, order_by: str | Sequence[str] | None = None,
     else:
         ranged = df
     fixed = cut_lineage(ranged)
-    sizes = sorted(fixed.groupBy(F.spark_partition_id().alias("pid")).count().collect())
-    offsets, total = [], 0
-    for r in sizes:
-        offsets.append((r["pid"], total))
-        total += r["count"]
+    pid, count, offset, mid = "__pid", "__count", "__offset", "__mid"
     # One row per partition: bounded by the number of shuffle partitions.
-    table = df.sparkSession.createDataFrame(offsets, "__pid int, __offset bigint")
-    placed = fixed.withColumn("__mid", F.monotonically_increasing_id())
-    placed = placed.withColumn("__pid", F.shiftright("__mid", _POSITION_BITS).cast("int"))
-    within = F.col("__mid").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    joined = placed.join(F.broadcast(table), "__pid")
-    return joined.select(*df.columns, (F.col("__offset") + within).alias(index))
+    earlier = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = fixed.groupBy(F.spark_partition_id().alias(pid)).agg(F.count("*").alias(count)).select(
+        pid, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(offset))
+    placed = fixed.withColumn(mid, F.monotonically_increasing_id())
+    placed = placed.withColumn(pid, F.shiftright(mid, _POSITION_BITS).cast("int"))
+    within = F.col(mid).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    return placed.join(F.broadcast(offsets), pid).select(
+        *df.columns, (F.col(offset) + within).alias(index))
 
 
 def chunk_rows(df: DataFrame, chunk_size: int, order_by: str | Sequence[str] | None = None,
