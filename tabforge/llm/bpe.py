@@ -19,7 +19,7 @@ from tabforge.llm.common import arrow_map, utf8
 #: Distinct words a task remembers with their ids before it starts anew; bounds a worker's memory.
 MEMO_WORDS = 200_000
 #: Bytes of text encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -34,8 +34,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class ByteBpe:
-    """Ranks of tokens as a model of the tokenizers library, with both byte tables.
+class ByteDecoder:
+    """The bytes of each id, by the reversed byte table."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        chars = byte_characters()
+        back = {c: b for b, c in chars.items()}
+        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            table[i] = bytes(map(back.__getitem__, map(chars.__getitem__, token)))
+        self.table = pa.array(table, pa.large_binary())
+        self.lengths = np.array([len(t or b"") for t in table], np.int64)
+
+    def offsets(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each token and the one after its last.
+
+        A character whose bytes are split over several tokens belongs to each of them.
+        """
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
+        at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # byte to 1-based character
+        return (at[starts] - 1).astype(np.int32), at[ends - 1].astype(np.int32)
+
+    def decode(self, ids: pa.Array, bounds: np.ndarray) -> pa.Array:
+        """The bytes of each run of ids between ``bounds``, joined before any character is formed."""
+        tokens = pc.take(self.table, ids)
+        ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset:tokens.offset + len(tokens) + 1]
+        marks = np.ascontiguousarray(ends[bounds])
+        return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(marks), tokens.buffers()[2]])
+
+
+class ByteEncoder:
+    """Ranks of tokens as a model of the tokenizers library.
 
     A rank file names tokens only.  Any two neighbours whose bytes join to a token may merge, the
     token of lowest rank first; so every such split is a merge, in the order of the ranks.
@@ -47,18 +78,11 @@ class ByteBpe:
         shown = {t: "".join(map(chars.__getitem__, t)) for t in ranks}
         merges = [(shown[t[:i]], shown[t[i:]]) for t in sorted(ranks, key=ranks.get)
                   for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        vocab = {shown[t]: r for t, r in ranks.items()}
-        self._model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self._model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges,
+                                           ignore_merges=True))
         self._words = regex.compile(pattern)
-        self._chars = str.maketrans({b: c for b, c in chars.items()})
+        self._chars = str.maketrans(chars)
         self._memo: dict[str, list[int]] = {}
-        # Decoding: the bytes of each id, by the reversed byte table.
-        back = {c: b for b, c in chars.items()}
-        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, i in vocab.items():
-            table[i] = bytes(map(back.__getitem__, token))
-        self.table = pa.array(table, pa.large_binary())
-        self.lengths = np.array([len(t or b"") for t in table], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; every match of the pattern is encoded on its own.
@@ -77,27 +101,15 @@ class ByteBpe:
         ids = self._memo.__getitem__
         return [[i for w in found for i in ids(w)] for found in words]
 
-    def offsets(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First character of each token and the one after its last.
 
-        A character whose bytes are split over several tokens belongs to each of them.
-        """
-        ends = np.cumsum(self.lengths[ids])
-        starts = ends - self.lengths[ids]
-        at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # byte to 1-based character
-        return (at[starts] - 1).astype(np.int32), at[ends - 1].astype(np.int32)
-
-    def decode(self, ids: pa.Array, bounds: np.ndarray) -> pa.Array:
-        """The bytes of each run of ids between ``bounds``, joined before any character is formed."""
-        tokens = pc.take(self.table, ids)
-        ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset:tokens.offset + len(tokens) + 1]
-        marks = np.ascontiguousarray(ends[bounds])
-        return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(marks), tokens.buffers()[2]])
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> ByteEncoder:
+    return ByteEncoder(path, pattern)
 
 
 @lru_cache(maxsize=2)
-def _model(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+def _decoder(path: str) -> ByteDecoder:
+    return ByteDecoder(path)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -112,20 +124,20 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     schema = f"doc_id {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
 
     def encode(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        model = _model(path, pattern)
+        model = _encoder(path, pattern)
         for part in _by_bytes(batch):
             data = utf8(part.column(1))
             found = model.encode([d.decode("utf-8", "replace") for d in data])
             columns = [part.column(0), _lists([np.array(x, np.int32) for x in found])]
             if offsets:
-                pairs = [model.offsets(d, np.array(x, np.int64)) for d, x in zip(data, found)]
+                pairs = [_decoder(path).offsets(d, np.array(x, np.int64)) for d, x in zip(data, found)]
                 columns += [_lists([p[0] for p in pairs]), _lists([p[1] for p in pairs])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "starts", "ends"][:len(columns)])
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), schema, encode)
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``: the bytes of the ids.
 
     Characters split over tokens come out whole, as bytes are joined first; ids that end inside a
@@ -139,7 +151,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids"
     def decode(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         lists = batch.column(at)
         bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
-        decoded = _model(path, pattern).decode(pc.list_flatten(lists), bounds.astype(np.int64))
+        decoded = _decoder(path).decode(pc.list_flatten(lists), bounds.astype(np.int64))
         if lists.null_count:
             decoded = pc.if_else(lists.is_valid(), decoded, pa.scalar(None, pa.large_binary()))
         yield pa.RecordBatch.from_arrays([*batch.columns, decoded.cast(pa.binary())],

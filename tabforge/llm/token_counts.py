@@ -16,11 +16,11 @@ from tokenizers import Tokenizer
 from tabforge.llm.common import arrow_map, utf8
 
 #: Bytes of text in one call of the library.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: A longer text is split, so that one document never makes a batch of its own size.
 SPLIT_CHARS = 1 << 18
 #: Distinct words whose counts a task remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: A byte-level pre-tokenizer never joins white space to what stands before it.
 _BOUNDARY = re.compile(r"(?<=[!-~])(?=[\t\n\v\f\r ])")
 
