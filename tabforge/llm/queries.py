@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm.bpe import decode_ids, encode_texts
+from tabforge.llm.exact import exact_duplicates
+from tabforge.llm.sharding import shard_rows
 from tabforge.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.PATTERN)
+
+
+@query
+def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_table(spark, sf_dir, "documents"), shards=40, seed=20)
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+SQL["op8_exact_dedup"] = """
+    WITH t AS (
+        SELECT doc_id, coalesce(text, '') AS text,
+               regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
+    r AS (
+        SELECT doc_id, norm, first_value(doc_id) OVER (
+                   PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+"""
