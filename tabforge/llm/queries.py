@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm.bpe import decode_ids, encode_texts
+from tabforge.llm.chat import echo_pairs, format_preferences, gather_turns
 from tabforge.llm.exact import exact_duplicates
+from tabforge.llm.lines import dedup_lines
+from tabforge.llm.packing import pack_documents
 from tabforge.llm.sharding import shard_rows
 from tabforge.llm.token_counts import count_tokens
 
@@ -62,3 +65,67 @@ SQL["op8_exact_dedup"] = """
                count(*) OVER (PARTITION BY norm) AS group_size FROM t)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of a byte-level model: a token for each UTF-8 byte and one that ends the document."""
+    docs = _table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n_tokens"))
+    return pack_documents(sized, PACK_LENGTHS, "n_tokens")
+
+
+#: Permitted sequence lengths of the packing queries, in byte tokens.
+PACK_LENGTHS = (2048, 4096, 8192, 16384)
+
+
+@query
+def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = format_preferences(echo_pairs(gather_turns(_table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(
+        s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))), ",")
+    return formatted.select(
+        F.col("pair_id").alias("conv_id"), "status", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt",
+        "chosen", "rejected", spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
+
+
+SQL["op10_preference_chat"] = """
+    WITH t AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    n AS (
+        SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS turns,
+               '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+        FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    l AS (SELECT conv_id, max(k) AS m FROM n WHERE role = 'assistant' GROUP BY conv_id HAVING max(k) > 1),
+    r AS (  -- the answer that echoes the turn before it
+        SELECT l.conv_id, l.m, p.text AS echo, a.text = p.text AS equal
+        FROM l JOIN n a ON a.conv_id IS NOT DISTINCT FROM l.conv_id AND a.k = l.m
+               JOIN n p ON p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.k = l.m - 1),
+    c AS (
+        SELECT n.*, CASE WHEN r.m IS NULL THEN 0 WHEN r.equal THEN r.m ELSE r.m - 1 END AS prefix, r.echo, r.equal, r.m,
+               r.m IS NULL AS missing
+        FROM n LEFT JOIN r ON n.conv_id IS NOT DISTINCT FROM r.conv_id),
+    s AS (
+        SELECT *, coalesce(sum(CASE WHEN k > prefix THEN length(shown) END) OVER (
+                   PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c),
+    g AS (
+        SELECT conv_id, any_value(missing) AS missing, any_value(prefix) AS n_prompt_turns, any_value(turns) AS turns,
+               any_value(equal) AS equal, any_value(echo) AS echo,
+               coalesce(string_agg(shown, '' ORDER BY k) FILTER (k <= prefix), '') AS prompt,
+               coalesce(string_agg(shown, '' ORDER BY k) FILTER (k > prefix), '') AS chosen,
+               coalesce(string_agg((at + 14)::BIGINT::VARCHAR || '-' || (at + 21 + length(text))::BIGINT::VARCHAR, ',' ORDER BY k)
+                   FILTER (k > prefix AND role = 'assistant'), '') AS chosen_spans
+        FROM s GROUP BY conv_id),
+    o AS (
+        SELECT *, CASE WHEN missing OR equal THEN '' ELSE '<|assistant|>' || chr(10) || echo || '<|end|>' || chr(10) END AS rejected,
+               CASE WHEN missing OR equal THEN '' ELSE '14-' || (21 + length(echo))::VARCHAR END AS rejected_spans FROM g)
+    SELECT conv_id, CASE WHEN missing THEN 'missing' WHEN chosen = '' AND rejected = '' THEN 'same'
+                         WHEN chosen_spans = '' OR rejected_spans = '' THEN 'no_loss' ELSE 'pair' END AS status,
+           n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans FROM o
+"""
