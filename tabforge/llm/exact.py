@@ -98,6 +98,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select(F.col("recipe").alias("same"), F.col("best.doc_id").alias("keep_id"),
                            (-F.col("best.less")).alias("most"), "group_size")
+    groups = stored(groups, "groups")  # with exchanges of its own, the join can split a hot group
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("most"))
     return rows.join(groups, F.col("recipe") == F.col("same")).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
