@@ -12,6 +12,7 @@ from tabforge.llm.bpe import decode_ids, encode_texts
 from tabforge.llm.chat import echo_pairs, format_preferences, gather_turns
 from tabforge.llm.exact import exact_duplicates
 from tabforge.llm.lines import dedup_lines
+from tabforge.llm.minhash import near_duplicates
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.sharding import shard_rows
 from tabforge.llm.token_counts import count_tokens
@@ -129,3 +130,8 @@ SQL["op10_preference_chat"] = """
                          WHEN chosen_spans = '' OR rejected_spans = '' THEN 'no_loss' ELSE 'pair' END AS status,
            n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans FROM o
 """
+
+
+@query
+def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
