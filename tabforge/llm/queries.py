@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.bpe import decode_ids, encode_texts
 from tabforge.llm.chat import echo_pairs, format_preferences, gather_turns
+from tabforge.llm.embeddings import similar_vectors
 from tabforge.llm.exact import exact_duplicates
 from tabforge.llm.lines import dedup_lines
 from tabforge.llm.minhash import near_duplicates
@@ -135,3 +136,8 @@ SQL["op10_preference_chat"] = """
 @query
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query
+def op2_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_table(spark, sf_dir, "embeddings"), similarity=0.93)
