@@ -86,11 +86,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = stored(arrow_map(keyed.select("id", "digest", "text"),
                              f"id {kind}, digest long, first int, last int, at int, mark long, content binary", scan), "windows")
-    repeated = (found.select("mark", "id", "digest", "at").distinct().groupBy("mark").count().where("count > 1").select("mark"))
+    repeated = found.select("mark", "id", "digest", "at").distinct().groupBy("mark").count().where("count > 1").select("mark")
+    repeated = stored(repeated, "marks")  # with exchanges of its own, the join can split a hot mark
     # The order of places: null ids last.
     place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "first")
     matches = found.join(repeated, "mark", "left_semi").withColumn("place", place)
     first = matches.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first, "origins")
     later = matches.join(first, "content").where("place <> origin")
     gone = later.groupBy("id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
