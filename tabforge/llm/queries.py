@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm.bpe import decode_ids, encode_texts
 from tabforge.llm.chat import echo_pairs, format_preferences, gather_turns
 from tabforge.llm.embeddings import similar_vectors
 from tabforge.llm.exact import exact_duplicates
+from tabforge.llm.langid import predict_language, train_language_model
 from tabforge.llm.lines import dedup_lines
 from tabforge.llm.minhash import near_duplicates
 from tabforge.llm.packing import pack_documents
@@ -141,3 +142,15 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(_table(spark, sf_dir, "embeddings"), similarity=0.93)
+
+
+def held_out() -> Column:
+    """Documents that no model learns from: the checksum of the id leaves 2 by 4; false without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = train_language_model(docs.where("not held_out and doc_id is not null"))
+    return predict_language(docs, model, keep=("doc_id", "held_out"))
