@@ -116,13 +116,13 @@ SQL["op10_preference_chat"] = """
         FROM n LEFT JOIN r ON n.conv_id IS NOT DISTINCT FROM r.conv_id),
     s AS (
         SELECT *, coalesce(sum(CASE WHEN k > prefix THEN length(shown) END) OVER (
-                   PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c),
+                   PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c),
     g AS (
         SELECT conv_id, any_value(missing) AS missing, any_value(prefix) AS n_prompt_turns, any_value(turns) AS turns,
                any_value(equal) AS equal, any_value(echo) AS echo,
                coalesce(string_agg(shown, '' ORDER BY k) FILTER (k <= prefix), '') AS prompt,
                coalesce(string_agg(shown, '' ORDER BY k) FILTER (k > prefix), '') AS chosen,
-               coalesce(string_agg((at + 14)::BIGINT::VARCHAR || '-' || (at + 21 + length(text))::BIGINT::VARCHAR, ',' ORDER BY k)
+               coalesce(string_agg((pos + 14)::BIGINT::VARCHAR || '-' || (pos + 21 + length(text))::BIGINT::VARCHAR, ',' ORDER BY k)
                    FILTER (k > prefix AND role = 'assistant'), '') AS chosen_spans
         FROM s GROUP BY conv_id),
     o AS (
