@@ -86,8 +86,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links of all its rows; a row without id links with nothing and is kept.  Other columns are ignored.
 
     No bucket is expanded into pairs: its members are compared with one of them first, and links make components.
-    A bucket that lies in one component is done.  After ``STAR_ROUNDS`` rounds, members outside the largest component
-    of their bucket are compared with all members of other components, which leaves no candidate link out.
+    A bucket that lies in one component is done.  After ``STAR_ROUNDS`` rounds, the classes of all other buckets are
+    compared where the rarest parts of their sets meet, which leaves no link between them out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     placed = usable.select("key", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
     members = stored(placed.join(shared, "bucket"), "members")
-    sets = stored(_sets(docs, classes.join(members.select("key").distinct(), "key"), words), "sets")
+    sets = _sets(docs, classes.join(members.select("key").distinct(), "key"), words)
+    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")  # stored, so the numbers stay
     # Classes of one document id, then confirmed links.
     links = [cut_lineage(usable.select("doc_id", "key").distinct().groupBy("doc_id").agg(
         F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("a", "b"))]
@@ -118,7 +119,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     tested, component = None, None
     for turn in range(STAR_ROUNDS + 1):
         live = _live(members, component)
-        pairs = _stars(live, turn) if turn < STAR_ROUNDS else _rest(live)
+        pairs = _stars(live, turn) if turn < STAR_ROUNDS else _rest(live, sets, percent)
         pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -165,14 +166,37 @@ def _stars(live: DataFrame, turn: int) -> DataFrame:
         F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
 
 
-def _rest(live: DataFrame) -> DataFrame:
-    """Members outside the largest component of their bucket, with all members of other components there."""
-    parts = live.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main")).select("bucket", "main.component")
-    outside = live.join(main, ["bucket", "component"], "left_anti")
-    inside = live.select("bucket", F.col("key").alias("other"), F.col("n").alias("n_b"), F.col("component").alias("c"))
-    return outside.join(inside, "bucket").where("component <> c").select(
-        F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), F.col("n").alias("n_a"), "n_b")
+def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components among the live classes that can still be similar enough.
+
+    A group of copies with many edits shares buckets without being linked, so its buckets say little.  What
+    tells its members apart are rare shingles: with the shingles of each set in the order of frequency, two
+    sets of this similarity have one in common among their first ``n - ceil(n * percent / 100) + 1``, and what
+    follows it must suffice for the overlap.  Both conditions are necessary, so no link is left out.
+    """
+    named = live.select("key", "component").distinct().join(sets, "key")
+
+    def spell(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), i)), pa.array(np.full(len(found), len(found))), pa.array(found)], ["id", "n", "shingle"])
+
+    spelled = arrow_map(named.select("id", "set"), "id long, n long, shingle long", spell)
+    common = stored(spelled.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "shingles")
+    ordered = spelled.join(common, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")  # shingles of no other set come first
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    prefix = F.slice("shared", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int"))
+    ordered = ordered.select("id", "n", alone.alias("alone"), prefix.alias("prefix"))
+    spots = ordered.select("id", "n", "alone", F.posexplode("prefix").alias("at", "spot")).select(
+        "id", "n", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("spot.shingle").alias("shingle"))
+    spots = stored(spots.join(named.select("id", "key", "component"), "id"), "spots")
+    x, y = (spots.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "component", "id", "n", "at")]) for s in "ab")
+    enough = f"{100 + percent} * (1 + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)"
+    similar = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    met = x.join(y, (x["shingle"] == y["shingle"]) & F.expr(f"id_a < id_b and component_a <> component_b and {enough} and {similar}"))
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "n_a", "n_b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
