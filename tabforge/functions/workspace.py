@@ -112,33 +112,7 @@ def file_names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
-def first_bytes(spark: SparkSession, path: str, n: int = 64) -> bytes:
-    """Leading bytes of one file, to tell its layout."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and root that listings show."""
     fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        out = bytearray()
-        while len(out) < n:
-            b = stream.read()
-            if b < 0:
-                break
-            out.append(b)
-        return bytes(out)
-    finally:
-        stream.close()
-
-
-def first_file(spark: SparkSession, pattern: str) -> str | None:
-    """First file, by name, under a path or glob."""
-    fs, p = _fs(spark, pattern)
-    found = sorted(fs.globStatus(p) or [], key=lambda s: s.getPath().toString())
-    while found:
-        status = found.pop(0)
-        name = status.getPath().getName()
-        if name.startswith(("_", ".")):
-            continue
-        if status.isFile():
-            return status.getPath().toString()
-        inner = sorted(fs.listStatus(status.getPath()), key=lambda s: s.getPath().toString())
-        found = list(inner) + found
-    return None
+    return fs.makeQualified(p).toString()

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from tabforge.functions.types import is_numeric
 from tabforge.operators.rows import with_row_index
 
-# Largest label set that is sent to every executor.
-BROADCAST_LABELS = 100_000
-
-
 def target_name(df: DataFrame, target: str | None = None) -> str:
     """The wanted target, or the last column when it is absent."""
     return target if target and target in df.columns else df.columns[-1]
@@ -56,22 +52,16 @@ def scoring_vector(df: DataFrame, features: Sequence[str], keep: Iterable[str] =
     return df.select(*keep, *cols)
 
 
-def label_ids(df: DataFrame, label: str, out: str = "label_id") -> tuple[DataFrame, bool]:
-    """Sorted distinct labels numbered from 0, and whether the set is small.
-
-    A small set is numbered from a bounded fetch; a larger one is range-sorted
-    and numbered by partition offsets.
-    """
-    values = df.select(label).where(F.col(label).isNotNull()).distinct()
-    head = values.limit(BROADCAST_LABELS + 1).collect()
-    if len(head) <= BROADCAST_LABELS:
-        pairs = [(v, i) for i, v in enumerate(sorted(r[0] for r in head))]
-        schema = f"`{label}` {df.schema[label].dataType.simpleString()}, `{out}` bigint"
-        return df.sparkSession.createDataFrame(pairs, schema), True
-    return with_row_index(values, label, out), False
+def label_ids(df: DataFrame, label: str, out: str = "label_id") -> DataFrame:
+    """Sorted distinct labels numbered from 0, NaN last: range-sorted, numbered by partition offsets."""
+    values = df.select(label).where(F.col(f"`{label}`").isNotNull()).distinct()
+    return with_row_index(values, f"`{label}`", out)
 
 
 def encode_labels(df: DataFrame, label: str, out: str = "label_id") -> DataFrame:
-    """Add the label's id; a null label has a null id."""
-    ids, small = label_ids(df, label, out)
-    return df.join(F.broadcast(ids) if small else ids, label, "left").select(*df.columns, out)
+    """Add the label's id; a null label has a null id.
+
+    One plan for any number of labels: adaptive execution sends a small label table to all tasks and
+    splits a hot label otherwise.
+    """
+    return df.join(label_ids(df, label, out), label, "left").select(*[f"`{c}`" for c in df.columns], out)

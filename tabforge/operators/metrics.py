@@ -47,10 +47,15 @@ def _hit() -> Column:
     return F.col("y_true").eqNullSafe(F.col("y_pred"))
 
 
-def binary_metrics(df: DataFrame, label: str, prediction: str, *, pos_label=1,
+def binary_metrics(df: DataFrame, label: str, prediction: str, *, pos_label=None,
                    by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, and F1 of the positive class (0 when it never occurs)."""
+    """Accuracy, and F1 of the positive class (0 when it never occurs).
+
+    Without ``pos_label`` it is 1, or the largest label where labels are text.
+    """
     conf = confusion_matrix(df, label, prediction, by)
+    if pos_label is None:
+        pos_label = conf.agg(F.max("y_true")).first()[0] if isinstance(df.schema[label].dataType, T.StringType) else 1
     pos = F.lit(pos_label)
     n = F.col("n")
     true_pos = F.coalesce(F.sum(F.when((F.col("y_true") == pos) & (F.col("y_pred") == pos), n)), F.lit(0))

@@ -224,8 +224,8 @@ def task_from_count(data_type: T.DataType, n_distinct: int, max_classes: int | N
 
 
 def task_types(df: DataFrame, labels: Iterable[str]) -> DataFrame:
-    """Distinct count (capped at 21) and task of several label columns."""
-    counts = bounded_distincts(df, labels, MAX_INTEGER_CLASSES)
+    """Exact distinct count and task of several label columns."""
+    counts = {r.column_name: r.n_distinct for r in distinct_counts(df, list(labels)).collect()}
     rows = [(label, n, task_from_count(df.schema[label].dataType, n, MAX_INTEGER_CLASSES))
             for label, n in counts.items()]
     return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct bigint, task string")

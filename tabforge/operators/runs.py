@@ -61,7 +61,7 @@ def node_states(log: DataFrame, node_ids: Sequence[str] | None = None) -> DataFr
     number = F.array_position(known, F.col("state"))
     number = F.when(number > 0, number).otherwise(
         F.raise_error(F.concat(F.lit("unknown state "), F.coalesce("state", F.lit("null")))).cast("bigint"))
-    latest = log.groupBy("run_name", "node_id").agg(F.max_by(number, "ts").alias("number"))
+    latest = log.groupBy("run_name", "node_id").agg(F.max_by(number, F.struct("ts", number)).alias("number"))
     latest = latest.select("run_name", "node_id", F.element_at(known, F.col("number").cast("int")).alias("state"))
     if node_ids is None:
         return latest

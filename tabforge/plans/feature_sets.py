@@ -50,7 +50,7 @@ class FeatureSets:
     def info(self, name: str, version: int | None = None) -> DataFrame:
         """Catalog row of one version, the latest by default."""
         rows = self.catalog().where(F.col("name") == name)
-        return rows.where(F.col("version") == version) if version else latest_versions(rows)
+        return rows.where(F.col("version") == version) if version is not None else latest_versions(rows)
 
     def columns(self, name: str, version: int | None = None) -> DataFrame:
         """Profile of a version from the catalog, without reading its data."""
@@ -92,7 +92,7 @@ class FeatureSets:
     def load(self, name: str, version: int | None = None) -> DataFrame:
         found = self.info(name, version).select("data_path").collect()
         if not found:
-            wanted = f"{name} version {version}" if version else name
+            wanted = f"{name} version {version}" if version is not None else name
             raise KeyError(f"feature set {wanted} not found")
         return self.spark.read.parquet(found[0].data_path)
 

@@ -21,7 +21,6 @@ from tabforge.operators.runs import MODEL_FOLDERS, best_model, model_catalog
 
 # Internal columns, prefixed so they never meet a user's column.
 FEATURES, LABEL, SCORES = "__features", "__label", "__scores"
-MAX_CLASSES = 1000
 
 
 @dataclass

@@ -27,7 +27,6 @@ from tabforge.operators.profile import BINARY, MULTICLASS, REGRESSION, detect_ta
 from tabforge.plans.models import (
     FEATURES,
     LABEL,
-    MAX_CLASSES,
     TrainedModel,
     array_widths,
     design,
@@ -45,18 +44,14 @@ BOOSTING_PRESETS = {
 }
 
 
-def class_labels(df: DataFrame, target: str) -> list:
-    """Sorted distinct labels.
-
-    A sketch refuses a hopeless label column before its values are shuffled.
-    """
-    label = F.col(f"`{target}`")
-    if df.agg(F.approx_count_distinct(label, 0.05).alias("n")).first().n > 1.5 * MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    rows = df.select(target).where(label.isNotNull()).distinct().limit(MAX_CLASSES + 1)
+def class_labels(df: DataFrame, target: str, max_classes: int | None = None) -> list:
+    """Sorted distinct labels, which a model holds; ``max_classes`` refuses more of them."""
+    rows = df.select(f"`{target}`").where(F.col(f"`{target}`").isNotNull()).distinct()
+    if max_classes is not None:
+        rows = rows.limit(max_classes + 1)
     labels = sorted(r[0] for r in rows.collect())
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    if max_classes is not None and len(labels) > max_classes:
+        raise ValueError(f"{target} has more than {max_classes} classes")
     if len(labels) < 2:
         raise ValueError(f"{target} needs at least two classes")
     return labels

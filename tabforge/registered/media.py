@@ -25,8 +25,9 @@ def png_bytes(embedding: pd.Series, rgb: pd.Series) -> pd.Series:
         return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 
     def build(v, colour: bool) -> bytes:
-        side = int(len(v) ** 0.5)
-        grey = (np.clip(np.asarray(v)[:side * side], -0.5, 0.5) * 254 + 127).astype("u1").reshape(side, side)
+        side = int(np.ceil(len(v) ** 0.5))
+        square = np.pad(np.asarray(v, float), (0, side * side - len(v)))
+        grey = (np.clip(square, -0.5, 0.5) * 254 + 127).astype("u1").reshape(side, side)
         px = np.repeat(grey, 3, axis=1) if colour else grey
         raw = b"".join(b"\0" + row.tobytes() for row in px)
         head = struct.pack(">IIBBBBB", side, side, 8, 2 if colour else 0, 0, 0, 0)

@@ -161,7 +161,7 @@ def _task_sql() -> str:
                 rule = ("CASE WHEN n = 2 THEN 'binary_classification' WHEN n <= 20 THEN 'multiclass' "
                         "ELSE 'regression' END")
             parts.append(f"SELECT '{name}' AS table_name, '{c}' AS column_name, n AS n_distinct, {rule} AS task "
-                         f"FROM (SELECT least(count(DISTINCT {c}), 21) AS n FROM {name})")
+                         f"FROM (SELECT count(DISTINCT {c}) AS n FROM {name})")
     return " UNION ALL ".join(parts)
 
 
@@ -222,6 +222,22 @@ def encode_labels(spark, sf_dir):
     return coded.groupBy(F.col("p_brand").alias("label"), "label_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("encode_labels_missing", """
+WITH t AS (SELECT CASE WHEN l_quantity = 1 THEN 'NaN'::DOUBLE WHEN l_quantity = 2 THEN NULL ELSE l_quantity END AS y FROM lineitem),
+     ids AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS label_id FROM (SELECT DISTINCT y FROM t WHERE y IS NOT NULL))
+SELECT CAST(t.y AS INTEGER) AS label, isnan(t.y) AS is_nan, ids.label_id, count(*) AS n
+FROM (SELECT * FROM t) t LEFT JOIN ids ON t.y = ids.y GROUP BY ALL
+""".replace("CAST(t.y AS INTEGER)", "CASE WHEN NOT isnan(t.y) THEN CAST(t.y AS INTEGER) END"))
+def encode_labels_missing(spark, sf_dir):
+    """NaN is a label and comes last; null is none."""
+    q = F.col("l_quantity").cast("double")
+    y = F.when(q == 1, F.lit(float("nan"))).when(q != 2, q)
+    coded = FE.encode_labels(table(spark, sf_dir, "lineitem").select(y.alias("y")), "y")
+    nan = F.when(F.col("y").isNotNull(), F.isnan("y")).alias("is_nan")
+    label = F.when(~F.isnan("y"), F.col("y").cast("int")).alias("label")
+    return coded.groupBy(label, nan, "label_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("distinct_counts", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM lineitem" for c in LINEITEM))
 def distinct_counts(spark, sf_dir):

@@ -151,6 +151,68 @@ def scan_multi_concat(spark, sf_dir):
     return files.read_table(spark, [f"{root}/customers.parquet", f"{root}/suppliers.csv"])
 
 
+# Supplier files differ from customer files: other order, one column fewer and one more.
+_MIXED = _STACKED.format(tag1="", tag2="")
+
+
+def _mixed_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    customers, suppliers = _parties(spark, sf_dir)
+    return customers, suppliers.select("nationkey", "region_hint", "key", "acctbal", "name")
+
+
+@query("scan_csv_glob_mixed", _MIXED)
+def scan_csv_glob_mixed(spark, sf_dir):
+    """One glob over files with other headers, delimiters and quoted line breaks."""
+    customers, suppliers = _mixed_frames(spark, sf_dir)
+    root = scratch_path(spark, "mixed-csv")
+    broken = customers.withColumn("segment", F.concat(F.substring("segment", 1, 3), F.lit("\n"), F.substring("segment", 4, 99)))
+    broken.write.options(header=True, escape='"').csv(f"{root}/customers")
+    suppliers.write.options(header=True, escape='"', sep=";").csv(f"{root}/suppliers")
+    found = files.read_table(spark, f"{root}/*/*.csv")
+    return found.withColumn("segment", F.replace("segment", F.lit("\n"), F.lit(""))).select(
+        "key", "name", "nationkey", "acctbal", "segment", "region_hint")
+
+
+@query("scan_parquet_glob_mixed", _MIXED)
+def scan_parquet_glob_mixed(spark, sf_dir):
+    root = scratch_path(spark, "mixed-parquet")
+    for name, df in zip(("customers", "suppliers"), _mixed_frames(spark, sf_dir)):
+        df.write.parquet(f"{root}/{name}")
+    return files.read_table(spark, f"{root}/*/*.parquet").select("key", "name", "nationkey", "acctbal", "segment", "region_hint")
+
+
+@query("scan_arrow_glob_mixed", _MIXED)
+def scan_arrow_glob_mixed(spark, sf_dir):
+    root = scratch_path(spark, "mixed-arrow")
+    for name, df in zip(("customers", "suppliers"), _mixed_frames(spark, sf_dir)):
+        write_arrow(df, f"{root}/{name}")
+    return files.read_table(spark, f"{root}/**/*.arrow").select("key", "name", "nationkey", "acctbal", "segment", "region_hint")
+
+
+@query("scan_json_mixed_layout", _MIXED)
+def scan_json_mixed_layout(spark, sf_dir):
+    """Customers as lines, suppliers as one array for each nation."""
+    customers, suppliers = _mixed_frames(spark, sf_dir)
+    root = scratch_path(spark, "mixed-json")
+    customers.write.json(f"{root}/customers")
+    arrays = suppliers.groupBy("nationkey").agg(F.to_json(F.collect_list(F.struct(*suppliers.columns))).alias("value"))
+    arrays.select(F.replace("value", F.lit(","), F.lit(",\n")).alias("value"), "nationkey").repartition("nationkey").write.partitionBy("nationkey").text(f"{root}/suppliers")
+    return files.read_json(spark, f"{root}/customers", f"{root}/suppliers/*/*.txt").select("key", "name", "nationkey", "acctbal", "segment", "region_hint")
+
+
+@query("scan_recursive_glob", """
+    SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier
+""")
+def scan_recursive_glob(spark, sf_dir):
+    """Files in folders of any depth; other folders are left out."""
+    customers, suppliers = _parties(spark, sf_dir)
+    root = scratch_path(spark, "deep")
+    customers.select("key", "name").write.option("header", True).csv(f"{root}/a/b/wanted")
+    suppliers.select("key", "name").write.option("header", True).csv(f"{root}/wanted")
+    suppliers.select("key", "name").write.option("header", True).csv(f"{root}/a/other")
+    return files.read_table(spark, f"{root}/**/wanted/*.csv")
+
+
 @query("merge_sources", _STACKED.format(tag1=", 'customers' AS source", tag2=", 'suppliers'"))
 def merged(spark, sf_dir):
     customers, suppliers = _parties(spark, sf_dir)
@@ -199,11 +261,6 @@ def label_from_dir(spark, sf_dir):
     return label_from_path(document_paths(spark, sf_dir).select("path"))
 
 
-@query("file_inventory")
-def file_inventory(spark, sf_dir):
-    return files.file_inventory(spark, sf_dir)
-
-
 @query("sample_head", "SELECT * FROM events ORDER BY event_id LIMIT 100")
 def sample_head(spark, sf_dir):
     return sample_rows(table(spark, sf_dir, "events"), 100, "event_id")

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.feather as feather
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +23,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from tabforge.functions import workspace
 from tabforge.functions.text import DEFAULT_PATH_FORMAT, PATH_FORMATS
+from tabforge.functions.types import common_type
 from tabforge.operators.combine import stack_by_name
 
 # File suffix to reader.
@@ -34,70 +40,162 @@ SUFFIX_READERS = {
 READ_BYTES_PER_TASK = 128 << 20
 
 
-def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(*paths)
+def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None = None, **options) -> DataFrame:
+    """Parquet files; without a schema, the union of the columns of all files.
+
+    Footers are merged in a Spark job.  Types that do not merge are widened, or become text, by reading
+    the files of each schema apart.
+    """
+    paths = expand(spark, *paths)
+    if schema:
+        return spark.read.options(**options).schema(schema).parquet(*paths)
+    try:
+        return spark.read.options(**options).option("mergeSchema", True).parquet(*paths)
+    except (PySparkException, Py4JJavaError) as error:
+        if "MERGE" not in str(error).upper():
+            raise
+    reader = spark.read.options(**options).option("mergeSchema", False)
+    groups: dict[str, list[str]] = {}
+    for r in list_files(spark, *paths).orderBy("path").collect():
+        groups.setdefault(reader.parquet(r.path).schema.json(), []).append(r.path)
+    return stack_by_name([reader.parquet(*found) for found in groups.values()])
+
+
+def expand(spark: SparkSession, *paths: str) -> list[str]:
+    """Paths and globs as they are; ``**``, which stands for any folders, by the files that match."""
+    out = []
+    for path in paths:
+        if "**" not in path:
+            out.append(path)
+            continue
+        root, _, rest = path.partition("**")
+        base = workspace.qualified(spark, root or ".")
+        inner = F.ltrim(F.substr("path", F.lit(len(base) + 1)), F.lit("/"))
+        found = [r.path for r in list_files(spark, root or ".").where(
+            inner.rlike(glob_pattern("**" + rest))).orderBy("path").collect()]
+        if not found:
+            raise FileNotFoundError(path)
+        out += found
+    return out
+
+
+def glob_pattern(pattern: str) -> str:
+    """Regular expression of a glob over a whole relative path."""
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = pattern[i]
+            out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|", "[": "[", "]": "]"}.get(c, re.escape(c))
+            i += 1
+    return f"^{out}$"
+
+
+def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file, head, open``: each file's first line that is not blank, and whether a quote stays open on some line.
+
+    One pass of the splittable text source over the files; only these rows are shuffled and kept.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    facts = lines.where(F.trim("value") != "").groupBy("file").agg(
+        F.min_by("value", "at").alias("head"), F.bool_or(quotes % 2 == 1).alias("open"))
+    return workspace.cut_lineage(facts)
+
+
+def _by_group(facts: DataFrame, keys: Sequence[str], paths: Sequence[str]) -> list[tuple]:
+    """(key values, paths) of each group of files; the given paths if all files are alike."""
+    groups = sorted(facts.groupBy(*keys).agg(F.min("file").alias("first")).collect(), key=lambda r: r["first"])
+    if len(groups) < 2:
+        return [(tuple(g[k] for k in keys), list(paths)) for g in groups]
+    same = lambda g: reduce(and_, [F.col(k).eqNullSafe(F.lit(g[k])) for k in keys])
+    return [(tuple(g[k] for k in keys), [r.file for r in facts.where(same(g)).select("file").orderBy("file").collect()])
+            for g in groups]
+
+
+def delimiter(header: str) -> str:
+    """The commonest of comma, semicolon, tab and bar outside quotes; comma among equals."""
+    bare = re.sub(r'"[^"]*"', "", header)
+    return max(",;\t|", key=bare.count)
 
 
 def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None,
              **options) -> DataFrame:
-    """CSV with a header.  Without a schema, types cost one more pass over the files.
+    """CSV with a header in each file; columns are matched by name over all files.
 
-    Files are split between lines; pass ``multiLine=True`` when quoted fields
-    hold line breaks, which reads each file in one task.
+    One pass over the lines finds the files that are alike.  Files of another header or delimiter are
+    read apart and stacked by name.  Files with a quoted line break are read by one task each, all others
+    are split between lines.  ``sep`` and ``multiLine`` may be given instead.  Without a schema,
+    types cost one more pass.
     """
-    reader = spark.read.options(**{"header": True, "multiLine": False, "escape": '"', **options})
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(list(paths))
+    paths = expand(spark, *paths)
+    base = {"header": True, "escape": '"', **options}
+    wanted = _struct(spark, schema)
+    frames = []
+    for (head, opened), found in _by_group(_first_lines(spark, paths), ["head", "open"], paths):
+        alike = {"sep": delimiter(head), "multiLine": opened, **base}
+        if wanted is None:
+            frames.append(spark.read.options(**{"inferSchema": True, **alike}).csv(found))
+            continue
+        names = spark.read.options(**alike).csv(found[:1]).columns
+        types = {f.name: f.dataType for f in wanted}
+        rows = spark.read.options(**alike).schema(T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])).csv(found)
+        frames.append(rows.select(*[F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+                                    for f in wanted]))
+    if not frames:
+        reader = spark.read.options(**base)
+        return (reader.schema(wanted) if wanted is not None else reader).csv(paths)
+    return frames[0] if len(frames) == 1 else stack_by_name(frames)
+
+
+def _struct(spark: SparkSession, schema: T.StructType | str | None) -> T.StructType | None:
+    return spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
 
 
 def read_json(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None,
               multi_line: bool | None = None, **options) -> DataFrame:
     """JSON lines, or files that hold one array or object each.
 
-    The layout is told from the first file unless ``multi_line`` says it.
+    The layout is told for each file, by its first line that is not blank, unless ``multi_line`` says it.
     JSON lines stay splittable; a multi-line file is read by one task.
     """
-    if multi_line is None:
-        multi_line = _looks_multi_line(spark, paths[0])
-    reader = spark.read.options(**options).option("multiLine", multi_line)
-    if schema:
-        reader = reader.schema(schema)
-    return reader.json(list(paths))
-
-
-def _looks_multi_line(spark: SparkSession, path: str) -> bool:
-    first = workspace.first_file(spark, path)
-    if first is None or first.endswith((".gz", ".bz2", ".zst", ".lz4", ".snappy")):
-        return False
-    head = workspace.first_bytes(spark, first, 4096).removeprefix(b"\xef\xbb\xbf").lstrip()
-    line, newline, _ = head.partition(b"\n")
-    if head.startswith(b"["):
-        return True
-    try:
-        json.loads(line)
-    except ValueError:
-        return bool(newline)  # the first line alone is no record
-    return False
+    paths = expand(spark, *paths)
+    reader = spark.read.options(**options)
+    reader = reader.schema(schema) if schema else reader
+    if multi_line is not None:
+        return reader.option("multiLine", multi_line).json(paths)
+    head = F.trim(F.replace("head", F.lit("\ufeff"), F.lit("")))
+    whole = head.startswith("[") | F.try_parse_json(head).isNull()
+    facts = _first_lines(spark, paths).select("file", whole.alias("whole"))
+    frames = [reader.option("multiLine", key[0]).json(found) for key, found in _by_group(facts, ["whole"], paths)]
+    if not frames:
+        return reader.json(paths)
+    return frames[0] if len(frames) == 1 else stack_by_name(frames)
 
 
-def read_arrow(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
-    """Arrow IPC and Feather files.
+def read_arrow(spark: SparkSession, *paths: str, schema: T.StructType | None = None,
+               options: dict[str, str] | None = None) -> DataFrame:
+    """Arrow IPC and Feather files; without a schema, the union of the columns of all files.
 
     Executors open the files themselves and each task streams some record
     batches, so one large file is shared among tasks and never held whole.
+    ``options`` are ``fs.s3a`` settings for files of an object store.
     """
-    files = list_files(spark, *paths)
+    files = list_files(spark, *expand(spark, *paths))
     if schema is None:
-        first = files.orderBy("path").limit(1).collect()
-        if not first:
+        schema = _united(files, options)
+        if schema is None:
             raise FileNotFoundError(", ".join(paths))
-        schema = from_arrow_schema(_arrow_schema(first[0].path))
     target = to_arrow_schema(schema)
 
     def footers(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            found = [(p, i) for p in b.column(0).to_pylist() for i in range(_batch_count(p))]
+            found = [(p, i) for p in b.column(0).to_pylist() for i in range(_batch_count(p, options))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _ in found], pa.string()), pa.array([i for _, i in found], pa.int64())],
                 names=["path", "batch"])
@@ -105,7 +203,7 @@ def read_arrow(spark: SparkSession, *paths: str, schema: T.StructType | None = N
     def load(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for path, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield from _aligned(_read_batch(path, i), target).to_batches()
+                yield from _aligned(_read_batch(path, i, options), target).to_batches()
 
     parts = files.select("path").mapInArrow(footers, "path string, batch bigint")
     # The rows to shuffle are tiny, so adaptive coalescing would leave one task:
@@ -115,6 +213,22 @@ def read_arrow(spark: SparkSession, *paths: str, schema: T.StructType | None = N
     return parts.repartition(tasks, "path", "batch").mapInArrow(load, schema)
 
 
+def _united(files: DataFrame, options: dict[str, str] | None) -> T.StructType | None:
+    """Columns of all files in first-seen order, read from the footers in tasks; only different schemas are collected."""
+    def schemas(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                found = from_arrow_schema(_arrow_schema(path, options)).json()
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([found])], names=["path", "found"])
+
+    kinds = files.select("path").mapInArrow(schemas, "path string, found string").groupBy("found").agg(F.min("path").alias("path"))
+    types: dict[str, T.DataType] = {}
+    for r in sorted(kinds.collect(), key=lambda r: r.path):
+        for f in T.StructType.fromJson(json.loads(r.found)):
+            types[f.name] = common_type(types[f.name], f.dataType) if f.name in types else f.dataType
+    return T.StructType([T.StructField(n, t) for n, t in types.items()]) if types else None
+
+
 def list_files(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
     """Path, size and time of files; contents are not read."""
     return (
@@ -130,16 +244,21 @@ def file_inventory(spark: SparkSession, *paths: str) -> DataFrame:
     return list_files(spark, *paths, recursive=False).select(name, size).orderBy("name")
 
 
-def _open(path: str):
+def _open(path: str, options: dict[str, str] | None = None):
     parsed = urlparse(path)
     if parsed.scheme in ("", "file"):
         return pafs.LocalFileSystem().open_input_file(unquote(parsed.path))
+    if options and parsed.scheme.startswith("s3"):
+        named = {"access_key": "access.key", "secret_key": "secret.key", "session_token": "session.token",
+                 "region": "endpoint.region", "endpoint_override": "endpoint"}
+        given = {k: options[f"fs.s3a.{v}"] for k, v in named.items() if f"fs.s3a.{v}" in options}
+        return pafs.S3FileSystem(**given).open_input_file(parsed.netloc + parsed.path)
     fs, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return fs.open_input_file(inner)
 
 
-def _arrow_schema(path: str) -> pa.Schema:
-    with _open(path) as f:
+def _arrow_schema(path: str, options: dict[str, str] | None = None) -> pa.Schema:
+    with _open(path, options) as f:
         magic = f.read(6)
         f.seek(0)
         if magic == b"ARROW1":
@@ -149,16 +268,16 @@ def _arrow_schema(path: str) -> pa.Schema:
         return ipc.open_stream(f).schema
 
 
-def _batch_count(path: str) -> int:
-    with _open(path) as f:
+def _batch_count(path: str, options: dict[str, str] | None = None) -> int:
+    with _open(path, options) as f:
         magic = f.read(6)
         f.seek(0)
         # Only the file layout has an index of its batches.
         return ipc.open_file(f).num_record_batches if magic == b"ARROW1" else 1
 
 
-def _read_batch(path: str, i: int) -> pa.Table:
-    with _open(path) as f:
+def _read_batch(path: str, i: int, options: dict[str, str] | None = None) -> pa.Table:
+    with _open(path, options) as f:
         magic = f.read(6)
         f.seek(0)
         if magic == b"ARROW1":
@@ -194,13 +313,6 @@ def read_table(spark: SparkSession, paths: str | Sequence[str], **kwargs) -> Dat
 
 
 def _read_one(spark: SparkSession, path: str, kind: str, **kwargs) -> DataFrame:
-    if "**" in path:
-        root, _, pattern = path.partition("**")
-        reader = spark.read.option("recursiveFileLookup", True).option(
-            "pathGlobFilter", pattern.strip("/") or "*")
-        if kind == "csv":
-            return reader.options(header=True, inferSchema=True).csv(root)
-        return reader.format(kind).load(root)
     if kind == "parquet":
         return read_parquet(spark, path, **kwargs)
     if kind == "json":
@@ -282,16 +394,13 @@ def read_object_store(spark: SparkSession, scheme: str, bucket: str, path: str,
     """
     url = build_object_url(scheme, bucket, path)
     file_format = file_format or detect_path_format(path)
+    options = options or {}
     if file_format == "arrow":
-        return read_arrow(spark, url, schema=schema)
-    reader = spark.read.options(**(options or {}))
-    if schema:
-        reader = reader.schema(schema)
+        return read_arrow(spark, url, schema=schema, options=options)
     if file_format == "parquet":
-        return reader.parquet(url)
+        return read_parquet(spark, url, schema=schema, **options)
     if file_format in ("json", "jsonl"):
-        return reader.json(url)
+        return read_json(spark, url, schema=schema, **options)
     if file_format != "csv":
         raise ValueError(f"unsupported format {file_format!r}")
-    reader = reader.option("header", True).option("escape", '"')
-    return (reader if schema else reader.option("inferSchema", True)).csv(url)
+    return read_csv(spark, url, schema=schema, **options)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabforge.functions import text as X
 
 # Suffixes read as images.
-IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tiff")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".webp")
 UNREADABLE = (0, 0, "unknown")
 
 

@@ -31,7 +31,7 @@ def read_kafka(spark: SparkSession, topic: str, bootstrap_servers: str = "localh
 
 
 def stream_kafka(spark: SparkSession, topic: str, bootstrap_servers: str = "localhost:9092", *,
-                 batch_size: int = 500, auto_offset_reset: str = "earliest",
+                 batch_size: int | None = None, auto_offset_reset: str = "earliest",
                  group_id: str | None = None) -> DataFrame:
     """Streaming messages; offsets live in the query's checkpoint."""
     opts = kafka_options(topic, bootstrap_servers, auto_offset_reset=auto_offset_reset,

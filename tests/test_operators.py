@@ -199,9 +199,7 @@ def test_scoring_vector(spark):
     assert rows(features.scoring_vector(df, ["f1", "f2", "f3", "t"], target="t")) == [(0.0, 2.0, 0.0)]
 
 
-@pytest.mark.parametrize("limit", [100, 2])
-def test_label_codes_follow_sort_order(spark, monkeypatch, limit):
-    monkeypatch.setattr(features, "BROADCAST_LABELS", limit)
+def test_label_codes_follow_sort_order(spark):
     df = spark.createDataFrame([(10,), (2,), (10,), (None,), (-1,), (7,)], "y int")
     got = {(r.y, r.label_id) for r in features.encode_labels(df, "y").collect()}
     assert got == {(-1, 0), (2, 1), (7, 2), (10, 3), (None, None)}
@@ -326,3 +324,9 @@ def test_model_catalog_from_paths(spark):
     got = [tuple(r)[:5] for r in runs.model_catalog(df).orderBy("run_name").collect()]
     assert got == [("run_001", "train_random_forest", "random_forest", "multiclass", 2),
                    ("run_002", "train_other", "other", "unknown", 0)]
+
+
+def test_binary_metrics_choose_the_positive_text(spark):
+    df = spark.createDataFrame([("no", "no"), ("yes", "yes"), ("yes", "no")], "y string, p string")
+    got = {r.metric: r.value for r in metrics.binary_metrics(df, "y", "p").collect()}
+    assert got["f1"] == pytest.approx(2 / 3)
