@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators.metrics import evaluate
 from tabforge.operators.profile import REGRESSION
-from tabforge.plans.models import FEATURES, SCORES, TrainedModel, add_scores, feature_array, feature_names
+from tabforge.plans.models import FEATURES, SCORES, TrainedModel, add_scores, model_array, model_names
 
 _ROWS_PER_GROUP = 4096
 
@@ -24,11 +24,11 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
     scored side by side and reduced to metrics; variants never leave the scan
     side of that aggregate.
     """
-    names = feature_names(model.features, model.widths)
+    names = model_names(model)
     n_groups = max(1, df.count() // _ROWS_PER_GROUP)
     base = df.where(F.col(f"`{model.target}`").isNotNull()).select(
         F.col(f"`{model.target}`").alias("__y"),
-        feature_array(df, model.features, model.widths).alias("__x"),
+        model_array(df, model).alias("__x"),
         F.rand(seed).alias("__r"),
     ).withColumn("__g", F.floor(F.rand(seed + 1) * n_groups))
     ordered = Window.partitionBy("__g").orderBy("__r")

@@ -82,27 +82,53 @@ def array_widths(df: DataFrame, features: Sequence[str]) -> dict[str, int]:
     return first.asDict()
 
 
-def feature_names(features: Sequence[str], widths: dict[str, int]) -> list[str]:
+def feature_names(features: Sequence[str], widths: dict[str, int], flagged: bool = False) -> list[str]:
     out = []
     for c in features:
         out += [f"{c}[{i}]" for i in range(widths[c])] if c in widths else [c]
-    return out
+    return out + [f"{c} is missing" for c in features if c not in widths] if flagged else out
+
+
+def model_names(model: TrainedModel) -> list[str]:
+    """Names of the values in the model's feature vector."""
+    return feature_names(model.features, model.widths, model.params.get("missing") == "flag")
+
+
+def model_array(df: DataFrame, model: TrainedModel, invalid: str = "error") -> Column:
+    """The feature vector as the model was trained on it.  What it learned about gaps comes before ``invalid``."""
+    learned = model.params.get("missing", "error")
+    return feature_array(df, model.features, model.widths, invalid if learned == "error" else learned,
+                         model.params.get("fill"))
+
+
+def learn_gaps(df: DataFrame, model: TrainedModel, missing: str) -> None:
+    """Keep the policy with the model; ``flag`` also learns the mean of each plain feature as its fill."""
+    if missing not in ("error", "zero", "flag"):
+        raise ValueError(f"unknown policy {missing!r}")
+    if missing == "error":
+        return
+    model.params["missing"] = missing
+    plain = [c for c in model.features if c not in model.widths]
+    if missing == "flag" and plain:
+        value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+        means = df.agg(*[F.avg(value(c)).alias(c) for c in plain]).first()
+        model.params["fill"] = {c: 0.0 if means[c] is None else means[c] for c in plain}
 
 
 def feature_array(df: DataFrame, features: Sequence[str], widths: dict[str, int],
-                  invalid: str = "error") -> Column:
+                  invalid: str = "error", fill: dict[str, float] | None = None) -> Column:
     """All features of a row as one array of doubles.
 
-    ``invalid`` handles null and NaN: ``error`` stops the job, ``zero`` uses 0.
-    Pure column expressions, so it works on streams too.
+    ``invalid`` handles null and NaN: ``error`` stops the job, ``zero`` uses 0, ``flag`` uses ``fill`` and adds
+    a flag for each plain feature.  Pure column expressions, so it works on streams too.
     """
-    if invalid not in ("error", "zero"):
+    if invalid not in ("error", "zero", "flag"):
         raise ValueError(f"unknown policy {invalid!r}")
 
     def clean(value: Column, name: str) -> Column:
         value = value.cast("double")
-        other = F.lit(0.0) if invalid == "zero" else F.raise_error(
-            F.lit(f"feature {name} is null or NaN")).cast("double")
+        other = F.raise_error(F.lit(f"feature {name} is null or NaN")).cast("double") if invalid == "error" else F.lit(
+            float((fill or {}).get(name, 0.0)))
         return F.when(value.isNotNull() & ~F.isnan(value), value).otherwise(other)
 
     parts, plain = [], []
@@ -119,6 +145,10 @@ def feature_array(df: DataFrame, features: Sequence[str], widths: dict[str, int]
             plain.append(clean(F.col(f"`{c}`"), c))
         else:
             plain.append(F.lit(0.0))
+    if invalid == "flag":
+        present = lambda c: F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
+        plain += [F.when(present(c), 0.0).otherwise(1.0) if c in df.columns else F.lit(1.0)
+                  for c in features if c not in widths]
     if plain:
         parts.append(F.array(*plain))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -144,7 +174,7 @@ def design(df: DataFrame, model: TrainedModel) -> DataFrame:
 def inputs(df: DataFrame, model: TrainedModel, invalid: str = "error") -> Column:
     if model.kind == "text":
         return F.coalesce(F.col(f"`{model.features[0]}`").cast("string"), F.lit(""))
-    return array_to_vector(feature_array(df, model.features, model.widths, invalid))
+    return array_to_vector(model_array(df, model, invalid))
 
 
 # --- scoring -----------------------------------------------------------------------
@@ -231,7 +261,7 @@ def _feature_value(model: TrainedModel, df: DataFrame, name: str) -> Column:
 
 def feature_importance(model: TrainedModel) -> dict[str, float]:
     """Mean impurity importance over the members' trees; empty for other models."""
-    names = feature_names(model.features, model.widths)
+    names = model_names(model)
     trees = [m for m in model.members if hasattr(m, "featureImportances")]
     if not trees or model.kind == "text":
         return {}

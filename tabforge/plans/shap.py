@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions.workspace import scratch_path
-from tabforge.plans.models import TrainedModel, feature_array, feature_names
+from tabforge.plans.models import TrainedModel, model_array, model_names
 
 # A leaf as (value per output, features, lower bounds, upper bounds, shares).
 Leaf = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -29,7 +29,7 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
     explain their margins.
     """
     spark = df.sparkSession
-    names = feature_names(model.features, model.widths)
+    names = model_names(model)
     leaves = model_leaves(spark, model)
     width = len(names)
 
@@ -40,7 +40,7 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
             yield pd.DataFrame([[len(b), *np.abs(phi).mean(axis=2).sum(axis=0)]],
                                columns=["n", *[f"s{i}" for i in range(width)]])
 
-    rows = df.select(feature_array(df, model.features, model.widths).alias("x"))
+    rows = df.select(model_array(df, model).alias("x"))
     sums = rows.mapInPandas(explain, "n bigint, " + ", ".join(f"s{i} double" for i in range(width)))
     one = sums.agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(f"s{i}") for i in range(width)])
     return one.select(F.inline(F.array(*[

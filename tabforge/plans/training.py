@@ -31,7 +31,8 @@ from tabforge.plans.models import (
     array_widths,
     design,
     feature_columns,
-    feature_names,
+    learn_gaps,
+    model_names,
 )
 
 # Below this many rows an iteration costs less than starting its tasks.
@@ -73,10 +74,14 @@ def outline(df: DataFrame, plugin: str, target: str | None, features: Sequence[s
 def train_random_forest(df: DataFrame, target: str | None = None, *,
                         features: Sequence[str] | None = None, task: str | None = None,
                         n_estimators: int = 100, max_depth: int = 12, seed: int = 42,
-                        **tree_params) -> TrainedModel:
-    """Random forest; classification or regression by the label."""
+                        missing: str = "error", **tree_params) -> TrainedModel:
+    """Random forest; classification or regression by the label.
+
+    ``missing`` says what null and NaN features mean: an error, 0 (``zero``), or a learned fill and a flag (``flag``).
+    """
     params = {"n_estimators": n_estimators, "max_depth": max_depth, "seed": seed, **tree_params}
     model = outline(df, "random_forest", target, features, task, params)
+    learn_gaps(df, model, missing)
     model.combine = "votes" if model.is_classifier else "single"
     model.members.append(fit_forest(model, df, n_estimators))
     return model
@@ -84,7 +89,7 @@ def train_random_forest(df: DataFrame, target: str | None = None, *,
 
 def fit_forest(model: TrainedModel, df: DataFrame, n_estimators: int, seed: int | None = None):
     extra = {k: v for k, v in model.params.items()
-             if k not in ("n_estimators", "max_depth", "seed", "n_estimators_new")}
+             if k not in ("n_estimators", "max_depth", "seed", "n_estimators_new", "missing", "fill")}
     make = RandomForestClassifier if model.is_classifier else RandomForestRegressor
     forest = make(featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators,
                   maxDepth=model.params["max_depth"],
@@ -103,8 +108,12 @@ def with_class_metadata(rows: DataFrame, model: TrainedModel) -> DataFrame:
 def train_boosted(df: DataFrame, target: str | None = None, *, preset: str = "xgboost",
                   features: Sequence[str] | None = None, task: str | None = None,
                   n_estimators: int | None = None, learning_rate: float | None = None,
-                  max_depth: int | None = None, seed: int = 42, parallelism: int = 2) -> TrainedModel:
-    """Gradient-boosted trees: squared error, logistic, or one logistic model per class."""
+                  max_depth: int | None = None, seed: int = 42, parallelism: int = 2,
+                  missing: str = "error") -> TrainedModel:
+    """Gradient-boosted trees: squared error, logistic, or one logistic model per class.
+
+    ``missing`` as for forests.
+    """
     base = BOOSTING_PRESETS[preset]
     params = {
         "n_estimators": n_estimators or base["n_estimators"],
@@ -113,6 +122,7 @@ def train_boosted(df: DataFrame, target: str | None = None, *, preset: str = "xg
         "seed": seed,
     }
     model = outline(df, preset, target, features, task, params)
+    learn_gaps(df, model, missing)
     settings = {"featuresCol": FEATURES, "labelCol": LABEL, "maxIter": params["n_estimators"],
                 "stepSize": params["learning_rate"], "maxDepth": params["max_depth"], "seed": seed}
     use_checkpoint_dir(df.sparkSession)
@@ -152,7 +162,7 @@ def train_mlp(df: DataFrame, target: str | None = None, *, features: Sequence[st
     scaled = "__scaled"
     scaler = StandardScaler(inputCol=FEATURES, outputCol=scaled, withMean=True)
     if model.is_classifier:
-        width = len(feature_names(model.features, model.widths))
+        width = len(model_names(model))
         net = MultilayerPerceptronClassifier(
             featuresCol=scaled, labelCol=LABEL, seed=seed, maxIter=epochs, stepSize=learning_rate,
             layers=[width] + [hidden] * layers + [len(model.labels)])
