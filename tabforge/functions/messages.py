@@ -25,7 +25,10 @@ def with_json(df: DataFrame, text: Column, out: str = "__json") -> DataFrame:
     as the first item of a two-item array whose second item is the text's own
     hash: anything left over breaks the array or displaces the hash.  Steps
     that are used twice are columns of their own, so each runs once per row.
+
+    Of repeated keys the last counts.  Spark has that as a setting of the session, which is set here.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", True)
     mark = F.xxhash64("__text")
     pair = F.try_parse_json(F.concat(F.lit("["), "__text", F.lit(","), F.col("__mark").cast("string"), F.lit("]")))
     whole = F.try_variant_get("__pair", "$[1]", "bigint") == F.col("__mark")
@@ -41,8 +44,14 @@ def leading_char(text: Column) -> Column:
     return F.substring(F.ltrim(text, F.lit(" \t\n\r")), 1, 1)
 
 
-def _value_text(v: Column) -> Column:
-    """JSON text of a variant; a bare string is unquoted and JSON null is null."""
+def _value_text(v: Column, text: Column | None = None) -> Column:
+    """JSON text of a variant; a bare string is unquoted and JSON null is null.
+
+    ``text`` is the message itself: a bare number keeps all digits that it has there.
+    """
+    if text is not None:
+        bare = F.trim(text, F.lit(" \t\n\r"))
+        return F.when(bare.rlike("^-?[0-9]+$"), bare).otherwise(_value_text(v))
     return F.when(~F.is_variant_null(v),
                   F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
 
@@ -64,7 +73,7 @@ def parse_messages(df: DataFrame, column: str, fields: Mapping[str, str], *,
         *keep,
         "kind",
         *[F.try_variant_get(obj, _key_path(k), t).alias(prefix + k) for k, t in fields.items()],
-        F.when(F.col("kind") == "value", _value_text(F.col("__json"))).alias("value"),
+        F.when(F.col("kind") == "value", _value_text(F.col("__json"), F.col("__text"))).alias("value"),
         F.when(F.col("kind") == "raw", F.col("__text")).alias("raw"),
     )
 

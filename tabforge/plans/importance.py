@@ -35,11 +35,13 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     paired = base.withColumn(
         "__other", F.coalesce(F.lead("__x").over(ordered), F.first("__x").over(whole)))
-    variants = F.array(
-        F.struct(F.lit("").alias("feature"), F.col("__x").alias("x")),
-        *[F.struct(F.lit(n).alias("feature"), _swap(i).alias("x")) for i, n in enumerate(names)])
-    rows = paired.select("__y", F.inline(variants)).withColumn(FEATURES, array_to_vector("x"))
-    scored = add_scores(model, rows.select("__y", "feature", FEATURES))
+    # Variant -1 is the row itself.  One variant is made at a time, so a row never holds width * width numbers.
+    rows = paired.select("__y", "__x", "__other", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("feature"))
+    swapped = F.when(F.col("feature") < 0, F.col("__x")).otherwise(F.concat(
+        F.slice("__x", F.lit(1), F.col("feature")), F.slice("__other", F.col("feature") + 1, F.lit(1)),
+        F.slice("__x", F.col("feature") + 2, F.size("__x"))))
+    rows = rows.select("__y", "feature", array_to_vector(swapped).alias(FEATURES))
+    scored = add_scores(model, rows)
     metric = "rmse" if model.task == REGRESSION else "f1"
     if model.task == REGRESSION:
         scored = scored.withColumn("__p", F.col(SCORES)[0])
@@ -50,15 +52,10 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
     # One value per feature: as many as the model is wide.
     found = {r.feature: r.value for r in values.where(F.col("metric") == metric).collect()}
     sign = -1.0 if metric == "rmse" else 1.0
-    scores = [(n, sign * (found[""] - found[n])) for n in names]
+    scores = [(n, sign * (found[-1] - found[i])) for i, n in enumerate(names)]
     if normalise:
         positive = [(n, max(v, 0.0)) for n, v in scores]
         total = sum(v for _, v in positive) or 1.0
         scores = [(n, v / total) for n, v in positive]
     return df.sparkSession.createDataFrame(scores, "feature string, score double")
 
-
-def _swap(i: int):
-    return F.concat(F.slice("__x", 1, i), F.slice("__other", i + 1, 1),
-                    F.slice("__x", F.lit(i + 2), F.size("__x")))
-

@@ -167,13 +167,18 @@ def label_number(target: str, labels: list | None) -> Column:
 def design(df: DataFrame, model: TrainedModel) -> DataFrame:
     """Training rows: feature vector and numeric label only."""
     rows = df.where(F.col(f"`{model.target}`").isNotNull())
-    return rows.select(inputs(df, model).alias(FEATURES),
-                       label_number(model.target, model.labels).alias(LABEL))
+    plain = _text_input(model) if model.kind == "text" else model_array(df, model)
+    rows = workspace.steady_layout(rows.select(plain.alias(FEATURES), label_number(model.target, model.labels).alias(LABEL)))
+    return rows if model.kind == "text" else rows.withColumn(FEATURES, array_to_vector(FEATURES))
+
+
+def _text_input(model: TrainedModel) -> Column:
+    return F.coalesce(F.col(f"`{model.features[0]}`").cast("string"), F.lit(""))
 
 
 def inputs(df: DataFrame, model: TrainedModel, invalid: str = "error") -> Column:
     if model.kind == "text":
-        return F.coalesce(F.col(f"`{model.features[0]}`").cast("string"), F.lit(""))
+        return _text_input(model)
     return array_to_vector(model_array(df, model, invalid))
 
 

@@ -30,13 +30,16 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     names = model_names(model)
-    leaves = model_leaves(spark, model)
+    # As large as the model: a task gets the leaves once and packs them once.
+    leaves = spark.sparkContext.broadcast(model_leaves(spark, model))
     width = len(names)
 
     def explain(batches: Iterable[pd.DataFrame]):
+        groups = None
         for b in batches:
+            groups = packed(leaves.value, width) if groups is None else groups
             x = np.array(b["x"].tolist(), float).reshape(len(b), width)
-            phi = contributions(leaves, x)
+            phi = contributions(leaves.value, x, groups)
             yield pd.DataFrame([[len(b), *np.abs(phi).mean(axis=2).sum(axis=0)]],
                                columns=["n", *[f"s{i}" for i in range(width)]])
 
@@ -47,11 +50,11 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
         F.struct(F.lit(n).alias("feature"), F.col(f"s{i}").alias("score")) for i, n in enumerate(names)])))
 
 
-def contributions(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
+def contributions(leaves: list[Leaf], x: np.ndarray, groups: list[tuple] | None = None) -> np.ndarray:
     """Shapley values, shape (rows, features, outputs)."""
     outputs = len(leaves[0][0]) if leaves else 1
     phi = np.zeros((len(x), x.shape[1] * outputs))
-    for group in packed(leaves, x.shape[1]):
+    for group in packed(leaves, x.shape[1]) if groups is None else groups:
         step = max(1, _CELLS // group[1].size)
         for at in range(0, len(x), step):
             phi[at:at + step] += _group_contributions(group, x[at:at + step])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tabforge.functions import text as X
-from tabforge.functions.workspace import spread, use_checkpoint_dir
+from tabforge.functions.workspace import use_checkpoint_dir
 from tabforge.operators.features import target_name
 from tabforge.operators.profile import BINARY, MULTICLASS, REGRESSION, detect_task_type, find_text_column
 from tabforge.plans.models import (
@@ -35,9 +35,6 @@ from tabforge.plans.models import (
     model_names,
 )
 
-# Below this many rows an iteration costs less than starting its tasks.
-SPREAD_ROWS = 20_000
-
 # Preset settings of the two boosting algorithms.
 BOOSTING_PRESETS = {
     "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
@@ -94,7 +91,7 @@ def fit_forest(model: TrainedModel, df: DataFrame, n_estimators: int, seed: int
     forest = make(featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators,
                   maxDepth=model.params["max_depth"],
                   seed=model.params["seed"] if seed is None else seed, **extra)
-    return forest.fit(with_class_metadata(spread(design(df, model), SPREAD_ROWS), model))
+    return forest.fit(with_class_metadata(design(df, model), model))
 
 
 def with_class_metadata(rows: DataFrame, model: TrainedModel) -> DataFrame:
@@ -126,7 +123,7 @@ def train_boosted(df: DataFrame, target: str | None = None, *, preset: str = "xg
     settings = {"featuresCol": FEATURES, "labelCol": LABEL, "maxIter": params["n_estimators"],
                 "stepSize": params["learning_rate"], "maxDepth": params["max_depth"], "seed": seed}
     use_checkpoint_dir(df.sparkSession)
-    rows = spread(design(df, model), SPREAD_ROWS)
+    rows = design(df, model)
     if not model.is_classifier:
         model.members.append(GBTRegressor(**settings).fit(rows))
     elif len(model.labels) == 2:
@@ -169,7 +166,7 @@ def train_mlp(df: DataFrame, target: str | None = None, *, features: Sequence[st
     else:
         net = LinearRegression(featuresCol=scaled, labelCol=LABEL, maxIter=epochs)
     # The network reads its rows in every step.
-    rows = spread(design(df, model), SPREAD_ROWS).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = design(df, model).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model.members.append(Pipeline(stages=[scaler, net]).fit(rows))
     finally:
@@ -196,7 +193,7 @@ def train_text(df: DataFrame, target: str | None = None, *, text: str | None = N
         IDF(inputCol="__tf", outputCol="__tfidf", minDocFreq=min_doc_freq),
         LogisticRegression(featuresCol="__tfidf", labelCol=LABEL, maxIter=epochs, regParam=reg),
     ]
-    model.members.append(Pipeline(stages=stages).fit(spread(design(df, model), SPREAD_ROWS)))
+    model.members.append(Pipeline(stages=stages).fit(design(df, model)))
     return model
 
 

@@ -56,3 +56,11 @@ def test_lists_become_rows(spark):
 def test_records_of_payloads(spark, payload, path, want):
     df = spark.createDataFrame([(payload,)], "p string")
     assert [r.a for r in extract_records(df, "p", {"a": "int"}, path).orderBy("position").collect()] == want
+
+
+def test_last_of_repeated_keys_and_long_numbers(spark):
+    long = "1" * 45
+    df = spark.createDataFrame([(1, '{"k": 1, "k": 2}'), (2, f" {long}\n"), (3, f"-{long}")], "id int, m string")
+    got = {r.id: r for r in parse_messages(df, "m", {"k": "int"}).collect()}
+    assert (got[1].kind, got[1].k) == ("object", 2)
+    assert got[2].value == long and got[3].value == f"-{long}"

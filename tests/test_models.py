@@ -277,3 +277,18 @@ def test_nulls_are_observed_while_writing(spark, store):
     assert got == [("a", "float", 2), ("b", "string", 1)]
     receipt = save_merged(store, df, "y", tags=["t"]).first()
     assert tuple(receipt) == ("y", 1, 3)
+
+
+def test_a_model_does_not_depend_on_the_layout(spark, people):
+    few = TR.train_random_forest(people.repartition(2), "label", features=X, n_estimators=4, max_depth=5)
+    many = TR.train_random_forest(people.repartition(9), "label", features=X, n_estimators=4, max_depth=5)
+    assert few.members[0].toDebugString.split("\n")[1:] == many.members[0].toDebugString.split("\n")[1:]
+
+
+def test_gaps_are_flagged(spark):
+    rows = spark.range(400).selectExpr("IF(id % 4 = 0, NULL, id % 10) AS x", "IF(id % 4 = 0, 1, 0) AS y").withColumn("x", F.col("x").cast("double"))
+    model = TR.train_boosted(rows, "y", features=["x"], n_estimators=2, max_depth=2, missing="flag")
+    assert MO.model_names(model) == ["x", "x is missing"]
+    assert MO.predict(model, rows).where("prediction <> y").count() == 0
+    with pytest.raises(Exception):
+        TR.train_boosted(rows, "y", features=["x"], n_estimators=1, max_depth=2)
