@@ -12,7 +12,7 @@ import pyarrow.ipc as ipc
 import pytest
 
 from conftest import rows
-from tabforge.sources import audio, database, documents, excel, files, images, kafka, rest
+from tabforge.sources import audio, database, documents, excel, files, images, kafka
 
 
 # --- table files ---
@@ -135,29 +135,6 @@ def test_kafka_options():
                    "maxOffsetsPerTrigger": "5", "kafka.group.id": "g"}
 
 
-def test_rest_polls(spark, tmp_path):
-    path = tmp_path / "payload.json"
-    path.write_text('{"items":[{"val":1},{"val":2},{"val":3}]}')
-    polls = rest.read_rest(spark, f"file://{path}", max_batches=2)
-    from tabforge.functions.messages import extract_records
-
-    got = extract_records(polls, "payload", {"val": "int"}, "items")
-    assert rows(got.select("poll", "val")) == [(p, v) for p in (0, 1) for v in (1, 2, 3)]
-
-
-def test_rest_stream(spark, tmp_path):
-    path = tmp_path / "payload.json"
-    path.write_text('[{"val":1}]')
-    stream = rest.stream_rest(spark, f"file://{path}", interval_seconds=0, max_batches=3)
-    query = (stream.writeStream.format("memory").queryName("polls")
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start())
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    assert [r.poll for r in spark.table("polls").orderBy("poll").collect()] == [0, 1, 2]
-
-
 # --- workbooks ---
 
 def test_workbook_types(spark, tmp_path):
