@@ -28,24 +28,26 @@ def with_row_index(df: DataFrame, order_by: str | Sequence[str] | None = None,
     checkpointed, which fixes the partitions; then one count per partition
     gives each partition's offset.  No window runs over the whole table.
     """
-    keys = _as_list(order_by)
-    tie = "__tie"
-    if keys:
-        ranged = df.withColumn(tie, F.monotonically_increasing_id())
-        ranged = ranged.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
-    else:
-        ranged = df
-    fixed = cut_lineage(ranged)
-    pid, count, offset, mid = "__pid", "__count", "__offset", "__mid"
+    placed = _placed(df, _as_list(order_by))
     # One row per partition: bounded by the number of shuffle partitions.
-    earlier = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = fixed.groupBy(F.spark_partition_id().alias(pid)).agg(F.count("*").alias(count)).select(
-        pid, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(offset))
-    placed = fixed.withColumn(mid, F.monotonically_increasing_id())
-    placed = placed.withColumn(pid, F.shiftright(mid, _POSITION_BITS).cast("int"))
-    within = F.col(mid).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return placed.join(F.broadcast(offsets), pid).select(
-        *df.columns, (F.col(offset) + within).alias(index))
+    earlier = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(_PID).agg(F.count("*").alias("__count")).select(
+        _PID, F.coalesce(F.sum("__count").over(earlier), F.lit(0)).alias("__offset"))
+    return placed.join(F.broadcast(offsets), _PID).select(*df.columns, (F.col("__offset") + F.col(_AT)).alias(index))
+
+
+_PID, _AT = "__pid", "__at"
+
+
+def _placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in key order in fixed partitions, with the partition and the place in it."""
+    if keys:
+        tie = "__tie"
+        df = df.withColumn(tie, F.monotonically_increasing_id())
+        df = df.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop(tie)
+    placed = cut_lineage(df).withColumn(_AT, F.monotonically_increasing_id())
+    return placed.withColumn(_PID, F.shiftright(_AT, _POSITION_BITS).cast("int")).withColumn(
+        _AT, F.col(_AT).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
 
 
 def chunk_rows(df: DataFrame, chunk_size: int, order_by: str | Sequence[str] | None = None,
@@ -65,15 +67,18 @@ def rank_in_groups(df: DataFrame, by: Sequence[str], order_by: Sequence[str],
                    rank: str = "rank") -> DataFrame:
     """1-based position of each row inside its group, in key order.
 
-    Positions come from one global range sort, so a group of any size is
-    spread over tasks; a group's first position is subtracted afterwards.
+    Rows are sorted by group and order over range partitions, so a group of any size is spread over tasks.  A
+    group's rows before a partition are counted once for each partition it lies in; the join with these counts is by
+    partition and group, so it is spread as the sort is.
     """
-    indexed = with_row_index(df, [*by, *order_by], "__row")
-    starts = indexed.groupBy(*by).agg(F.min("__row").alias("__start"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    joined = indexed.alias("a").join(starts.alias("b"), same)
+    placed = _placed(df, [*by, *order_by])
+    parts = placed.groupBy(_PID, *by).agg(F.count("*").alias("__count"), F.min(_AT).alias("__first"))
+    earlier = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__count").over(earlier), F.lit(0)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (_PID, *by)]
+    joined = placed.alias("a").join(parts.alias("b"), same)
     return joined.select(*[f"a.{c}" for c in df.columns],
-                         (F.col("__row") - F.col("__start") + 1).alias(rank))
+                         (F.col("__before") + F.col(f"a.{_AT}") - F.col("__first") + 1).alias(rank))
 
 
 def _as_list(order_by) -> list[str]:
