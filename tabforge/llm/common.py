@@ -21,11 +21,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a task works on at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of some MB each, so that a worker's memory does not follow the size of batches."""
+    for batch in batches:
+        step = max(1, SLICE_BYTES * len(batch) // max(1, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
 def arrow_map(df: DataFrame, schema: str,
               fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+    """``mapInArrow`` with a function of one small batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield from fn(batch)
 
     return df.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import arrow_map, stored, utf8
+from tabforge.llm.common import arrow_map, slices, stored, utf8
 
 #: Hashed features; the first is the bias.
 BITS = 15
@@ -105,7 +105,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each feature occurs, and the number of texts; over all rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for data in utf8(batch.column(0)):
                 if (found := ngrams(data.decode("utf-8", "replace"))) is not None:
                     seen[found[0]] += 1

@@ -20,7 +20,7 @@ BANDS = 32
 #: Rounds that compare each bucket with one of its members, before what is left is compared in full.
 STAR_ROUNDS = 2
 #: Distinct words whose hashes a task remembers; shingles permuted at once.
-MEMO_WORDS, BLOCK = 400_000, 4096
+MEMO_WORDS, BLOCK = 100_000, 4096
 
 
 def _constants(n: int, salt: bytes) -> np.ndarray:
