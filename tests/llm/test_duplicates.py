@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frames import frame  # noqa: F401
 from tabforge.llm import exact, minhash
 from tabforge.llm.common import connected
 from tabforge.llm.embeddings import linked, similar_vectors, unit

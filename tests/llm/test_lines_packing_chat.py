@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from frames import frame  # noqa: F401
 from tabforge.llm.chat import format_preferences, gather_turns
 from tabforge.llm.lines import dedup_lines, windows
 from tabforge.llm.packing import best_pack, pack_documents

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frames import frame  # noqa: F401
 import corpus_pipeline
 from check_queries import compare, duck
 from tabforge.llm.langid import LanguageModel, calibrate, predict_language, softmax, train_language_model

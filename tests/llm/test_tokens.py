@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from frames import frame  # noqa: F401
 from tabforge.llm.bpe import ByteDecoder, ByteEncoder, byte_characters, decode_ids, encode_texts, read_ranks
 from tabforge.llm.queries import QUERIES
 from tabforge.llm.token_counts import TokenCounter, count_tokens, split_safely
