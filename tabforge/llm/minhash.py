@@ -189,13 +189,17 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     prefix = F.slice("shared", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int"))
     ordered = ordered.select("id", "n", alone.alias("alone"), prefix.alias("prefix"))
-    spots = ordered.select("id", "n", "alone", F.posexplode("prefix").alias("at", "spot")).select(
-        "id", "n", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("spot.shingle").alias("shingle"))
+    ordered = ordered.withColumn("prefix", F.transform("prefix", lambda s: s["shingle"]))
+    spots = ordered.select("id", "n", "alone", "prefix", F.posexplode("prefix").alias("at", "shingle")).select(
+        "id", "n", (F.col("alone") + F.col("at") + 1).alias("at"), "shingle",
+        F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
     spots = stored(spots.join(named.select("id", "key", "component"), "id"), "spots")
-    x, y = (spots.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "component", "id", "n", "at")]) for s in "ab")
+    x, y = (spots.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "component", "id", "n", "at", "before")]) for s in "ab")
     enough = f"{100 + percent} * (1 + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)"
     similar = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    met = x.join(y, (x["shingle"] == y["shingle"]) & F.expr(f"id_a < id_b and component_a <> component_b and {enough} and {similar}"))
+    once = "not arrays_overlap(before_a, before_b)"  # a pair is met at its first common shingle only
+    met = x.join(y, (x["shingle"] == y["shingle"]) & F.expr(
+        f"id_a < id_b and component_a <> component_b and {enough} and {similar} and {once}"))
     return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "n_a", "n_b")
 
 
