@@ -131,13 +131,16 @@ def feature_array(df: DataFrame, features: Sequence[str], widths: dict[str, int]
             float((fill or {}).get(name, 0.0)))
         return F.when(value.isNotNull() & ~F.isnan(value), value).otherwise(other)
 
+    def cleaner(name: str):
+        return lambda value: clean(value, name)
+
     parts, plain = [], []
     for c in features:
         if c in widths:
             if plain:
                 parts.append(F.array(*plain))
                 plain = []
-            values = F.transform(F.col(f"`{c}`"), lambda x, c=c: clean(x, c))
+            values = F.transform(F.col(f"`{c}`"), cleaner(c))
             sized = F.when(F.size(values) == widths[c], values).otherwise(
                 F.raise_error(F.lit(f"feature {c} must have {widths[c]} values")).cast("array<double>"))
             parts.append(sized)
