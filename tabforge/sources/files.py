@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -94,20 +94,53 @@ def glob_pattern(pattern: str) -> str:
     return f"^{out}$"
 
 
+def _lines(spark: SparkSession, paths: Sequence[str], options: dict | None = None) -> DataFrame:
+    """``value, file, at``: all lines of the files, split as the text source does; ``at`` orders those of a file."""
+    return spark.read.options(**(options or {})).text(list(paths)).select(
+        "value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+
+
 def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, head, open``: each file's first line that is not blank, and whether a quote stays open on some line.
 
     One pass of the splittable text source over the files; only these rows are shuffled and kept.
     """
-    lines = spark.read.text(list(paths)).select(
-        "value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    lines = _lines(spark, paths)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     facts = lines.where(F.trim("value") != "").groupBy("file").agg(
         F.min_by("value", "at").alias("head"), F.bool_or(quotes % 2 == 1).alias("open"))
     return workspace.cut_lineage(facts)
 
 
+def _json_layouts(spark: SparkSession, paths: Sequence[str], options: dict) -> DataFrame:
+    """``file, whole``: whether each file is one value over several lines.
+
+    It is if its first line leaves a bracket open and its last one closes more than it opens.  Only brackets outside strings
+    count, so it does not matter which values Spark's lenient parser takes.  A file of several values that each go over
+    lines is an error: neither layout reads it all.
+    """
+    separator = {k: v for k, v in options.items() if k.lower() == "linesep"}
+    comments = str({k.lower(): v for k, v in options.items()}.get("allowcomments", "")).lower() == "true"
+    bare = F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "\"[^\"]*\"?|'[^']*'?", "s")
+    if comments:
+        bare = F.regexp_replace(bare, r"/\*.*?\*/|//.*", "")
+    count = lambda brackets: F.length("bare") - F.length(F.translate("bare", brackets, ""))
+    lines = _lines(spark, paths, separator).withColumn("bare", bare).where(F.col("bare").rlike(r"[^\s\x{FEFF}]"))
+    steps = lines.select("file", "at", (count("[{") - count("]}")).alias("step"))
+    facts = workspace.cut_lineage(steps.groupBy("file").agg(
+        ((F.min_by("step", "at") > 0) & (F.max_by("step", "at") < 0)).alias("whole")))
+    wholes = [r.file for r in facts.where("whole").select("file").collect()]
+    if wholes:
+        depth = F.sum("step").over(Window.partitionBy("file").orderBy("at"))
+        ends = _lines(spark, wholes, separator).withColumn("bare", bare).select(
+            "file", "at", (count("[{") - count("]}")).alias("step")).where("step != 0").withColumn("depth", depth)
+        broken = ends.where("depth <= 0").groupBy("file").count().where("count > 1").orderBy("file").first()
+        if broken:
+            raise ValueError(f"{broken.file} holds several JSON values that go over lines; multi_line=True reads the first one")
+    return facts
+
+
 def _by_group(facts: DataFrame, keys: Sequence[str], paths: Sequence[str]) -> list[tuple]:
     """(key values, paths) of each group of files; the given paths if all files are alike."""
     groups = sorted(facts.groupBy(*keys).agg(F.min("file").alias("first")).collect(), key=lambda r: r["first"])
@@ -161,17 +194,15 @@ def read_json(spark: SparkSession, *paths: str, schema: T.StructType | str | Non
               multi_line: bool | None = None, **options) -> DataFrame:
     """JSON lines, or files that hold one array or object each.
 
-    The layout is told for each file, by its first line that is not blank, unless ``multi_line`` says it.
-    JSON lines stay splittable; a multi-line file is read by one task.
+    The layout is told for each file by the brackets that its first and last lines leave open, unless ``multi_line``
+    says it.  JSON lines stay splittable; a multi-line file is read by one task.
     """
     paths = expand(spark, *paths)
     reader = spark.read.options(**options)
     reader = reader.schema(schema) if schema else reader
     if multi_line is not None:
         return reader.option("multiLine", multi_line).json(paths)
-    head = F.trim(F.replace("head", F.lit("\ufeff"), F.lit("")))
-    whole = head.startswith("[") | F.try_parse_json(head).isNull()
-    facts = _first_lines(spark, paths).select("file", whole.alias("whole"))
+    facts = _json_layouts(spark, paths, options)
     frames = [reader.option("multiLine", key[0]).json(found) for key, found in _by_group(facts, ["whole"], paths)]
     if not frames:
         return reader.json(paths)

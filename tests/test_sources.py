@@ -306,3 +306,36 @@ def test_parquet_schemas_that_do_not_merge(spark, tmp_path):
     spark.sql("SELECT 'x' AS a, 2 AS b").write.parquet(f"{tmp_path}/p/two")
     got = files.read_parquet(spark, f"{tmp_path}/p/*")
     assert sorted(map(tuple, got.collect()), key=repr) == [("1", None), ("x", 2)]
+
+
+@pytest.mark.parametrize("text, n", [
+    ('{"x": NaN, "y": 1}\n{"x": 2.5, "y": 2}\n{"x": 3.5, "y": 3}\n', 3),
+    ("{'x': 1.5, 'y': 1}\n{'x': 2.5, 'y': 2}\n{'x': 'it]s', 'y': 3}\n", 3),
+    ('[{"x": 1.5, "y": 1}]\n[{"x": 2.5, "y": 2}, {"x": 3.5, "y": 3}]\n[{"x": 4.5, "y": 4}]\n', 4),
+    ('{"x": "[{\\\\\\"", "y": 1}\n{"x": "b", "y": 2}\n{"x": "}]", "y": 3}\n', 3),
+    ('{"x": "cut of\n{"x": "b", "y": 2}\n{"x": "c", "y": 3}\n', 3),
+    ("[\n {'x': NaN, 'y': 1},\n {'x': '[', 'y': 2}]\n\n", 2),
+])
+def test_json_layout_does_not_hang_on_the_first_line(spark, tmp_path, text, n):
+    (tmp_path / "t.json").write_text(text)
+    got = files.read_json(spark, str(tmp_path / "t.json"))
+    assert got.count() == n and {"x", "y"} <= set(got.columns)
+    assert files.read_json(spark, str(tmp_path / "t.json"), schema="x string, y int").count() == n
+
+
+def test_repeated_key_in_the_first_line(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"x": 1, "x": 2}\n{"x": 3}\n{"x": 4}\n')
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    try:
+        for setting in (False, True):
+            spark.conf.set("spark.sql.variant.allowDuplicateKeys", setting)
+            assert files.read_json(spark, str(tmp_path / "t.json"), schema="x int").count() == 3
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+
+
+def test_several_json_values_over_lines_are_an_error(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{\n"k": 1\n}\n{\n"k": 2\n}\n')
+    with pytest.raises(ValueError, match="several JSON values"):
+        files.read_json(spark, str(tmp_path / "t.json"))
+    assert files.read_json(spark, str(tmp_path / "t.json"), multi_line=True).count() == 1
