@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -46,19 +46,109 @@ def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None =
     Footers are merged in a Spark job.  Types that do not merge are widened, or become text, by reading
     the files of each schema apart.
     """
-    paths = expand(spark, *paths)
-    if schema:
-        return spark.read.options(**options).schema(schema).parquet(*paths)
-    try:
-        return spark.read.options(**options).option("mergeSchema", True).parquet(*paths)
-    except (PySparkException, Py4JJavaError) as error:
-        if "MERGE" not in str(error).upper():
-            raise
-    reader = spark.read.options(**options).option("mergeSchema", False)
-    groups: dict[str, list[str]] = {}
-    for r in list_files(spark, *paths).orderBy("path").collect():
-        groups.setdefault(reader.parquet(r.path).schema.json(), []).append(r.path)
-    return stack_by_name([reader.parquet(*found) for found in groups.values()])
+    given, paths = paths, expand(spark, *paths)
+    reader = spark.read.options(**options)
+    groups = []
+    if any(map(_GLOB.search, given)):
+        files = list_files(spark, *paths, recursive=False).select(F.col("path").alias("file"))
+        groups = _by_group(files, [], paths, given, _bases(spark, given, options))
+    frames = []
+    for _, found, names, types in groups or [((), paths, {}, {})]:
+        types = types | {f.name: f.dataType for f in schema or []}
+        here = reader if not names else spark.read.options(**_listed(options))
+        if schema:
+            frames.append(_with_path_columns(here.schema(schema).parquet(*found), names, types))
+            continue
+        try:
+            frames.append(_with_path_columns(here.option("mergeSchema", True).parquet(*found), names, types))
+        except (PySparkException, Py4JJavaError) as error:
+            if "MERGE" not in str(error).upper():
+                raise
+            frames += _each_schema(spark, found, _bases(spark, given, options), options)
+    return frames[0] if len(frames) == 1 else stack_by_name(frames)
+
+
+def _each_schema(spark: SparkSession, paths: Sequence[str], bases: Sequence[str], options: dict) -> list[DataFrame]:
+    """The files of each schema, with the columns that only their paths hold."""
+    reader = spark.read.options(**_listed(options)).option("mergeSchema", False)
+    facts = list_files(spark, *paths).select(F.col("path").alias("file"), _path_names(F.col("path"), bases).alias("names"))
+    types = _path_types(facts, bases)
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in facts.orderBy("file").collect():
+        groups.setdefault((reader.parquet(r.file).schema.json(), r.names), []).append(r.file)
+    return [_with_path_columns(reader.parquet(*found), _path_columns(names, bases), types)
+            for (_, names), found in groups.items()]
+
+
+# Letters that make a path a glob.
+_GLOB = re.compile(r"[*?{\[]")
+
+
+def _bases(spark: SparkSession, paths: Sequence[str], options: dict) -> list[str]:
+    """Folders below which folder names like ``r=EU`` are columns: the given paths, or their parts before a glob."""
+    named = {k.lower(): v for k, v in options.items()}
+    if str(named.get("recursivefilelookup", "")).lower() == "true":
+        return []
+    roots = []
+    for path in [named["basepath"]] if "basepath" in named else paths:
+        parts = path.split("/")
+        at = next((i for i, part in enumerate(parts) if _GLOB.search(part)), len(parts))
+        roots.append("/".join(parts[:at]) or ("/" if path.startswith("/") else "."))
+    # Other stores need options to be opened; their paths are complete as they are.
+    remote = re.compile(r"(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*:")
+    return sorted({(r if remote.match(r) else workspace.qualified(spark, r)).rstrip("/") + "/" for r in roots}, key=lambda r: (len(r), r))
+
+
+def _listed(options: dict) -> dict:
+    """Options to read a list of files with, whose path columns are added here."""
+    return {k: v for k, v in options.items() if k.lower() != "basepath"}
+
+
+def _path_values(file: Column, bases: Sequence[str]) -> Column:
+    """Map of the path columns of a file, as Spark finds them: the lowest folders ``name=value`` in a row below a base."""
+    if not bases:
+        return F.create_map().cast("map<string,string>")
+    plain = F.regexp_replace(file, "^([a-zA-Z]+):///", "$1:/")
+    base = F.get(F.filter(F.array(*map(F.lit, bases)), lambda b: F.startswith(plain, b)), F.lit(0))
+    inner = F.coalesce(F.substr(plain, F.length(base) + 1), F.lit(""))
+    folders = F.regexp_extract(inner, "^(.*/)?[^/]*$", 1)
+    run = F.regexp_extract(folders, "(?:^|/)((?:[^/=]+=[^/]*/)+)(?:[^/=]*/)*$", 1)
+    text = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return F.map_from_entries(F.transform(F.filter(F.split(run, "/"), lambda c: c != ""), lambda c: F.struct(
+        text(F.substring_index(c, "=", 1)),
+        F.nullif(text(F.regexp_extract(c, "=(.*)$", 1)), F.lit("__HIVE_DEFAULT_PARTITION__")))))
+
+
+def _path_names(file: Column, bases: Sequence[str]) -> Column:
+    return F.array_join(F.map_keys(_path_values(file, bases)), "/")
+
+
+def _path_columns(names: str, bases: Sequence[str]) -> dict[str, Column]:
+    """Path columns by name, as text, of a table of files."""
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return {n: _path_values(file, bases)[n] for n in names.split("/") if n}
+
+
+def _path_types(facts: DataFrame, bases: Sequence[str]) -> dict[str, T.DataType]:
+    """Type of each path column: the first that holds all its values in all files, in Spark's order."""
+    if not bases:
+        return {}
+    number, date = r"^[-+]?[0-9]+$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    kinds = {T.IntegerType(): number, T.LongType(): number, T.DecimalType(38, 0): number,
+             T.DoubleType(): r"^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$",
+             T.DateType(): date + "$", T.TimestampType(): date + "([ T][0-9]{2}:[0-9]{2}.*)?$"}
+    if facts.sparkSession.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") != "true":
+        kinds = {}
+    values = facts.select(F.explode(_path_values(F.col("file"), bases)).alias("name", "value")).where("value is not null")
+    fits = values.groupBy("name").agg(*[
+        F.bool_and(F.col("value").rlike(pattern) & F.col("value").try_cast(kind).isNotNull()).alias(f"k{i}")
+        for i, (kind, pattern) in enumerate(kinds.items())], F.lit(True).alias("text"))
+    order = [*kinds, T.StringType()]
+    return {r["name"]: next(kind for kind, fit in zip(order, r[1:]) if fit) for r in fits.collect()}
+
+
+def _with_path_columns(rows: DataFrame, columns: dict[str, Column], types: dict[str, T.DataType]) -> DataFrame:
+    return rows.withColumns({n: c.cast(types.get(n, T.StringType())) for n, c in columns.items()}) if columns else rows
 
 
 def expand(spark: SparkSession, *paths: str) -> list[str]:
@@ -141,14 +231,23 @@ def _json_layouts(spark: SparkSession, paths: Sequence[str], options: dict) -> D
     return facts
 
 
-def _by_group(facts: DataFrame, keys: Sequence[str], paths: Sequence[str]) -> list[tuple]:
-    """(key values, paths) of each group of files; the given paths if all files are alike."""
+def _by_group(facts: DataFrame, keys: Sequence[str], paths: Sequence[str], given: Sequence[str],
+              bases: Sequence[str]) -> list[tuple]:
+    """(key values, paths, path columns, their types) of each group of files that are alike.
+
+    If all are, these are the given paths and Spark finds the path columns, unless those lie in a glob.
+    A list of files has none in Spark, so they are taken from the path of each row's file.
+    """
+    facts = facts.withColumn("names", _path_names(F.col("file"), bases))
+    keys = [*keys, "names"]
     groups = sorted(facts.groupBy(*keys).agg(F.min("file").alias("first")).collect(), key=lambda r: r["first"])
-    if len(groups) < 2:
-        return [(tuple(g[k] for k in keys), list(paths)) for g in groups]
+    key = lambda g: tuple(g[k] for k in keys[:-1])
+    if len(groups) < 2 and not (groups and groups[0].names and any(map(_GLOB.search, given))):
+        return [(key(g), list(paths), {}, {}) for g in groups]
+    types = _path_types(facts, bases) if any(g.names for g in groups) else {}
     same = lambda g: reduce(and_, [F.col(k).eqNullSafe(F.lit(g[k])) for k in keys])
-    return [(tuple(g[k] for k in keys), [r.file for r in facts.where(same(g)).select("file").orderBy("file").collect()])
-            for g in groups]
+    return [(key(g), [r.file for r in facts.where(same(g)).select("file").orderBy("file").collect()],
+             _path_columns(g.names, bases), types) for g in groups]
 
 
 def delimiter(header: str) -> str:
@@ -166,19 +265,21 @@ def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None
     are split between lines.  ``sep`` and ``multiLine`` may be given instead.  Without a schema,
     types cost one more pass.
     """
-    paths = expand(spark, *paths)
+    given, paths = paths, expand(spark, *paths)
     base = {"header": True, "escape": '"', **options}
+    bases = _bases(spark, given, options)
     wanted = _struct(spark, schema)
     frames = []
-    for (head, opened), found in _by_group(_first_lines(spark, paths), ["head", "open"], paths):
-        alike = {"sep": delimiter(head), "multiLine": opened, **base}
+    for (head, opened), found, columns, kinds in _by_group(_first_lines(spark, paths), ["head", "open"], paths, given, bases):
+        alike = {"sep": delimiter(head), "multiLine": opened, **(_listed(base) if columns else base)}
         if wanted is None:
-            frames.append(spark.read.options(**{"inferSchema": True, **alike}).csv(found))
+            frames.append(_with_path_columns(spark.read.options(**{"inferSchema": True, **alike}).csv(found), columns, kinds))
             continue
         names = spark.read.options(**alike).csv(found[:1]).columns
         types = {f.name: f.dataType for f in wanted}
         rows = spark.read.options(**alike).schema(T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])).csv(found)
-        frames.append(rows.select(*[F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+        rows = _with_path_columns(rows, columns, kinds | types)
+        frames.append(rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
                                     for f in wanted]))
     if not frames:
         reader = spark.read.options(**base)
@@ -197,13 +298,21 @@ def read_json(spark: SparkSession, *paths: str, schema: T.StructType | str | Non
     The layout is told for each file by the brackets that its first and last lines leave open, unless ``multi_line``
     says it.  JSON lines stay splittable; a multi-line file is read by one task.
     """
-    paths = expand(spark, *paths)
-    reader = spark.read.options(**options)
-    reader = reader.schema(schema) if schema else reader
-    if multi_line is not None:
+    given, paths = paths, expand(spark, *paths)
+    read = lambda o: spark.read.options(**o).schema(schema) if schema else spark.read.options(**o)
+    reader = read(options)
+    if multi_line is None:
+        facts = _json_layouts(spark, paths, options)
+    elif any(map(_GLOB.search, given)):
+        facts = list_files(spark, *paths, recursive=False).select(F.col("path").alias("file"), F.lit(multi_line).alias("whole"))
+    else:
         return reader.option("multiLine", multi_line).json(paths)
-    facts = _json_layouts(spark, paths, options)
-    frames = [reader.option("multiLine", key[0]).json(found) for key, found in _by_group(facts, ["whole"], paths)]
+    wanted = {f.name: f.dataType for f in _struct(spark, schema) or []}
+    frames = []
+    for (whole,), found, columns, kinds in _by_group(
+            facts, ["whole"], paths, given, _bases(spark, given, options)):
+        rows = (read(_listed(options)) if columns else reader).option("multiLine", whole).json(found)
+        frames.append(_with_path_columns(rows, columns, kinds | wanted))
     if not frames:
         return reader.json(paths)
     return frames[0] if len(frames) == 1 else stack_by_name(frames)

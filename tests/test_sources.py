@@ -339,3 +339,50 @@ def test_several_json_values_over_lines_are_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="several JSON values"):
         files.read_json(spark, str(tmp_path / "t.json"))
     assert files.read_json(spark, str(tmp_path / "t.json"), multi_line=True).count() == 1
+
+
+def _folders(root, kind):
+    """Three files whose column r is only in the path; one file is of another kind."""
+    texts = {"csv": ["a,b\n1,2\n", "b;a\n3;4\n", "a,b\n5,6\n"],
+             "json": ['{"a": 1, "b": 2}\n', '[\n{"a": 4, "b": 3}\n]\n', '{"a": 5, "b": 6}\n']}[kind]
+    for r, text in zip(["EU", "US", "a%3Ab"], texts):
+        (root / f"r={r}").mkdir(parents=True)
+        (root / f"r={r}" / f"x.{kind}").write_text(text)
+    return [(1, 2, "EU"), (4, 3, "US"), (5, 6, "a:b")]
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+@pytest.mark.parametrize("path", ["", "/*/*.{}", "/r=*", "/**/*.{}"])
+def test_path_columns_of_mixed_files(spark, tmp_path, kind, path):
+    want = _folders(tmp_path / "part", kind)
+    read = files.read_csv if kind == "csv" else files.read_json
+    path = f"{tmp_path}/part{path.format(kind)}"
+    assert rows(read(spark, path).select("a", "b", "r")) == want
+    assert rows(read(spark, path, schema="a int, b int, r string").select("a", "b", "r")) == want
+
+
+def test_path_columns_with_a_given_json_layout(spark, tmp_path):
+    for r in ("EU", "US"):
+        (tmp_path / "part" / f"r={r}").mkdir(parents=True)
+        (tmp_path / "part" / f"r={r}" / "x.json").write_text('{"a": 1}\n')
+    for path in ("part", "part/*", "part/**/*.json"):
+        assert rows(files.read_json(spark, f"{tmp_path}/{path}", multi_line=False)) == [(1, "EU"), (1, "US")]
+
+
+def test_path_columns_have_one_type_over_all_files(spark, tmp_path):
+    for r, text in {"n=1/d=2024-01-02": "a\n1\n", "n=2/d=x": "b\n2\n", "n=3/d=__HIVE_DEFAULT_PARTITION__": "a\n3\n"}.items():
+        (tmp_path / r).mkdir(parents=True)
+        (tmp_path / r / "x.csv").write_text(text)
+    got = files.read_csv(spark, str(tmp_path)).select("a", "b", "n", "d")
+    assert dict(got.dtypes)["n"] == "int" and dict(got.dtypes)["d"] == "string"
+    assert rows(got) == sorted([(1, None, 1, "2024-01-02"), (None, 2, 2, "x"), (3, None, 3, None)], key=repr)
+
+
+def test_path_columns_of_parquet_that_does_not_merge(spark, tmp_path):
+    spark.sql("SELECT 1 AS a").write.parquet(f"{tmp_path}/p/r=EU")
+    spark.sql("SELECT 'x' AS a").write.parquet(f"{tmp_path}/p/r=US")
+    for path in ("p", "p/*", "p/**/*.parquet"):
+        assert rows(files.read_parquet(spark, f"{tmp_path}/{path}").select("a", "r")) == [("1", "EU"), ("x", "US")]
+    spark.sql("SELECT 2 AS a").write.parquet(f"{tmp_path}/q/r=EU")
+    assert rows(files.read_parquet(spark, f"{tmp_path}/q/**/*.parquet")) == [(2, "EU")]
+    assert rows(files.read_parquet(spark, f"{tmp_path}/q/r=EU")) == [(2,)]
