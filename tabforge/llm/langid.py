@@ -16,7 +16,7 @@ from tabforge.llm.common import arrow_map, slices, stored, utf8
 
 #: Hashed features; the first is the bias.
 BITS = 15
-#: Labelled texts of each language, in expectation, that the classifier is fitted on at most.
+#: Different labelled texts of each language, in expectation, that the classifier is fitted on at most.
 SAMPLE_PER_LANGUAGE = 1500
 #: Passes over the sample, and parts of it that are trained apart and averaged after each.
 PASSES, PARTS = 3, 4
@@ -140,14 +140,16 @@ def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str
                          per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Fit the model on labelled rows; rows without text or language, or without a letter, teach nothing.
 
-    Document frequencies cover all labelled rows.  The classifier is fitted on ``per_language`` rows of
-    each language in expectation, drawn by a hash of the text; repeated texts are drawn together.
+    Document frequencies cover all labelled rows.  The classifier is fitted on ``per_language`` different texts of
+    each language in expectation, drawn by a hash of the text, each once however many rows hold it.  The draws are
+    independent, so the number drawn stays within a few of its square roots, whatever is repeated.
     The state is trained in ``PARTS`` fixed parts, averaged after each pass, so the model depends
     neither on the cluster nor on the order of rows.  Its size, languages times features, is what the driver holds.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     seen, total = document_frequencies(rows.select("text"))
-    counts = {r.lang: r.rows for r in rows.groupBy("lang").agg(F.count("*").alias("rows")).collect()}
+    different = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = {r.lang: r.texts for r in different.collect()}
     languages = sorted(counts)
     idf = np.log((1 + total) / (1 + seen)) + 1
     width = (1 << BITS) + 1
@@ -157,9 +159,9 @@ def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     picked = rows.where(drawn < share[F.col("lang")]).select(
-        "text", number[F.col("lang")].alias("label"), F.xxhash64("text", F.lit(1)).alias("order"))
+        "text", number[F.col("lang")].alias("label"), F.xxhash64("text", F.lit(1)).alias("order")).dropDuplicates(["label", "order"])
     picked = picked.withColumn("part", F.when(F.pmod("order", F.lit(100)) < CALIBRATION_PERCENT, -1).otherwise(
-        F.pmod(F.floor(F.col("order") / 128), F.lit(PARTS))).cast("int"))
+        F.pmod(F.shiftright("order", 7), F.lit(PARTS))).cast("int"))
 
     def featurise(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         found = [tf_idf(d.decode("utf-8", "replace"), idf) for d in utf8(batch.column(0))]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from frames import frame  # noqa: F401
 import corpus_pipeline
 from check_queries import compare, duck
+from tabforge.llm import langid
+from tabforge.llm.common import stored
 from tabforge.llm.langid import LanguageModel, calibrate, predict_language, softmax, train_language_model
 from tabforge.llm.queries import QUERIES, SQL
 from tabforge.llm.sharding import permuted, shard_rows, side_of
@@ -105,3 +107,20 @@ def test_pipeline_stages(spark, sf_dir):
     assert size == {i: len(want[i].encode()) + 1 for i in near}
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, packed))
     assert [corpus_pipeline.STAGES[i][1](spark, docs.limit(0), sf_dir).count() for i in range(4)] == [0] * 4
+
+
+def test_repeated_texts_are_drawn_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(langid, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    words = ["alpha", "beta", "gamma", "delta", "eins", "zwei", "drei", "vier"]
+    texts = [(" ".join(words[i >> k & 7] for k in (0, 3, 6)), "x") for i in range(300)]
+    hot = [(f"copy {words[k]} {k}", "x") for k in range(8)]  # some of them are drawn
+    table = spark.createDataFrame(texts + hot * 100, "text string, lang string")
+    langid.train_language_model(table, per_language=150)
+    sample = kept[0].groupBy("label", "order").count().collect()
+    assert {r["count"] for r in sample} == {1}
+    assert 90 < len(sample) < 210
+    parts = [r["count"] for r in kept[0].where("part >= 0").groupBy("part").count().collect()]
+    assert len(parts) == langid.PARTS and max(parts) < 0.5 * sum(parts)
+    langid.train_language_model(spark.createDataFrame(texts[:1] * 500 + [(texts[0][0], "y")], "text string, lang string"))
+    assert kept[1].count() == 2
