@@ -15,9 +15,11 @@ from tabforge.llm.exact import exact_duplicates
 from tabforge.llm.langid import predict_language, train_language_model
 from tabforge.llm.lines import dedup_lines
 from tabforge.llm.minhash import near_duplicates
+from tabforge.llm.negatives import hard_negatives
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.sharding import shard_rows
 from tabforge.llm.token_counts import count_tokens
+from tabforge.llm.variants import count_words, spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +156,82 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = train_language_model(docs.where("not held_out and doc_id is not null"))
     return predict_language(docs, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(vectors, anchors=F.col("vec_id") % 50 == 0)
+
+
+SQL["op11_hard_negatives"] = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               list_dot_product(a.e, b.e)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    n AS (
+        SELECT p.anchor_id, positive_id, positive_score, s.other_id AS negative_id, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+         AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(count_words(_table(spark, sf_dir, "documents"), drop_every=199))
+
+
+SQL["op12_spelling_variants"] = """
+    WITH RECURSIVE bits AS (
+        SELECT b, b AS v, 0 AS k FROM range(256) t(b)
+        UNION ALL
+        SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY b) AS steps FROM bits WHERE k = 8),
+    r AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents),
+    d AS (
+        SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS named, count(*) AS times
+        FROM r WHERE length(run) >= 6 GROUP BY ALL),
+    c AS (  -- the checksum of the UTF-8 bytes, one step for each
+        SELECT run, times, xor(list_reduce(
+                   [byte::BIGINT FOR byte IN [('0x' || hex(encode(named))[2 * i + 1:2 * i + 2])::INTEGER FOR i IN range(octet_length(encode(named)))]],
+                   LAMBDA state, byte: xor(state // 256, steps[xor(state % 256, byte) + 1]), 4294967295), 4294967295) AS h
+        FROM d, crc),
+    w AS (
+        SELECT CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INTEGER] || run[(h % length(run))::INTEGER + 2:] ELSE run END AS word, times FROM c),
+    v AS (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+    e AS (  -- what is left of a word without one letter, and the word itself
+        SELECT word, n, 0 AS at, word AS part FROM v
+        UNION ALL
+        SELECT word, n, i, word[:i - 1] || word[i + 1:] FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (
+        SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
+        FROM e a JOIN e b ON a.part = b.part AND a.word <> b.word AND (a.at = b.at OR a.at = 0 OR b.at = 0)),
+    f AS (
+        SELECT word, count(*) AS n_near, max(other_n) AS top, min(struct_pack(less := -other_n, other := other)).other AS best
+        FROM p GROUP BY word),
+    g AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN best END AS form,
+               CASE WHEN top >= 5 * v.n THEN top END AS form_n
+        FROM v LEFT JOIN f USING (word)),
+    chain AS (
+        SELECT word, coalesce(form, word) AS root FROM g
+        UNION ALL
+        SELECT chain.word, g.form FROM chain JOIN g ON g.word = chain.root WHERE g.form IS NOT NULL AND chain.root <> chain.word)
+    SELECT g.word, g.form, arg_max(chain.root, t.n) AS root, g.n, g.n_near, g.form_n
+    FROM g JOIN chain USING (word) JOIN g t ON t.word = chain.root GROUP BY ALL
+"""
