@@ -12,6 +12,7 @@ from tabforge.llm.bpe import decode_ids, encode_texts
 from tabforge.llm.chat import echo_pairs, format_preferences, gather_turns
 from tabforge.llm.embeddings import similar_vectors
 from tabforge.llm.exact import exact_duplicates
+from tabforge.llm.forest import nearest_vectors
 from tabforge.llm.langid import predict_language, train_language_model
 from tabforge.llm.lines import dedup_lines
 from tabforge.llm.minhash import near_duplicates
@@ -235,3 +236,8 @@ SQL["op12_spelling_variants"] = """
     SELECT g.word, g.form, arg_max(chain.root, t.n) AS root, g.n, g.n_near, g.form_n
     FROM g JOIN chain USING (word) JOIN g t ON t.word = chain.root GROUP BY ALL
 """
+
+
+@query
+def op13_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 20 == 0)
