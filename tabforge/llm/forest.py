@@ -245,15 +245,13 @@ def _ascend(placed: DataFrame, descents: DataFrame, forest: DataFrame, bits: int
     found = on.where("t is not null").select("entry", "tree", "ns", "firsts")
     if not missing.isEmpty():
         levels = F.explode(F.sequence(F.lit(0), F.lit(deepest - 1))).alias("level")
-        above = stored(paths.select("tree", "node", "ns", "firsts", levels).groupBy(
-            "tree", "level", F.expr(f"shiftright(node, {deepest} - level)").alias("up")).agg(
-            F.first("ns").alias("ns"), F.first("firsts").alias("firsts")), "above")
-        climbs = missing.select("entry", "tree", "node", levels).withColumn("up", F.expr(f"shiftright(node, {deepest} - level)"))
-        met = climbs.join(above, ["tree", "level", "up"])
+        up = F.expr(f"shiftright(node, {deepest} - level)").alias("up")
+        above = paths.select("tree", "node", levels).groupBy("tree", "level", up).agg(F.min("node").alias("leaf"))
+        climbs = missing.select("entry", "tree", "node", levels).select("entry", "tree", "level", up).join(above, ["tree", "level", "up"])
+        climbs = climbs.groupBy("entry", "tree").agg(F.max(F.struct("level", "leaf")).alias("s")).select("entry", "tree", "s.level", F.col("s.leaf").alias("node"))
         size = F.col("level") + 1
-        empty = lambda c: F.concat(F.slice(c, F.lit(1), size), F.array_repeat(F.lit(0).cast("long"), F.lit(deepest) - F.col("level")))
-        met = met.groupBy("entry", "tree").agg(F.max_by(F.struct(empty("ns").alias("ns"), F.slice("firsts", F.lit(1), size).alias("firsts")), "level").alias("s"))
-        found = found.unionByName(met.select("entry", "tree", "s.ns", "s.firsts"))
+        empty = F.concat(F.slice("ns", F.lit(1), size), F.array_repeat(F.lit(0).cast("long"), F.lit(deepest) - F.col("level")))
+        found = found.unionByName(climbs.join(paths, ["tree", "node"]).select("entry", "tree", empty.alias("ns"), F.slice("firsts", F.lit(1), size).alias("firsts")))
     found = stored(found, "descents")
     sums = F.array(*[F.sum(F.col("ns")[i]) for i in range(deepest + 1)])
     level = found.groupBy("entry").agg(sums.alias("held")).select("entry", F.greatest(F.lit(0), F.array_max(F.transform(
