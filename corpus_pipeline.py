@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import stored
+from tabforge.llm.common import split_by_keys, stored
 from tabforge.llm.langid import UNKNOWN, predict_language, train_language_model
 from tabforge.llm.lines import dedup_lines
 from tabforge.llm.minhash import near_duplicates
@@ -35,10 +35,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near-duplicates."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = stored(kept, "kept")  # with exchanges of its own, the join can split a hot id
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Keep the document of the smallest id of each group of near-duplicates, and those without id.
+
+    Rows repeated with one id are one document and stay together.
+    """
+    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = stored(gone, "gone")  # with exchanges of its own, the join can split a hot id
+    some, whole = split_by_keys(docs, [F.col("doc_id")], gone, [F.col("gone_id")])
+    return whole.unionByName(some.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.workspace import cut_lineage
-from tabforge.llm.common import arrow_map, connected, stored, utf8
+from tabforge.llm.common import Kept, arrow_map, connected, split_by_keys, stored, utf8
 
 #: Permutations; each gives its minimum and its maximum, so twice as many signature values.
 PERMUTATIONS = 64
@@ -19,6 +18,8 @@ PERMUTATIONS = 64
 BANDS = 32
 #: Rounds that compare each bucket with one of its members, before what is left is compared in full.
 STAR_ROUNDS = 2
+#: Earlier prefix shingles that a shingle carries.
+BEFORE = 64
 #: Distinct words whose hashes a task remembers; shingles permuted at once.
 MEMO_WORDS, BLOCK = 100_000, 4096
 
@@ -102,40 +103,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     signed = stored(arrow_map(docs, f"doc_id {kind}, n_shingles long, key binary, buckets array<long>", sign), "signatures")
     usable = signed.where("key is not null and doc_id is not null")
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("least"))
-    placed = usable.select("key", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
+    # Equal sets have equal buckets.  Written, so the numbers stay.
+    classes = Kept(usable.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+                   .withColumn("id", F.monotonically_increasing_id()), "classes")
+    placed = classes.frame.select("id", "n", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    members = stored(placed.join(shared, "bucket"), "members")
-    sets = _sets(docs, classes.join(members.select("key").distinct(), "key"), words)
-    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "sets")  # stored, so the numbers stay
+    members = Kept(placed.join(shared, "bucket"), "members")
+    wanted = Kept(classes.frame.select("id", "key", "least").join(members.frame.select("id").distinct(), "id"), "wanted")
+    sets = Kept(_sets(docs, wanted.frame, words), "sets")
+    wanted.drop()
     # Classes of one document id, then confirmed links.
-    links = [cut_lineage(usable.select("doc_id", "key").distinct().groupBy("doc_id").agg(
-        F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("a", "b"))]
-    several = usable.select("doc_id", "key").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 2")
-    if not several.isEmpty():
-        first = usable.groupBy("doc_id").agg(F.min("key").alias("a"))
-        links.append(usable.join(several.select("doc_id"), "doc_id").join(first, "doc_id")
-                     .select("a", F.col("key").alias("b")).distinct())
-    tested, component = None, None
+    ids = signed.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("doc_id is not null and low <> high")
+    of = classes.frame.select("id", "key")
+    first = usable.select("doc_id", "key").distinct().join(ids, "doc_id").join(of.withColumnRenamed("id", "a").withColumnRenamed("key", "low"), "low")
+    links = [Kept(first.join(of.withColumnRenamed("id", "b"), "key").where("a <> b").select("a", "b").distinct(), "links")]
+    tested, component = [], None
     for turn in range(STAR_ROUNDS + 1):
-        live = _live(members, component)
-        pairs = _stars(live, turn) if turn < STAR_ROUNDS else _rest(live, sets, percent)
+        scratch: list[Kept] = []
+        live = _live(members.frame, component, scratch)
+        pairs = _stars(live, turn) if turn < STAR_ROUNDS else _rest(live, sets.frame, percent, scratch)
         pairs = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
+        if tested:
+            pairs = pairs.join(_union([t.frame for t in tested]), ["a", "b"], "left_anti")
+        pairs = Kept(pairs, "pairs")
+        for kept in scratch:
+            kept.drop()
+        if pairs.frame.isEmpty():
+            pairs.drop()
             continue
-        links.append(cut_lineage(_confirmed(pairs, sets, percent)))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        component = cut_lineage(connected(_union(links)))
+        links.append(Kept(_confirmed(pairs.frame, sets.frame, percent), "links"))
+        tested.append(pairs)
+        component = connected(_union([l.frame for l in links]))
     if component is None:
-        component = cut_lineage(connected(_union(links)))
-    named = classes.join(component.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = named.withColumn("component", F.coalesce("component", "key"))
+        component = connected(links[0].frame)
+    named = classes.frame.select("id", "key", "least").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
+    named = named.withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(named.join(smallest, "component").select("key", "component_id"), "components")
-    out = signed.join(named, "key", "left")
+    for kept in (classes, members, sets, *links, *tested):
+        kept.drop()
+    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -147,26 +154,31 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _live(members: DataFrame, component: DataFrame | None) -> DataFrame:
+def _live(members: DataFrame, component: DataFrame | None, scratch: list[Kept]) -> DataFrame:
     """Members with their components, of buckets that hold more than one."""
     if component is None:
-        return members.withColumn("component", F.col("key"))
-    named = members.join(component.withColumnRenamed("node", "key"), "key", "left")
-    named = cut_lineage(named.withColumn("component", F.coalesce("component", "key")))
+        return members.withColumn("component", F.col("id"))
+    named = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = _written(named, "named", scratch)
     several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return cut_lineage(named.join(several.select("bucket"), "bucket", "left_semi"))
+    return _written(named.join(several.select("bucket"), "bucket", "left_semi"), "live", scratch)
+
+
+def _written(df: DataFrame, name: str, scratch: list[Kept]) -> DataFrame:
+    scratch.append(Kept(df, name))
+    return scratch[-1].frame
 
 
 def _stars(live: DataFrame, turn: int) -> DataFrame:
     """Each member with its bucket's hub, if it is in another component; the hub changes with the turn."""
-    hub = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key", "n", "component"))
+    hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "component"))
     hubs = live.groupBy("bucket").agg(hub.alias("hub"))
     return live.join(hubs, "bucket").where("component <> hub.component").select(
-        F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"),
+        F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"),
         F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"))
 
 
-def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(live: DataFrame, sets: DataFrame, percent: int, scratch: list[Kept]) -> DataFrame:
     """All pairs of different components among the live classes that can still be similar enough.
 
     A group of copies with many edits shares buckets without being linked, so its buckets say little.  What
@@ -174,7 +186,7 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets of this similarity have one in common among their first ``n - ceil(n * percent / 100) + 1``, and what
     follows it must suffice for the overlap.  Both conditions are necessary, so no link is left out.
     """
-    named = live.select("key", "component").distinct().join(sets, "key")
+    named = live.select("id", "component").distinct().join(sets, "id")
 
     def spell(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -183,7 +195,7 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [pa.array(np.full(len(found), i)), pa.array(np.full(len(found), len(found))), pa.array(found)], ["id", "n", "shingle"])
 
     spelled = arrow_map(named.select("id", "set"), "id long, n long, shingle long", spell)
-    common = stored(spelled.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "shingles")
+    common = _written(spelled.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "shingles", scratch)
     ordered = spelled.join(common, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared"))
     alone = F.col("n") - F.size("shared")  # shingles of no other set come first
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
@@ -192,27 +204,30 @@ def _rest(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ordered = ordered.withColumn("prefix", F.transform("prefix", lambda s: s["shingle"]))
     spots = ordered.select("id", "n", "alone", "prefix", F.posexplode("prefix").alias("at", "shingle")).select(
         "id", "n", (F.col("alone") + F.col("at") + 1).alias("at"), "shingle",
-        F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
-    spots = stored(spots.join(named.select("id", "key", "component"), "id"), "spots")
-    x, y = (spots.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "component", "id", "n", "at", "before")]) for s in "ab")
+        F.slice("prefix", F.lit(1), F.least("at", F.lit(BEFORE))).alias("before"))
+    spots = _written(spots.join(live.select("id", "component").distinct(), "id"), "spots", scratch)
+    x, y = (spots.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("component", "id", "n", "at", "before")]) for s in "ab")
     enough = f"{100 + percent} * (1 + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)"
     similar = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    once = "not arrays_overlap(before_a, before_b)"  # a pair is met at its first common shingle only
+    once = "not arrays_overlap(before_a, before_b)"  # a pair is met at its first common shingle only, if that is an early one
     met = x.join(y, (x["shingle"] == y["shingle"]) & F.expr(
         f"id_a < id_b and component_a <> component_b and {enough} and {similar} and {once}"))
-    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "n_a", "n_b")
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``key, set``: the sorted hashes of one document of each wanted class (``key, least``)."""
+    """``id, set``: the sorted hashes of one document of each wanted class (``id, key, least``)."""
     def gather(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        sets = [shingles(d, words).tobytes() for d in utf8(batch.column(1))]
-        same = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(0).to_pylist())]
-        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "set"])
+        sets = [shingles(d, words).tobytes() for d in utf8(batch.column(2))]
+        same = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column(1).to_pylist())]
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
         yield out.filter(pa.array(same))
 
-    texts = wanted.join(docs.where("doc_id is not null"), F.col("least") == F.col("doc_id")).select("key", "text")
-    return arrow_map(texts, "key binary, set binary", gather).dropDuplicates(["key"])
+    docs = docs.where("doc_id is not null")
+    there, _ = split_by_keys(docs, [F.col("doc_id")], wanted, [F.col("least")])
+    texts = wanted.join(there, F.col("least") == F.col("doc_id")).select("id", "key", "text")
+    sets = arrow_map(texts, "id long, set binary", gather)
+    return sets.groupBy("id").agg(F.first("set").alias("set"))  # rows of one id may repeat a text
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,6 +240,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = (pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-            .join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a"))
-    return arrow_map(both.select("a", "b", "set_a", "set_b"), "a binary, b binary", confirm)
+    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+            .join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a"))
+    return arrow_map(both.select("a", "b", "set_a", "set_b"), "a long, b long", confirm)
