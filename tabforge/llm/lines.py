@@ -6,10 +6,10 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.llm.common import arrow_map, stored, utf8
+from tabforge.llm.common import arrow_map, split_by_keys, stored, utf8
 
 #: Words of the shortest run that counts as repeated.
 RUN_WORDS = 50
@@ -66,8 +66,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(text_col)
-    others = [F.col(f) for f in docs.columns if f.lower() != text_col.lower()]
-    keyed = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), key.alias("digest"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), key.alias("digest"), F.col(text_col).alias("text"))
 
     def scan(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         out: list[tuple] = []
@@ -84,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              pa.array(at, pa.int32()), pa.array(mark, pa.int64()), pa.array(content, pa.binary())],
             ["id", "digest", "first", "last", "at", "mark", "content"])
 
-    found = stored(arrow_map(keyed.select("id", "digest", "text"),
+    found = stored(arrow_map(keyed,
                              f"id {kind}, digest long, first int, last int, at int, mark long, content binary", scan), "windows")
     repeated = found.select("mark", "id", "digest", "at").distinct().groupBy("mark").count().where("count > 1").select("mark")
     repeated = stored(repeated, "marks")  # with exchanges of its own, the join can split a hot mark
@@ -95,21 +94,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = stored(first, "origins")
     later = matches.join(first, "content").where("place <> origin")
     gone = later.groupBy("id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    gone = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
-    joined = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
-    stay = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.exists("spans", lambda g: (g["first"] <= i) & (i <= g["last"])))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    same = lambda f: text if f.lower() == text_col.lower() else F.col("row")[f]
-    return joined.withColumn("spans", _merged(F.col("gone"))).select(*[same(f).alias(f) for f in docs.columns])
-
-
-def _merged(spans: Column) -> Column:
-    """Touching or overlapping spans as one; few are left of the many windows of a run."""
-    def add(done: Column, span: Column) -> Column:
-        end = F.element_at(done, -1)
-        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], span["last"]).alias("last"))
-        return (F.when(F.size(done) == 0, F.array(span))
-                .when(span["first"] <= end["last"] + 1, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
-                .otherwise(F.concat(done, F.array(span))))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:int,last:int>>"), add)
+    gone = stored(gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone"), "gone")
+    # Only documents that lose lines are shuffled.
+    some, whole = split_by_keys(docs, [F.col(id_col), key], gone, [F.col("gone_id"), F.col("gone_digest")])
+    some = some.select(F.struct(*some.columns).alias("row"), F.col(id_col).alias("id"), key.alias("digest"))
+    # One kind of join at every size.
+    joined = some.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
+
+    def delete(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        row = pa.RecordBatch.from_struct_array(batch.column(0))
+        at = row.schema.get_field_index(text_name)
+        texts = [left(t, spans) if spans else t for t, spans in zip(row.column(at).to_pylist(), batch.column(1).to_pylist())]
+        yield row.set_column(at, row.schema.field(at), pa.array(texts, row.schema.field(at).type))
+
+    text_name = next(f for f in docs.columns if f.lower() == text_col.lower())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return whole.unionByName(arrow_map(joined.select("row", "gone"), schema, delete))
+
+
+def left(text: str, spans: list[dict]) -> str:
+    """The text without the lines that the spans cover, in one pass over sorted spans."""
+    spans = sorted((s["first"], s["last"]) for s in spans)
+    lines, out, end = text.split("\n"), [], 0
+    for first, last in spans:
+        if first > end:
+            out += lines[end:first]
+        end = max(end, last + 1)
+    return "\n".join(out + lines[end:])
