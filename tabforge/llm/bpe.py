@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from tabforge.llm.common import arrow_map, utf8
+from tabforge.llm.common import arrow_map, per_worker, utf8
 
 #: Distinct words a task remembers with their ids before it starts anew; bounds a worker's memory.
 MEMO_WORDS = 200_000
@@ -102,14 +101,12 @@ class ByteEncoder:
         return [[i for w in found for i in ids(w)] for found in words]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> ByteEncoder:
-    return ByteEncoder(path, pattern)
+    return per_worker(("encoder", path, pattern), lambda: ByteEncoder(path, pattern))
 
 
-@lru_cache(maxsize=2)
 def _decoder(path: str) -> ByteDecoder:
-    return ByteDecoder(path)
+    return per_worker(("decoder", path), lambda: ByteDecoder(path))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.workspace import cut_lineage
-from tabforge.llm.common import arrow_map, connected, stored
+from tabforge.llm.common import arrow_map, connected, per_worker, stored
 from tabforge.operators.rows import with_row_index
 
 #: Rows of a block; two blocks are compared in one task.
@@ -34,10 +33,9 @@ def windows(similarity: float, dims: int) -> tuple[float, float, int]:
     return distance, distance / math.sqrt(misses + 1), dims - misses
 
 
-@lru_cache(maxsize=8)
 def basis(dims: int) -> np.ndarray:
     """Orthonormal directions, the same everywhere."""
-    return np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))[0]
+    return per_worker(("basis", dims), lambda: np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))[0])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

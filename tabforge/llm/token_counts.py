@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabforge.llm.common import arrow_map, utf8
+from tabforge.llm.common import arrow_map, per_worker, utf8
 
 #: Bytes of text in one call of the library.
 BATCH_BYTES = 1 << 20
@@ -72,9 +71,8 @@ class TokenCounter:
         return [n + sum(map(self._memo.__getitem__, w)) for n, w in zip(extra, words)]
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str, pattern: str) -> TokenCounter:
-    return TokenCounter(path, pattern)
+    return per_worker(("counter", path, pattern), lambda: TokenCounter(path, pattern))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_col: str = "doc_id",
