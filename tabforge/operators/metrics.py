@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabforge.operators.profile import BINARY, MULTICLASS, REGRESSION, detect_task_type
+from tabforge.operators.profile import BINARY, MULTICLASS, REGRESSION, detect_task_type, present
+from tabforge.operators.rows import running_totals
 
 # Direction of each metric.
-HIGHER_IS_BETTER = {"accuracy": True, "f1": True, "rmse": False, "mae": False}
+HIGHER_IS_BETTER = {"accuracy": True, "f1": True, "auc": True, "rmse": False, "mae": False}
 
 
 def higher_is_better(metric: Column) -> Column:
@@ -102,6 +103,24 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, *,
     return _melt(one, by, ("rmse", "mae"))
 
 
+def ranked_auc(df: DataFrame, label: str, score: str, *, pos_label=1, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve: the share of pairs of a positive and a negative row that the score orders rightly.
+
+    A tie counts as half.  Exact, from rank sums: rows are counted by score first, so a score that a third of the rows share
+    is one row; the negatives below each score are running totals over range partitions, so no window holds all scores.
+    Rows without label or score (null, NaN) are left out; where either class is missing the value is null.
+    """
+    rows = df.where(F.col(label).isNotNull() & present(score, df.schema[score].dataType).isNotNull())
+    hit = (F.col(label) == F.lit(pos_label)).cast("long")
+    counts = rows.groupBy(*by, F.col(score).alias("__score")).agg(F.sum(hit).alias("__pos"), F.sum(1 - hit).alias("__neg"))
+    below = running_totals(counts, by, ["__score"], {"__neg": "__below"})
+    exact = "decimal(19,0)"  # products of two longs
+    won = F.sum(F.col("__pos").cast(exact) * (2 * F.col("__below") + F.col("__neg")).cast(exact))
+    pairs = 2 * F.sum("__pos").cast("double") * F.sum("__neg").cast("double")
+    one = below.groupBy(*by).agg(F.when(pairs > 0, won.cast("double") / pairs).alias("auc"))
+    return _melt(one, by, ("auc",))
+
+
 def evaluate(df: DataFrame, label: str, prediction: str, task: str | None = None, *,
              pos_label=None, by: Sequence[str] = ()) -> DataFrame:
     """Metrics of the task, which is detected from the label when not given."""

@@ -81,6 +81,23 @@ def rank_in_groups(df: DataFrame, by: Sequence[str], order_by: Sequence[str],
                          (F.col("__before") + F.col(f"a.{_AT}") - F.col("__first") + 1).alias(rank))
 
 
+def running_totals(df: DataFrame, by: Sequence[str], order_by: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Add, for each ``column: name``, the sum of the column over the earlier rows of the group, in key order; 0 for the first.
+
+    Rows are sorted over range partitions as for ranks.  A window adds up within one partition, the sums of
+    a group's earlier partitions are its offset; there is one such row for each partition that the group lies in.
+    """
+    placed = _placed(df, [*by, *order_by])
+    inside = Window.partitionBy(_PID, *by).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(_PID, *by).agg(*[F.sum(c).alias(f"__{n}") for c, n in values.items()])
+    parts = parts.select(_PID, *by, *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in values.values()])
+    summed = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__in_{n}") for c, n in values.items()])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (_PID, *by)]
+    return summed.alias("a").join(parts.alias("b"), same).select(
+        *[f"a.{c}" for c in df.columns], *[(F.col(f"a.__in_{n}") + F.col(f"b.__{n}")).alias(n) for n in values.values()])
+
+
 def _as_list(order_by) -> list[str]:
     if order_by is None:
         return []

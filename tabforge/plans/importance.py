@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from math import gcd
+from random import Random
+
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.operators.metrics import evaluate
 from tabforge.operators.profile import REGRESSION
+from tabforge.operators.rows import with_row_index
 from tabforge.plans.models import FEATURES, SCORES, TrainedModel, add_scores, model_array, model_names
 
-_ROWS_PER_GROUP = 4096
+
+def exchange(n: int, seed: int) -> tuple[int, int]:
+    """``(step, start)`` of a permutation ``i * step + start`` modulo ``n`` of row numbers; products fit a long.
+
+    The step is near the golden section of what fits, so rows that are alike, and have neighbouring numbers, take values from
+    all over the table.
+    """
+    draw = Random(seed * 1_000_003 + n)
+    step = max(1, int(min(n, (1 << 62) // n) * 0.6180339887498949) - draw.randrange(max(1, n // 1000)))
+    while gcd(step, n) > 1:
+        step += 1
+    return step, draw.randrange(n)
 
 
 def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42,
@@ -19,22 +34,19 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
 
     ``normalise`` gives shares of the sum, with gains from an exchange as 0.
 
-    Rows fall into small random groups and each takes the values of the next
-    row of its group.  The unchanged row and one variant per feature are then
-    scored side by side and reduced to metrics; variants never leave the scan
+    Rows are numbered in the order of a hash of their values, and each takes the values of the row whose number a
+    permutation keyed by ``seed`` gives, so the result depends on the rows alone, not on their partitions.  The unchanged row and one
+    variant per feature are then scored side by side and reduced to metrics; variants never leave the scan
     side of that aggregate.
     """
     names = model_names(model)
-    n_groups = max(1, df.count() // _ROWS_PER_GROUP)
-    base = df.where(F.col(f"`{model.target}`").isNotNull()).select(
-        F.col(f"`{model.target}`").alias("__y"),
-        model_array(df, model).alias("__x"),
-        F.rand(seed).alias("__r"),
-    ).withColumn("__g", F.floor(F.rand(seed + 1) * n_groups))
-    ordered = Window.partitionBy("__g").orderBy("__r")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    paired = base.withColumn(
-        "__other", F.coalesce(F.lead("__x").over(ordered), F.first("__x").over(whole)))
+    base = df.where(F.col(f"`{model.target}`").isNotNull()).select(F.col(f"`{model.target}`").alias("__y"), model_array(df, model).alias("__x"))
+    numbered = with_row_index(base.withColumn("__h", F.xxhash64("__y", "__x", F.lit(seed))), "__h", "__n")
+    n = max(1, numbered.count())
+    step, start = exchange(n, seed)
+    partner = (F.col("__n") * step + start) % n
+    other = numbered.select(F.col("__n").alias("__m"), F.col("__x").alias("__other"))
+    paired = numbered.select("__y", "__x", partner.alias("__m")).join(other, "__m")
     # Variant -1 is the row itself.  One variant is made at a time, so a row never holds width * width numbers.
     rows = paired.select("__y", "__x", "__other", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("feature"))
     swapped = F.when(F.col("feature") < 0, F.col("__x")).otherwise(F.concat(

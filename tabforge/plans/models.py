@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabforge.functions import workspace
 from tabforge.functions.types import is_numeric
-from tabforge.operators.metrics import evaluate
+from tabforge.operators.metrics import evaluate, ranked_auc
 from tabforge.operators.profile import REGRESSION
 from tabforge.operators.runs import MODEL_FOLDERS, best_model, model_catalog
 
@@ -303,6 +303,34 @@ def training_log(spark: SparkSession, model: TrainedModel) -> DataFrame:
     return spark.createDataFrame(rows, "epoch int, epochs int, objective double")
 
 
+def round_curve(model: TrainedModel, df: DataFrame) -> DataFrame:
+    """Loss on ``df`` after each round of boosting: ``round, class, loss``, with a class where there is one model for each.
+
+    Squared error for numbers, logistic loss for classes.  One pass over the rows for each member; what
+    comes back is a number for each round.
+    """
+    if not model.members or not hasattr(model.members[0], "evaluateEachIteration"):
+        raise ValueError(f"{model.plugin} has no rounds")
+    rows = design(df, model)
+    several, out = model.combine == "one_vs_rest", []
+    for i, member in enumerate(model.members):
+        one = rows.withColumn(LABEL, (F.col(LABEL) == i).cast("double")) if several else rows
+        losses = member.evaluateEachIteration(one, *([] if model.is_classifier else ["squared"]))
+        out += [(k, str(model.labels[i]) if several else None, float(v)) for k, v in enumerate(losses, start=1)]
+    return df.sparkSession.createDataFrame(out, "round int, class string, loss double")
+
+
+def model_auc(model: TrainedModel, df: DataFrame) -> DataFrame:
+    """Area under the ROC curve of a two-class model's score for its positive class."""
+    if not model.is_classifier or len(model.labels) != 2:
+        raise ValueError("two classes are needed")
+    at = model.labels.index(model.pos_label) if model.pos_label in model.labels else 1
+    rows = df.where(F.col(f"`{model.target}`").isNotNull()).select(
+        F.col(f"`{model.target}`").alias("__y"), array_to_vector(model_array(df, model)).alias(FEATURES))
+    scored = add_scores(model, rows).select("__y", F.col(SCORES)[at].alias("__s"))
+    return ranked_auc(scored, "__y", "__s", pos_label=model.labels[at])
+
+
 # --- storage --------------------------------------------------------------------------
 
 def model_dir(project: str, run_name: str, plugin: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -34,6 +34,7 @@ from tabforge.plans.models import (
     learn_gaps,
     model_names,
 )
+from tabforge.plans.randomfeatures import cosine_regression
 
 # Preset settings of the two boosting algorithms.
 BOOSTING_PRESETS = {
@@ -144,12 +145,17 @@ def train_boosted(df: DataFrame, target: str | None = None, *, preset: str = "xg
     return model
 
 
+#: Random units of a numeric network, at least.
+COSINES = 256
+
+
 def train_mlp(df: DataFrame, target: str | None = None, *, features: Sequence[str] | None = None,
               task: str | None = None, hidden: int = 64, layers: int = 2, epochs: int = 100,
-              learning_rate: float = 0.03, seed: int = 42) -> TrainedModel:
-    """Feed-forward network on one row per step; linear regression for numeric labels.
+              learning_rate: float = 0.03, seed: int = 42, spread: float = 1.0) -> TrainedModel:
+    """Feed-forward network on one row per step; for numeric labels, ridge regression on random cosines.
 
-    Integer labels are classes whatever their number.
+    Integer labels are classes whatever their number.  The numeric model has one layer of ``hidden * layers`` random units or ``COSINES``,
+    whichever is more, and learns only their weights, which takes one pass; ``epochs`` and ``learning_rate`` are of no use to it.
     """
     target = target_name(df, target)
     if task is None:
@@ -164,11 +170,13 @@ def train_mlp(df: DataFrame, target: str | None = None, *, features: Sequence[st
             featuresCol=scaled, labelCol=LABEL, seed=seed, maxIter=epochs, stepSize=learning_rate,
             layers=[width] + [hidden] * layers + [len(model.labels)])
     else:
-        net = LinearRegression(featuresCol=scaled, labelCol=LABEL, maxIter=epochs)
+        net = None
     # The network reads its rows in every step.
     rows = design(df, model).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model.members.append(Pipeline(stages=[scaler, net]).fit(rows))
+        whole = Pipeline(stages=[scaler, net]) if net else cosine_regression(
+            FEATURES, LABEL, count=max(COSINES, hidden * layers), spread=spread, seed=seed)
+        model.members.append(whole.fit(rows))
     finally:
         rows.unpersist()
     return model

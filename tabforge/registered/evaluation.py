@@ -320,3 +320,52 @@ def model_catalog(spark, sf_dir):
 def model_lookup(spark, sf_dir):
     found = R.find_models(R.model_catalog(model_files(spark, sf_dir)), "run_1", "xgboost")
     return found.select("run_name", "plugin_name", "task", "n_features")
+
+
+# --- ranked metrics ---------------------------------------------------------------
+
+def auc_sql(source: str, by: str = "") -> str:
+    """``source`` gives y, s and, with ``by``, that column."""
+    keys, group = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    return f"""
+    WITH s AS ({source}), c AS (
+      SELECT {keys}s, sum(y) AS pos, sum(1 - y) AS neg FROM s WHERE y IS NOT NULL AND s IS NOT NULL GROUP BY {keys}s),
+    b AS (SELECT *, coalesce(sum(neg) OVER ({group}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+    SELECT {keys}'auc' AS metric, round(CASE WHEN sum(pos) * sum(neg) > 0
+      THEN sum(pos * (2 * below + neg))::DOUBLE / (2 * sum(pos) * sum(neg))::DOUBLE END, 9) AS value
+    FROM b {"GROUP BY " + by if by else ""}"""
+
+
+_RANKED = "SELECT quality AS y, source, {score} AS s FROM documents JOIN labels USING (doc_id)"
+_HOT = "CASE WHEN doc_id % 3 = 0 THEN 200 ELSE n_chars END"
+
+
+def ranked(spark, sf_dir, score: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").selectExpr("quality AS y", "source", f"{score} AS s")
+
+
+def auc_rows(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("value", F.round("value", 9))
+
+
+@query("metrics_auc", auc_sql(_RANKED.format(score="n_chars")))
+def metrics_auc(spark, sf_dir):
+    return auc_rows(M.ranked_auc(ranked(spark, sf_dir, "n_chars"), "y", "s"))
+
+
+@query("metrics_auc_by_source", auc_sql(_RANKED.format(score="n_chars"), "source"))
+def metrics_auc_by_source(spark, sf_dir):
+    return auc_rows(M.ranked_auc(ranked(spark, sf_dir, "n_chars"), "y", "s", by=["source"]))
+
+
+@query("metrics_auc_hot_score", auc_sql(_RANKED.format(score=_HOT)))
+def metrics_auc_hot_score(spark, sf_dir):
+    """One score holds a third of the rows."""
+    return auc_rows(M.ranked_auc(ranked(spark, sf_dir, _HOT), "y", "s"))
+
+
+@query("metrics_auc_lines", auc_sql("SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_extendedprice AS s FROM lineitem"))
+def metrics_auc_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "l_extendedprice AS s")
+    return auc_rows(M.ranked_auc(rows, "y", "s"))

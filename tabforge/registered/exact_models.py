@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.workspace import scratch_path
 from tabforge.plans import models as MO
 from tabforge.plans import training as TR
+from tabforge.plans.importance import permutation_importance
+from tabforge.plans.shap import shap_importance
 from tabforge.plans.updating import update_forest
 from tabforge.registered.base import query, table
 from tabforge.registered.models import embedding_images, labelled_vectors
@@ -163,3 +165,89 @@ def image_classes(spark, sf_dir):
     pixels = TR.image_pixels(embedding_images(spark, sf_dir), size=8, keep=("vec_id", "quadrant"))
     held = F.col("vec_id") % 5 == 0
     return by_class(TR.train_image(pixels.where(~held), "quadrant", hidden=16), pixels.where(held), "quadrant", 0.6)
+
+
+# --- networks for numbers, curves and importances ------------------------------------
+
+_PRODUCT = "(l_quantity - 25) * (l_discount - 0.05)"
+
+
+@query("train_mlp_regress_rule", """
+    SELECT count(*) AS rows, true AS beats_line FROM lineitem WHERE l_orderkey % 5 = 0
+""")
+def mlp_regress(spark, sf_dir):
+    """An interaction of two columns, which a line cannot follow: held-out error below a third of the line's."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_quantity", "l_discount", f"{_PRODUCT} AS outcome")
+    held = F.col("l_orderkey") % 5 == 0
+    train, test = rows.where(~held), rows.where(held)
+    model = TR.train_mlp(train, "outcome", features=["l_quantity", "l_discount"], task="regression")
+    line = train.agg(*[f("outcome", c).alias(f"{f.__name__}_{c}") for f in (F.regr_slope, F.regr_intercept) for c in ("l_quantity", "l_discount")]).first()
+    error = lambda p: F.sqrt(F.avg((F.col("outcome") - p) * (F.col("outcome") - p)))
+    lines = [error(line[f"regr_slope_{c}"] * F.col(c) + line[f"regr_intercept_{c}"]) for c in ("l_quantity", "l_discount")]
+    return MO.predict(model, test).agg(
+        F.count("*").alias("rows"), (3 * error(F.col("prediction")) < F.least(*lines)).alias("beats_line"))
+
+
+def falls(curve: DataFrame) -> DataFrame:
+    before = F.lag("loss").over(Window.partitionBy("class").orderBy("round"))
+    return curve.withColumn("falls", F.coalesce(F.col("loss") < before, F.lit(True))).select("round", "class", "falls")
+
+
+@query("training_rounds_rule", """
+    SELECT i::INTEGER AS round, NULL::VARCHAR AS class, true AS falls FROM range(1, 7) r(i) WHERE EXISTS (FROM lineitem)
+""")
+def rounds(spark, sf_dir):
+    """Loss on held-out rows falls with each round."""
+    model, _, test = learned("binary", spark, sf_dir, lambda rows: TR.train_boosted(
+        rows, "outcome", features=FEATURES, n_estimators=6, max_depth=4))
+    return falls(MO.round_curve(model, test))
+
+
+@query("training_rounds_by_class_rule", """
+    SELECT i::INTEGER AS round, c AS class, true AS falls FROM range(1, 4) r(i), (VALUES ('high'), ('low'), ('mid')) v(c) WHERE EXISTS (FROM lineitem)
+""")
+def rounds_by_class(spark, sf_dir):
+    model, _, test = learned("multi", spark, sf_dir, lambda rows: TR.train_boosted(
+        rows, "outcome", preset="lightgbm", features=FEATURES, n_estimators=3, max_depth=4))
+    return falls(MO.round_curve(model, test))
+
+
+@query("model_auc_rule", "SELECT 'auc' AS metric, CAST(1 AS DOUBLE) AS value WHERE EXISTS (FROM lineitem)")
+def model_auc(spark, sf_dir):
+    """A model that has learned the rule ranks every positive row above every negative one."""
+    model, _, test = learned("binary", spark, sf_dir, lambda rows: TR.train_boosted(
+        rows, "outcome", features=FEATURES, n_estimators=3, max_depth=4))
+    return MO.model_auc(model, test)
+
+
+# The rule needs the line number most and the tax less; nothing else decides.
+_ORDER = """SELECT * FROM (VALUES (1, 'l_linenumber'), (2, 'l_tax'), (3, 'l_quantity')) v(place, feature) WHERE EXISTS (FROM lineitem)"""
+
+
+def ordered(importance: DataFrame) -> DataFrame:
+    return importance.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "feature")).alias("place"), "feature")
+
+
+def weighed(spark, sf_dir):
+    rows = ruled(spark, sf_dir, "multi").join(table(spark, sf_dir, "lineitem").select(*KEY, "l_quantity"), KEY)
+    held = F.col("l_orderkey") % 5 == 0
+    model = TR.train_random_forest(rows.where(~held), "outcome", features=[*FEATURES, "l_quantity"], **FOREST)
+    return model, rows.where(held)
+
+
+@query("feature_importance_rule", _ORDER)
+def importance_order(spark, sf_dir):
+    model, _ = weighed(spark, sf_dir)
+    return ordered(MO.importance_frame(spark, MO.feature_importance(model)))
+
+
+@query("permutation_importance_rule", _ORDER)
+def permutation_order(spark, sf_dir):
+    model, test = weighed(spark, sf_dir)
+    return ordered(permutation_importance(model, test))
+
+
+@query("shap_importance_rule", _ORDER)
+def shap_order(spark, sf_dir):
+    model, test = weighed(spark, sf_dir)
+    return ordered(shap_importance(model, test))

@@ -51,3 +51,29 @@ def stream_score(spark, sf_dir):
     model, _, _ = line_model(spark, sf_dir)
     scored = MO.predict_with_confidence(model, stream(spark, sf_dir, "lineitem"), keep=KEY)
     return drained(spark, scored).select(*KEY, "prediction", F.round("confidence", 6).alias("confidence"))
+
+
+def polls(spark, sf_dir) -> DataFrame:
+    """``events`` as a source that is polled: eight files, which hold every event twice, read a file a batch."""
+    folder = scratch_path(spark, "polls")
+    events = table(spark, sf_dir, "events")
+    for _ in range(2):
+        events.repartition(4, "event_id").write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_drop_repeated", "SELECT DISTINCT event_id, ts, user_id, event_type, value, props FROM events")
+def stream_drop_repeated(spark, sf_dir):
+    # The files are no later than each other than the table is long.
+    return drained(spark, B.drop_repeated(polls(spark, sf_dir), ["event_id"], "ts", "3650 days"))
+
+
+@query("stream_numbered_batches", """
+    SELECT event_id, event_type, 2 AS times, 2 AS batches, true AS numbered FROM events
+""")
+def stream_numbered_batches(spark, sf_dir):
+    """Each row of the polled source comes in two batches of eight, which are numbered from 0."""
+    root = scratch_path(spark, "stream")
+    rows = B.write_batches(polls(spark, sf_dir).select("event_id", "event_type"), f"{root}/rows", f"{root}/checkpoint")
+    return rows.groupBy("event_id", "event_type").agg(
+        F.count("*").alias("times"), F.count_distinct("sequence").alias("batches"), (F.max("sequence") < 8).alias("numbered"))

@@ -6,11 +6,12 @@ Spark ML transforms, so the same code runs on a streaming DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabforge.functions.types import logical_type
 from tabforge.operators.profile import present
@@ -29,6 +30,32 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, *, name: str | None = N
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
 
 
+def drop_repeated(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
+    """The first row of each key, of those that come again within ``delay`` of its event time.
+
+    The state holds one entry for each key until the watermark, the latest event time less ``delay``, has passed it by
+    ``delay``; so it is bounded by the keys of that span, not by the stream.  Rows older than the watermark are dropped: a key
+    that is polled again long after never comes twice, and neither does a row that is later than ``delay``.
+    """
+    at = "__event_time"  # watermarks need times with a zone; only differences count
+    timed = stream.withColumn(at, F.col(event_time).cast("timestamp")).withWatermark(at, delay)
+    return timed.dropDuplicatesWithinWatermark(list(keys)).drop(at)
+
+
+def write_batches(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
+    """All available rows with the number of their micro-batch, one folder for each.
+
+    A batch that is replayed after a failure replaces its folder, so its rows are there once whatever
+    had been written of them before.
+    """
+    def handle(batch: DataFrame, sequence: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/sequence={sequence}")
+
+    for_each_batch(stream, handle, checkpoint).awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("sequence", LongType())])
+    return stream.sparkSession.read.schema(schema).parquet(sink)
+
+
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None],
                    checkpoint: str, *, interval: str | None = None) -> StreamingQuery:
     """Call ``handle(batch, sequence)`` per micro-batch; sequences start at 0.
