@@ -8,6 +8,8 @@ from tabforge.functions.workspace import scratch_path
 from tabforge.plans.feature_sets import FeatureSets, latest_versions, next_versions, save_merged
 from tabforge.registered.base import query, table
 from tabforge.registered.profiles import DIRTY, DIRTY_SQL, dirty_events, profile_sql
+from tabforge.sources.connector import register
+from tabforge.streaming.batches import drain
 
 
 def filled_store(spark, sf_dir) -> FeatureSets:
@@ -101,3 +103,32 @@ def _order_versions(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"),
         (F.col("o_orderkey") % 50).cast("int").alias("version"), F.col("o_totalprice").alias("size"))
+
+
+# --- a saved feature set through its own source ---------------------------------------
+
+_LINES = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem"
+
+
+def saved_lines(spark, sf_dir) -> str:
+    """Path of a version with several files and row groups."""
+    sets = FeatureSets(spark, scratch_path(spark, "sets"))
+    sets.save(table(spark, sf_dir, "lineitem").repartition(4, "l_orderkey"), "lines")
+    register(spark)
+    return sets.info("lines").first().data_path
+
+
+@query("source_feature_set", f"{_LINES} WHERE l_quantity > 25")
+def source_feature_set(spark, sf_dir):
+    rows = spark.read.format("feature_set").schema(
+        "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz").load(saved_lines(spark, sf_dir))
+    return rows.where("l_quantity > 25")
+
+
+@query("source_feature_set_stream", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL")
+def source_feature_set_stream(spark, sf_dir):
+    """The same files as a stream."""
+    path, root = saved_lines(spark, sf_dir), scratch_path(spark, "stream")
+    rows = spark.readStream.format("feature_set").load(path)
+    rows = drain(rows.select("l_returnflag", "l_quantity"), f"{root}/rows", f"{root}/checkpoint")
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
