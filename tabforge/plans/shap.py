@@ -37,7 +37,7 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
     def explain(batches: Iterable[pd.DataFrame]):
         groups = None
         for b in batches:
-            groups = packed(leaves.value, width) if groups is None else groups
+            groups = packed(leaves.value) if groups is None else groups
             x = np.array(b["x"].tolist(), float).reshape(len(b), width)
             phi = contributions(leaves.value, x, groups)
             yield pd.DataFrame([[len(b), *np.abs(phi).mean(axis=2).sum(axis=0)]],
@@ -53,22 +53,23 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
 def contributions(leaves: list[Leaf], x: np.ndarray, groups: list[tuple] | None = None) -> np.ndarray:
     """Shapley values, shape (rows, features, outputs)."""
     outputs = len(leaves[0][0]) if leaves else 1
-    phi = np.zeros((len(x), x.shape[1] * outputs))
-    for group in packed(leaves, x.shape[1]) if groups is None else groups:
-        step = max(1, _CELLS // group[1].size)
+    phi = np.zeros((len(x), x.shape[1], outputs))
+    for group in packed(leaves) if groups is None else groups:
+        step = max(1, _CELLS // (group[0].size + len(group[0])))
         for at in range(0, len(x), step):
-            phi[at:at + step] += _group_contributions(group, x[at:at + step])
-    return phi.reshape(len(x), x.shape[1], outputs)
+            _add_contributions(phi[at:at + step], group, x[at:at + step])
+    return phi
 
 
 # Array cells a task works on at a time.
 _CELLS = 1 << 22
 
 
-def packed(leaves: list[Leaf], width: int) -> list[tuple]:
-    """Leaves with equally many features as arrays, and where each value goes.
+def packed(leaves: list[Leaf]) -> list[tuple]:
+    """Leaves with equally many features as arrays, and where each feature of their paths adds up.
 
-    ``target[j]`` maps a weight per leaf to the (feature, output) it counts for.
+    ``places[j]`` orders the leaves by their ``j``-th feature: the order, where each feature starts, and the features.  Its
+    size follows the leaves and their depth, not the width of the table.
     """
     by_size: dict[int, list[Leaf]] = {}
     for leaf in leaves:
@@ -80,16 +81,18 @@ def packed(leaves: list[Leaf], width: int) -> list[tuple]:
         for at in range(0, len(same), 4096):
             part = same[at:at + 4096]
             value, feats, low, high, share = (np.array([leaf[i] for leaf in part]) for i in range(5))
-            outputs, rows = value.shape[1], np.arange(len(part))
-            target = np.zeros((d, len(part), width, outputs))
+            places = []
             for j in range(d):
-                target[j, rows, feats[:, j]] = value
-            out.append((target.reshape(d, len(part), -1), feats, low, high, share))
+                order = np.argsort(feats[:, j], kind="stable")
+                there, start = np.unique(feats[order, j], return_index=True)
+                places.append((order, start, there))
+            out.append((feats, low, high, share, value, places))
     return out
 
 
-def _group_contributions(group: tuple, x: np.ndarray) -> np.ndarray:
-    target, feats, low, high, share = group
+def _add_contributions(phi: np.ndarray, group: tuple, x: np.ndarray) -> None:
+    """Extend each leaf's path by all its features, then unwind one at a time for that feature's value."""
+    feats, low, high, share, value, places = group
     d = feats.shape[1]
     values = x[:, feats]
     known = (values > low) & (values <= high)
@@ -101,15 +104,16 @@ def _group_contributions(group: tuple, x: np.ndarray) -> np.ndarray:
         poly *= share[:, m:m + 1]
         poly[..., 1:] += shifted
     order = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
-    phi = 0.0
     for j in range(d):
         # Take feature j out of the product again: divide by (share + t) or by share.
         s, weight, q = share[:, j], 0.0, 0.0
         for k in range(d - 1, -1, -1):
             q = np.where(known[..., j], poly[..., k + 1] - s * q, poly[..., k] / s)
             weight = weight + order[k] * q
-        phi = phi + ((known[..., j] - s) * weight) @ target[j]
-    return phi
+        order_j, start, there = places[j]
+        part = ((known[..., j] - s) * weight)[:, order_j]
+        for o in range(value.shape[1]):
+            phi[:, there, o] += np.add.reduceat(part * value[order_j, o], start, axis=1)
 
 
 def model_leaves(spark: SparkSession, model: TrainedModel) -> list[Leaf]:

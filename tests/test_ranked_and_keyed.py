@@ -138,3 +138,22 @@ def test_a_replayed_batch_replaces_its_rows(spark, tmp_path):
     got = [(r.id, r.sequence) for r in write_batches(stream, sink, checkpoint).collect()]
     assert sorted(i for i, _ in got) == sorted(10 * k + i for k in range(3) for i in range(4))
     assert {s for _, s in got} == {0, 1, 2} and all(len({s for i, s in got if i // 10 == k}) == 1 for k in range(3))
+
+
+@pytest.mark.parametrize("width", [64, 512])
+def test_shapley_values_add_up_whatever_the_width(spark, width):
+    from tabforge.plans.shap import contributions, model_leaves, packed
+    r = np.random.default_rng(5)
+    x = r.integers(0, 6, (300, width)).astype(float)
+    y = 3 * x[:, 1] + x[:, width - 2] * (x[:, 7] > 2)
+    df = spark.createDataFrame([(row.tolist(), float(v)) for row, v in zip(x, y)], "x array<double>, y double")
+    model = TR.train_random_forest(df, "y", features=["x"], task="regression", n_estimators=3, max_depth=5, featureSubsetStrategy="all")
+    leaves = model_leaves(spark, model)
+    phi = contributions(leaves, x)
+    predicted = {tuple(p.x): p.p for p in MO.predict(model, df, output="p").collect()}
+    mean = sum(leaf[0][0] * np.prod(leaf[4]) for leaf in leaves)
+    assert phi.shape == (300, width, 1)
+    assert np.allclose(phi.sum(axis=(1, 2)), [predicted[tuple(row)] - mean for row in x.tolist()])
+    assert set(np.argsort(-np.abs(phi).mean(axis=(0, 2)))[:2]) <= {1, 7, width - 2}
+    cells = sum(sum(a.size for a in g[:5]) for g in packed(leaves))
+    assert cells <= sum(5 * len(leaf[1]) + 1 for leaf in leaves)
