@@ -59,8 +59,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     goes.  All columns are returned, the text changed; columns of any name may be there.
 
     Each window of ``words`` words gives its least line hash as a fingerprint, so two equal runs have
-    one in common.  Fingerprints are joined over all positions by count; only windows around a repeated one
-    go on.  Such matches are extended both ways: the windows from and up to each line are compared by
+    one in common.  Fingerprints are counted over all positions; only windows around a repeated one go on, and the few whose
+    fingerprint shares its bucket with one.  Such matches are extended both ways: the windows from and up to each line are compared by
     content (128-bit hashes), the first place of each content stays, lines covered by later places are
     deleted.  A content shared by many documents costs one row a place, never pairs.
     """
@@ -85,14 +85,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = stored(arrow_map(keyed,
                              f"id {kind}, digest long, first int, last int, at int, mark long, content binary", scan), "windows")
-    repeated = found.select("mark", "id", "digest", "at").distinct().groupBy("mark").count().where("count > 1").select("mark")
-    repeated = stored(repeated, "marks")  # with exchanges of its own, the join can split a hot mark
+    # A mark is repeated if it has two places; two hashes of them tell, so nothing but marks is shuffled.
+    spot = F.xxhash64("id", "digest", "at")
+    repeated = found.groupBy("mark").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low <> high").select("mark")
+    matches, _ = split_by_keys(found, [F.col("mark")], repeated, [F.col("mark")])
     # The order of places: null ids last.
     place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "first")
-    matches = found.join(repeated, "mark", "left_semi").withColumn("place", place)
+    matches = matches.select("content", "id", "digest", "first", "last", place.alias("place"))
     first = matches.groupBy("content").agg(F.min("place").alias("origin"), F.count("*").alias("n")).where("n > 1")
     first = stored(first, "origins")
-    later = matches.join(first, "content").where("place <> origin")
+    later = matches.join(first.hint("merge"), "content").where("place <> origin")
     gone = later.groupBy("id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
     gone = stored(gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone"), "gone")
     # Only documents that lose lines are shuffled.
