@@ -82,7 +82,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_all_operators_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):
@@ -109,6 +109,23 @@ def test_pipeline_stages(spark, sf_dir):
     assert [corpus_pipeline.STAGES[i][1](spark, docs.limit(0), sf_dir).count() for i in range(4)] == [0] * 4
 
 
+def test_pipeline_stages_with_odd_rows(spark, frame):
+    passage = "\n".join(f"line {k} of a passage that several of these documents share" for k in range(12))
+    rows = [(1, passage), (2, "own words first\n" + passage), (None, passage), (3, None), (4, ""), (5, "one two three four five six seven"),
+            (5, "one two three four five six seven"), (6, "one two three four five six seven"), (None, "one two three four five six seven")]
+    docs = frame(rows).withColumn("n_chars", F.length("text").cast("long"))
+    stages = dict(corpus_pipeline.STAGES)
+    short = stages["line dedup"](spark, docs, None)
+    assert short.columns == docs.columns
+    same = "one two three four five six seven"
+    assert Counter((r.doc_id, r.text) for r in short.collect()) == Counter(
+        {(1, passage): 1, (2, "own words first"): 1, (5, same): 2, (6, same): 1, (None, same): 1})
+    single = stages["MinHash near-dedup"](spark, short, None)
+    assert single.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in single.collect()) == Counter(
+        {(1, passage): 1, (2, "own words first"): 1, (5, same): 2, (None, same): 1})
+
+
 def test_repeated_texts_are_drawn_once(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(langid, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
