@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import os
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -15,8 +17,8 @@ from tokenizers import Tokenizer, models
 
 from tabforge.llm.common import arrow_map, per_worker, utf8
 
-#: Distinct words a task remembers with their ids before it starts anew; bounds a worker's memory.
-MEMO_WORDS = 200_000
+#: Bytes of words and ids a worker remembers before it starts anew, and what each word takes beside its characters.
+MEMO_BYTES, MEMO_EACH = 32 << 20, 200
 #: Bytes of text encoded at once.
 BATCH_BYTES = 1 << 20
 
@@ -46,15 +48,17 @@ class ByteDecoder:
         self.table = pa.array(table, pa.large_binary())
         self.lengths = np.array([len(t or b"") for t in table], np.int64)
 
-    def offsets(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First character of each token and the one after its last.
+    def offsets(self, ids: np.ndarray, bounds: np.ndarray, decoded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each token in its text, and the one after its last.
 
-        A character whose bytes are split over several tokens belongs to each of them.
+        ``decoded`` holds the texts of the runs of ids between ``bounds``.  A character whose bytes are split over
+        several tokens belongs to each of them.
         """
-        ends = np.cumsum(self.lengths[ids])
-        starts = ends - self.lengths[ids]
-        at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # byte to 1-based character
-        return (at[starts] - 1).astype(np.int32), at[ends - 1].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        data = np.frombuffer(decoded.buffers()[2] or b"", np.uint8, int(ends[-1]))
+        seen = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters that begin before a byte
+        base = np.repeat(seen[ends[bounds[:-1]]], np.diff(bounds))
+        return (seen[ends[:-1] + 1] - 1 - base).astype(np.int32), (seen[ends[1:]] - base).astype(np.int32)
 
     def decode(self, ids: pa.Array, bounds: np.ndarray) -> pa.Array:
         """The bytes of each run of ids between ``bounds``, joined before any character is formed."""
@@ -81,24 +85,28 @@ class ByteEncoder:
                                            ignore_merges=True))
         self._words = regex.compile(pattern)
         self._chars = str.maketrans(chars)
-        self._memo: dict[str, list[int]] = {}
+        self._memo: dict[str, bytes] = {}
+        self._room = MEMO_BYTES
+        # Tasks share the cores; threads of the library would only add memory to each worker.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; every match of the pattern is encoded on its own.
+        """The ids of each text; every match of the pattern is encoded on its own."""
+        return [array("i", p).tolist() for p in self.packed(texts)]
 
-        Only words not met before go to the model.
-        """
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers.  Only words not met before go to the model."""
         words = list(map(self._words.findall, texts))
         fresh = set().union(*words).difference(self._memo)
-        if len(self._memo) + len(fresh) > MEMO_WORDS:
-            self._memo = {}
+        if self._room < 0:
+            self._memo, self._room = {}, MEMO_BYTES
             fresh = set().union(*words)
         fresh = list(fresh)
         shown = [w.encode().decode("latin-1").translate(self._chars) for w in fresh]
         for word, found in zip(fresh, self._model.encode_batch_fast(shown, add_special_tokens=False)):
-            self._memo[word] = found.ids
-        ids = self._memo.__getitem__
-        return [[i for w in found for i in ids(w)] for found in words]
+            ids = self._memo[word] = array("i", found.ids).tobytes()
+            self._room -= MEMO_EACH + 4 * len(word) + len(ids)
+        return [b"".join(map(self._memo.__getitem__, found)) for found in words]
 
 
 def _encoder(path: str, pattern: str) -> ByteEncoder:
@@ -110,28 +118,34 @@ def _decoder(path: str) -> ByteDecoder:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                 offsets: bool = False) -> DataFrame:
+                 offsets: bool = False, decoded: bool = False) -> DataFrame:
     """Token ids of every whole text.
 
-    Returns ``doc_id, ids`` and, with ``offsets``, ``starts, ends``: the character range of each token.
+    Returns ``doc_id, ids``; with ``offsets`` also ``starts, ends``, the character range of each token; with ``decoded`` also
+    ``decoded``, the bytes of the ids by the reversed byte table, made in the same task.
     One row for each input row, in any order; a null or empty text has no ids.  Repeated rows and ids
     give repeated rows; other columns are ignored.  ``path`` is a rank file that executors can read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
+    fields = ([f"doc_id {kind}", "ids array<int>"] + ["starts array<int>", "ends array<int>"] * offsets + ["decoded binary"] * decoded)
+    names = [f.split()[0] for f in fields]
 
     def encode(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         model = _encoder(path, pattern)
         for part in _by_bytes(batch):
-            data = utf8(part.column(1))
-            found = model.encode([d.decode("utf-8", "replace") for d in data])
-            columns = [part.column(0), _lists([np.array(x, np.int32) for x in found])]
+            found = model.packed([d.decode("utf-8", "replace") for d in utf8(part.column(1))])
+            ids = np.array(array("i", b"".join(found)), np.int32)
+            bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int64)
+            columns = [part.column(0), _lists(ids, bounds)]
+            if offsets or decoded:
+                back = _decoder(path).decode(pa.array(ids), bounds)
             if offsets:
-                pairs = [_decoder(path).offsets(d, np.array(x, np.int64)) for d, x in zip(data, found)]
-                columns += [_lists([p[0] for p in pairs]), _lists([p[1] for p in pairs])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "starts", "ends"][:len(columns)])
+                columns += [_lists(x, bounds) for x in _decoder(path).offsets(ids, bounds, back)]
+            if decoded:
+                columns.append(back.cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), schema, encode)
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ", ".join(fields), encode)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -166,7 +180,5 @@ def _by_bytes(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         yield batch.slice(i, j - i)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    bounds = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int32()))
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))

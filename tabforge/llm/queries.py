@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm.bpe import decode_ids, encode_texts
+from tabforge.llm.bpe import encode_texts
 from tabforge.llm.chat import echo_pairs, format_preferences, gather_turns
 from tabforge.llm.embeddings import similar_vectors
 from tabforge.llm.exact import exact_duplicates
@@ -38,11 +38,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = encode_texts(_table(spark, sf_dir, "documents"), path, pattern)
-    return decode_ids(encoded, path).select(
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), path, pattern, offsets=True, decoded=True)
+    return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("offsets_xxhash64"))
 
 
 @query

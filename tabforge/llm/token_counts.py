@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 
@@ -18,8 +19,8 @@ from tabforge.llm.common import arrow_map, per_worker, utf8
 BATCH_BYTES = 1 << 20
 #: A longer text is split, so that one document never makes a batch of its own size.
 SPLIT_CHARS = 1 << 18
-#: Distinct words whose counts a task remembers.
-MEMO_WORDS = 200_000
+#: Bytes of words a worker remembers with their counts before it starts anew, and what each takes beside its characters.
+MEMO_BYTES, MEMO_EACH = 32 << 20, 180
 #: A byte-level pre-tokenizer never joins white space to what stands before it.
 _BOUNDARY = re.compile(r"(?<=[!-~])(?=[\t\n\v\f\r ])")
 
@@ -52,6 +53,9 @@ class TokenCounter:
         # The library takes its special strings out of a text first, the longest where several fit.
         self._special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._memo: dict[str, int] = {}
+        self._room = MEMO_BYTES
+        # Tasks share the cores; threads of the library would only add memory to each worker.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text: its special strings, and the words between them."""
@@ -62,12 +66,13 @@ class TokenCounter:
             words.append(self._words.findall(text) if len(parts) == 1 else
                          [w for p in parts for w in self._words.findall(p)])
         fresh = set().union(*words).difference(self._memo)
-        if len(self._memo) + len(fresh) > MEMO_WORDS:
-            self._memo = {}
+        if self._room < 0:
+            self._memo, self._room = {}, MEMO_BYTES
             fresh = set().union(*words)
         fresh = list(fresh)
         for word, found in zip(fresh, self._library.encode_batch_fast(fresh, add_special_tokens=False)):
             self._memo[word] = len(found)
+            self._room -= MEMO_EACH + 4 * len(word)
         return [n + sum(map(self._memo.__getitem__, w)) for n, w in zip(extra, words)]
 
 

@@ -79,6 +79,53 @@ def test_decode_split_and_null(spark):
     assert decode_ids(df.limit(0), RANKS).count() == 0 and encode_texts(df.select("k", F.lit("x").alias("t")).limit(0), RANKS, P.PATTERN, "k", "t").count() == 0
 
 
+def test_one_task_gives_ids_offsets_and_bytes(spark, frame):
+    df = frame([(i, t) for i, t in enumerate([None, *TEXTS, TEXTS[3]])])
+    both = encode_texts(df, RANKS, P.PATTERN, offsets=True, decoded=True)
+    assert both.columns == ["doc_id", "ids", "starts", "ends", "decoded"]
+    apart = decode_ids(encode_texts(df, RANKS, P.PATTERN, offsets=True), RANKS)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
+    assert encode_texts(df, RANKS, P.PATTERN, decoded=True).columns == ["doc_id", "ids", "decoded"]
+    assert encode_texts(df.limit(0), RANKS, P.PATTERN, offsets=True, decoded=True).count() == 0
+
+
+def test_memory_of_words_starts_anew(reference, monkeypatch):
+    monkeypatch.setattr("tabforge.llm.bpe.MEMO_BYTES", 1000)
+    monkeypatch.setattr("tabforge.llm.token_counts.MEMO_BYTES", 1000)
+    encoder, counter = ByteEncoder(RANKS, P.PATTERN), TokenCounter(JSON, P.PATTERN)
+    library, most = Tokenizer.from_file(JSON), 0
+    for i in range(200):
+        text = f"word{i} {'é' * i} again " * 3
+        assert encoder.encode([text, ""]) == [reference(text), []]
+        assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False))]
+        most = max(most, len(encoder._memo)) if i > 190 else most
+    assert most < 20
+
+
+def offsets_of(table, text, ids):
+    """Character ranges of tokens, one byte at a time."""
+    data, at, starts, ends = text.encode(), 0, [], []
+    first = [i for i, b in enumerate(data) if b & 0xC0 != 0x80]
+    char_at = {}
+    for n, i in enumerate(first):
+        for b in range(i, (first[n + 1:] or [len(data)])[0]):
+            char_at[b] = n
+    for i in ids:
+        n = len(table[i])
+        starts.append(char_at[at]), ends.append(char_at[at + n - 1] + 1)
+        at += n
+    return starts, ends
+
+
+def test_query_offsets_over_the_whole_table(spark, sf_dir, reference):
+    table = {i: t for t, i in read_ranks(RANKS).items()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(d.doc_id, *offsets_of(table, d.text or "", reference(d.text or ""))) for d in docs]
+    want = spark.createDataFrame(rows, "doc_id long, starts array<int>, ends array<int>").select("doc_id", F.xxhash64("starts", "ends").alias("h"))
+    got = QUERIES["op1_byte_bpe"](spark, sf_dir).select("doc_id", "offsets_xxhash64")
+    assert {tuple(r) for r in want.collect()} == {tuple(r) for r in got.collect()}
+
+
 def test_split_safely_keeps_counts():
     library, counter = Tokenizer.from_file(JSON), TokenCounter(JSON, P.PATTERN)
     for text in TEXTS + ["word  \n\n x,  y " * 300]:
