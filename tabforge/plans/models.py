@@ -167,11 +167,12 @@ def label_number(target: str, labels: list | None) -> Column:
         F.raise_error(F.concat(F.lit("unknown label "), c.cast("string"))).cast("double"))
 
 
-def design(df: DataFrame, model: TrainedModel) -> DataFrame:
-    """Training rows: feature vector and numeric label only."""
+def design(df: DataFrame, model: TrainedModel, **more: Column) -> DataFrame:
+    """Training rows: feature vector and numeric label, and what else is asked for, only."""
     rows = df.where(F.col(f"`{model.target}`").isNotNull())
     plain = _text_input(model) if model.kind == "text" else model_array(df, model)
-    rows = workspace.steady_layout(rows.select(plain.alias(FEATURES), label_number(model.target, model.labels).alias(LABEL)))
+    rows = workspace.steady_layout(rows.select(plain.alias(FEATURES), label_number(model.target, model.labels).alias(LABEL),
+                                               *[c.alias(name) for name, c in more.items()]))
     return rows if model.kind == "text" else rows.withColumn(FEATURES, array_to_vector(FEATURES))
 
 
@@ -369,21 +370,35 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def publish_best(spark: SparkSession, project: str, metrics: DataFrame, metric: str = "f1") -> DataFrame:
+def publish_best(spark: SparkSession, project: str, metrics: DataFrame, metric: str = "f1",
+                 models: DataFrame | None = None) -> DataFrame:
     """Point each run's export record at its best saved model; the records are returned.
 
-    ``metrics`` has (run_name, plugin_name, metric, value) rows.
+    ``metrics`` has (run_name, plugin_name, metric, value) rows, ``models`` the saved models as ``scan_models`` lists them (the
+    default).  A best model that is not saved is an error, and then nothing is published.  All records go in one write that
+    replaces those of the runs given; the records of other runs stay.
     """
-    rows = []
-    for r in best_model(metrics, metric).collect():
-        path = model_dir(project, r.run_name, r.plugin_name)
-        if not workspace.path_exists(spark, path):
-            raise FileNotFoundError(path)
-        record = spark.createDataFrame([("spark", path, r.plugin_name)],
-                                       "format string, path string, plugin string")
-        write_report(record, f"{project.rstrip('/')}/runs/{r.run_name}/artifacts/export_meta")
-        rows.append((r.run_name, "spark", path, r.plugin_name))
-    return spark.createDataFrame(rows, "run_name string, format string, path string, plugin string")
+    root = project.rstrip("/")
+    folder = F.coalesce(F.create_map(*[F.lit(x) for f, p in MODEL_FOLDERS.items() for x in (p, f)])[F.col("plugin_name")],
+                        F.col("plugin_name"))
+    path = F.concat(F.lit(f"{root}/runs/"), "run_name", F.lit("/artifacts/"), folder, F.lit("_model"))
+    best = workspace.cut_lineage(best_model(metrics, metric).select("run_name", "plugin_name", path.alias("path")))
+    listed = scan_models(spark, project) if models is None else models
+    lost = best.join(listed.select("run_name", "plugin_name"), ["run_name", "plugin_name"], "left_anti").orderBy("path").head(3)
+    if lost:
+        raise FileNotFoundError(", ".join(r.path for r in lost))
+    records = best.select("run_name", F.lit("spark").alias("format"), "path", F.col("plugin_name").alias("plugin"))
+    (records.repartition("run_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_name").json(f"{root}/exports"))
+    return records
+
+
+def published(spark: SparkSession, project: str) -> DataFrame:
+    """The export records of all runs of a project."""
+    path, fields = f"{project.rstrip('/')}/exports", "run_name string, format string, path string, plugin string"
+    if not workspace.path_exists(spark, path):
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).json(path).select("run_name", "format", "path", "plugin")
 
 
 def scan_models(spark: SparkSession, project: str) -> DataFrame:
@@ -392,6 +407,6 @@ def scan_models(spark: SparkSession, project: str) -> DataFrame:
     if not workspace.glob_has_match(spark, pattern):
         empty = spark.createDataFrame([], "path string, metadata string")
         return model_catalog(empty)
-    files = spark.read.text(pattern).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("metadata"))
+    shown = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    files = spark.read.text(pattern).select(shown.alias("path"), F.col("value").alias("metadata"))
     return model_catalog(files)

@@ -7,13 +7,17 @@ import math
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
+from tabforge.functions.workspace import use_checkpoint_dir
 from tabforge.operators.profile import MULTICLASS
 from tabforge.plans.models import FEATURES, LABEL, TrainedModel, design
 from tabforge.plans.training import outline, train_boosted, train_random_forest, with_class_metadata
@@ -26,6 +30,10 @@ _SPARK_NAMES = {
     "boosted": {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth"},
 }
 
+_FOLD = "__fold"
+#: A fold column with more values than this is taken for a mistake.
+MOST_FOLDS = 100
+
 
 @dataclass
 class Tuning:
@@ -33,6 +41,7 @@ class Tuning:
     task: str
     metric: str
     trials: DataFrame
+    folds: DataFrame
     best_params: dict
     best_value: float
 
@@ -51,11 +60,18 @@ def draw(space: dict, trials: int, seed: int) -> list[dict]:
 
 def tune(df: DataFrame, target: str | None = None, *, plugin: str = "xgboost",
          features: Sequence[str] | None = None, n_trials: int = 20, cv: int = 3,
-         space: dict | None = None, seed: int = 42, parallelism: int = 4) -> Tuning:
-    """Cross-validate random settings: highest F1, or lowest RMSE, wins."""
+         space: dict | None = None, settings: Sequence[dict] | None = None, fold_col: str | None = None,
+         seed: int = 42, parallelism: int = 4) -> Tuning:
+    """Cross-validate random settings, or the given ones: highest F1, or lowest RMSE, wins; the first of equals.
+
+    Rows are dealt to ``cv`` folds in turn by the order of their values, so folds do not depend on the cluster and equal rows
+    are spread; or ``fold_col`` says each row's fold and is no feature (null folds take no part).  Features are made once and shared
+    by all fits.  ``trials`` has one row for each setting, ``folds`` one for each setting and fold with the rows held out.  Each
+    setting is fitted once a fold and nothing else is: ``train_tuned`` makes the model of the best.
+    """
     forest = plugin == "random_forest"
-    model = outline(df, plugin, target, features, None, {})
-    settings = draw(space or (FOREST_SPACE if forest else BOOSTED_SPACE), n_trials, seed)
+    model = outline(df.drop(fold_col) if fold_col else df, plugin, target, features, None, {})
+    settings = list(settings) if settings else draw(space or (FOREST_SPACE if forest else BOOSTED_SPACE), n_trials, seed)
     estimator, grid = _estimator_and_grid(model, settings, forest, seed)
     if model.is_classifier:
         name = "f1"
@@ -65,15 +81,43 @@ def tune(df: DataFrame, target: str | None = None, *, plugin: str = "xgboost",
     else:
         name = "rmse"
         evaluator = RegressionEvaluator(labelCol=LABEL, metricName="rmse")
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
-                            numFolds=cv, seed=seed, parallelism=parallelism)
-    means = list(search.fit(with_class_metadata(design(df, model), model)).avgMetrics)
+    use_checkpoint_dir(df.sparkSession)
+    rows = _dealt(df, model, cv, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = dict(rows.groupBy(_FOLD).count().orderBy(_FOLD).limit(MOST_FOLDS + 1).collect())
+        if not 2 <= len(sizes) <= MOST_FOLDS:
+            raise ValueError(f"2 to {MOST_FOLDS} folds with rows are needed")
+        rows = with_class_metadata(rows, model)
+
+        def value(job: tuple[int, object]) -> float:
+            trial, fold = job
+            fitted = estimator.fit(rows.where(F.col(_FOLD) != fold), grid[trial])
+            return float(evaluator.evaluate(fitted.transform(rows.where(F.col(_FOLD) == fold))))
+
+        jobs = [(i, fold) for i in range(len(settings)) for fold in sizes]
+        with ThreadPool(min(parallelism, len(jobs))) as pool:
+            values = pool.map(inheritable_thread_target(df.sparkSession)(value), jobs, chunksize=1)
+    finally:
+        rows.unpersist()
+    means = [sum(values[i:i + len(sizes)]) / len(sizes) for i in range(0, len(values), len(sizes))]
     pick = max if model.is_classifier else min
     best = pick(range(len(means)), key=means.__getitem__)
-    rows = [(i, json.dumps(s), float(m), i == best) for i, (s, m) in enumerate(zip(settings, means))]
-    trials = df.sparkSession.createDataFrame(
-        rows, "trial int, params string, fold_mean double, is_best boolean")
-    return Tuning(plugin, model.task, name, trials, settings[best], float(means[best]))
+    spark = df.sparkSession
+    trials = spark.createDataFrame(
+        [(i, json.dumps(s), m, i == best) for i, (s, m) in enumerate(zip(settings, means))],
+        "trial int, params string, fold_mean double, is_best boolean")
+    folds = spark.createDataFrame(
+        [(trial, str(fold), sizes[fold], v) for (trial, fold), v in zip(jobs, values)],
+        "trial int, fold string, held_out long, value double")
+    return Tuning(plugin, model.task, name, trials, folds, settings[best], means[best])
+
+
+def _dealt(df: DataFrame, model: TrainedModel, cv: int, fold_col: str | None) -> DataFrame:
+    """Training rows with their fold."""
+    if fold_col:
+        return design(df, model, **{_FOLD: F.col(f"`{fold_col}`")}).where(F.col(_FOLD).isNotNull())
+    # The layout is sorted by value in a number of partitions that follows from the rows, so places in it are fixed.
+    return design(df, model).withColumn(_FOLD, F.pmod(F.monotonically_increasing_id(), F.lit(cv)).cast("int"))
 
 
 def _estimator_and_grid(model: TrainedModel, settings: list[dict], forest: bool, seed: int):

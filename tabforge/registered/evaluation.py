@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.workspace import scratch_path
 from tabforge.operators import metrics as M
 from tabforge.operators import profile as P
 from tabforge.operators import runs as R
+from tabforge.plans.models import write_report
 from tabforge.registered.base import query, r6, table
 from tabforge.registered.profiles import DIRTY, DIRTY_SQL, dirty_events, profile_sql
 
@@ -101,6 +103,15 @@ def metrics_multiclass(spark, sf_dir):
     return rounded(M.multiclass_metrics(flag_rules(spark, sf_dir), "y", "p1"))
 
 
+@query("json_report", f"SELECT metric, round(value, 6) AS value FROM {multiclass_sql(_P1)}")
+def json_report(spark, sf_dir):
+    """Metrics written as a report and read back."""
+    report = rounded(M.multiclass_metrics(flag_rules(spark, sf_dir), "y", "p1"))
+    path = scratch_path(spark, "report")
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @query("metrics_regression",
        f"SELECT metric, round(value, 6) AS value FROM {regression_sql(f'SELECT y, p1 AS p FROM ({_PRICE})')}")
 def metrics_regression(spark, sf_dir):

@@ -10,7 +10,8 @@ from tabforge.plans import models as MO
 from tabforge.plans import training as TR
 from tabforge.plans.importance import permutation_importance
 from tabforge.plans.shap import shap_importance
-from tabforge.plans.updating import update_forest
+from tabforge.plans.tuning import train_tuned, tune
+from tabforge.plans.updating import update_forest, update_saved_model
 from tabforge.registered.base import query, table
 from tabforge.registered.models import embedding_images, labelled_vectors
 from tabforge.registered.streams import drained, stream
@@ -251,3 +252,71 @@ def permutation_order(spark, sf_dir):
 def shap_order(spark, sf_dir):
     model, test = weighed(spark, sf_dir)
     return ordered(shap_importance(model, test))
+
+
+# --- search, updates of saved models and records --------------------------------------
+
+@query("tune_model_rule", """
+    SELECT t::INTEGER AS trial, f.fold, f.held_out, t = 2 AS perfect, t = 2 AS is_best FROM range(3) r(t),
+           (SELECT CAST(l_orderkey % 3 AS VARCHAR) AS fold, count(*) AS held_out FROM lineitem GROUP BY 1) f
+""")
+def tuned(spark, sf_dir):
+    """One row for each setting and fold: only the deepest trees can hold the rule, so that setting is perfect and best."""
+    rows = ruled(spark, sf_dir, "multi").withColumn("part", F.col("l_orderkey") % 3)
+    found = tune(rows, "outcome", plugin="lightgbm", features=FEATURES, fold_col="part", settings=[
+        {"n_estimators": n, "learning_rate": 0.1, "max_depth": d} for n, d in ((1, 1), (2, 1), (2, 4))])
+    return found.folds.join(found.trials, "trial").select("trial", "fold", "held_out", (F.col("value") > 1 - 1e-9).alias("perfect"), "is_best")
+
+
+@query("train_tuned_rule", expected("binary"))
+def best_of_search(spark, sf_dir):
+    """The model of the best setting, with folds dealt by value."""
+    def search(rows: DataFrame) -> MO.TrainedModel:
+        found = tune(rows, "outcome", plugin="random_forest", features=FEATURES, cv=2, settings=[
+            {"n_estimators": 3, "max_depth": d, "min_instances": 1} for d in (1, 6)])
+        return train_tuned(rows, found, "outcome", features=FEATURES, featureSubsetStrategy="all")
+
+    model, _, test = learned("binary", spark, sf_dir, search)
+    return scored(model, test)
+
+
+@query("update_saved_model_rule", f"""
+    SELECT *, 8 AS trees, 'random_forest' AS plugin_name, 'run_001' AS source_run FROM ({expected('multi', 'l_orderkey % 5 <> 0')})
+""")
+def updated_saved(spark, sf_dir):
+    """A saved model is updated under a new run; the new one is loaded by the path of its receipt."""
+    model, train, test = learned("multi", spark, sf_dir, forest)
+    project = scratch_path(spark, "project")
+    MO.save_model(spark, model, MO.model_dir(project, "run_001", model.plugin))
+    receipt = update_saved_model(spark, project, model.plugin, "run_001", "run_002", test, n_estimators=3).first()
+    newer = MO.load_model(spark, receipt.updated_artifact_path)
+    return scored(newer, train).select("*", F.lit(newer.n_trees).alias("trees"), F.lit(receipt.plugin_name).alias("plugin_name"),
+                                       F.lit(receipt.source_run).alias("source_run"))
+
+
+_RUN = "concat('run_', o_custkey % 1000)"
+_PLUGIN = ("CASE left(o_orderpriority, 1) WHEN '1' THEN 'random_forest' WHEN '2' THEN 'xgboost' WHEN '3' THEN 'lightgbm' "
+           "WHEN '4' THEN 'lstm_tabular' ELSE 'own' END")
+_RUN_SCORES = f"""
+    SELECT {_RUN} AS run_name, {_PLUGIN} AS plugin_name, 'f1' AS metric, CAST(max(o_totalprice) AS DOUBLE) AS value FROM orders GROUP BY 1, 2
+    UNION ALL SELECT {_RUN}, {_PLUGIN}, 'rmse', CAST(min(o_totalprice) AS DOUBLE) FROM orders GROUP BY 1, 2
+"""
+
+
+@query("publish_best", f"""
+    WITH m AS (SELECT *, CAST(substr(run_name, 5) AS INTEGER) % 2 = 0 AS again FROM ({_RUN_SCORES})),
+    r AS (SELECT run_name, plugin_name, row_number() OVER (PARTITION BY run_name ORDER BY CASE metric WHEN 'f1' THEN -value ELSE value END, plugin_name) AS k
+          FROM m WHERE metric = CASE WHEN again THEN 'rmse' ELSE 'f1' END)
+    SELECT run_name, 'spark' AS format, plugin_name AS plugin, concat('/runs/', run_name, '/artifacts/', CASE plugin_name
+           WHEN 'random_forest' THEN 'rf' WHEN 'xgboost' THEN 'xgb' WHEN 'lightgbm' THEN 'lgbm' WHEN 'lstm_tabular' THEN 'lstm' ELSE plugin_name END,
+           '_model') AS path FROM r WHERE k = 1
+""")
+def publish(spark, sf_dir):
+    """A thousand runs are published by F1, then every second one anew by error; the others keep their records."""
+    metrics = table(spark, sf_dir, "orders").groupBy(F.expr(_RUN).alias("run_name"), F.expr(_PLUGIN).alias("plugin_name")).agg(
+        F.max("o_totalprice").cast("double").alias("f1"), F.min("o_totalprice").cast("double").alias("rmse")).unpivot(
+        ["run_name", "plugin_name"], ["f1", "rmse"], "metric", "value")
+    models, project = metrics.select("run_name", "plugin_name").distinct(), scratch_path(spark, "project")
+    MO.publish_best(spark, project, metrics, "f1", models)
+    MO.publish_best(spark, project, metrics.where(F.substring("run_name", 5, 9).cast("int") % 2 == 0), "rmse", models)
+    return MO.published(spark, project).withColumn("path", F.replace("path", F.lit(project), F.lit("")))

@@ -111,6 +111,33 @@ def test_save_load_scan_update(spark, people, tmp_path):
     best = MO.publish_best(spark, project, metrics).first()
     assert (best.format, best.plugin, best.path) == ("spark", "random_forest", path)
     assert MO.scan_models(spark, f"{project}/none").count() == 0
+    assert [tuple(r) for r in MO.published(spark, project).collect()] == [("run_001", "spark", path, "random_forest")]
+
+
+def test_publishing_replaces_only_the_runs_given(spark, tmp_path):
+    project = f"file://{tmp_path}/project"
+    models = spark.createDataFrame([("a", "xgboost"), ("a", "own"), ("b c+%41", "xgboost"), ("007", "lightgbm")], "run_name string, plugin_name string")
+    rows = [("a", "xgboost", "f1", 0.5), ("a", "own", "f1", 0.5), ("b c+%41", "xgboost", "f1", 0.1), ("007", "lightgbm", "f1", None)]
+    metrics = spark.createDataFrame(rows, "run_name string, plugin_name string, metric string, value double")
+    assert MO.published(spark, project).count() == 0
+    MO.publish_best(spark, project, metrics, models=models)
+    again = spark.createDataFrame([("a", "xgboost", "rmse", 1.0), ("a", "own", "rmse", 2.0), ("007", "lightgbm", "rmse", 0.0)], metrics.schema)
+    MO.publish_best(spark, project, again, "rmse", models)
+    assert sorted((r.run_name, r.plugin, r.path[len(project):]) for r in MO.published(spark, project).collect()) == [
+        ("007", "lightgbm", "/runs/007/artifacts/lgbm_model"), ("a", "xgboost", "/runs/a/artifacts/xgb_model"),
+        ("b c+%41", "xgboost", "/runs/b c+%41/artifacts/xgb_model")]
+    lost = spark.createDataFrame([("b c+%41", "own", "f1", 1.0), ("z", "own", "f1", 1.0)], metrics.schema)
+    with pytest.raises(FileNotFoundError, match="runs/z/artifacts/own_model"):
+        MO.publish_best(spark, project, lost, models=models)
+    assert MO.published(spark, project).count() == 3
+    assert MO.publish_best(spark, project, metrics.limit(0), models=models).count() == 0 and MO.published(spark, project).count() == 3
+
+
+def test_saved_models_of_oddly_named_runs_are_found(spark, tmp_path, people):
+    project, run = f"file://{tmp_path}/project", "my run+1"
+    MO.save_model(spark, TR.train_random_forest(people, "label", features=X, n_estimators=1, max_depth=2), MO.model_dir(project, run, "random_forest"))
+    metrics = spark.createDataFrame([(run, "random_forest", "f1", 0.9)], "run_name string, plugin_name string, metric string, value double")
+    assert MO.load_model(spark, MO.publish_best(spark, project, metrics).first().path).n_trees == 1
 
 
 def test_update_needs_all_features(people):
@@ -218,6 +245,38 @@ def test_tuning(spark, people):
     assert all(0.01 <= d["learning_rate"] <= 0.3 and 3 <= d["max_depth"] <= 10 for d in drawn)
 
 
+def test_search_fits_each_setting_once_a_fold(spark, people, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    fits, fit = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: fits.append(rows.count()) or fit(self, rows))
+    settings = [{"n_estimators": 1, "max_depth": 2, "min_instances": 1}, {"n_estimators": 2, "max_depth": 3, "min_instances": 1}]
+    found = tune(people, "label", plugin="random_forest", features=X, cv=3, settings=settings)
+    folds, n = found.folds.orderBy("trial", "fold").collect(), people.count()
+    assert len(fits) == 6 and sum(fits) == 4 * n
+    assert [(r.trial, r.fold) for r in folds] == [(t, str(f)) for t in range(2) for f in range(3)]
+    assert sum(r.held_out for r in folds) == 2 * n and max(r.held_out for r in folds) - min(r.held_out for r in folds) <= 8
+    means = {r.trial: r.fold_mean for r in found.trials.collect()}
+    assert all(abs(means[t] - sum(r.value for r in folds if r.trial == t) / 3) < 1e-12 for t in means)
+    train_tuned(people, found, "label", features=X)
+    assert len(fits) == 7
+    for parts in (1, 5):
+        same = tune(people.repartition(parts), "label", plugin="random_forest", features=X, cv=3, settings=settings)
+        assert [r.value for r in same.folds.orderBy("trial", "fold").collect()] == [r.value for r in folds]
+
+
+def test_search_by_a_fold_column(spark, people):
+    parted = people.withColumn("part", F.when(F.rand(1) < 0.9, F.when(F.col("label") == 1, "x").otherwise("y")))
+    with pytest.raises(ValueError, match="folds"):
+        tune(people.withColumn("part", F.lit(1)), "label", features=X, fold_col="part", settings=[{"n_estimators": 1}])
+    with pytest.raises(ValueError, match="folds"):
+        tune(people.limit(0).withColumn("part", F.lit(1)), "target", plugin="random_forest", features=X, fold_col="part", settings=[{"n_estimators": 1}])
+    found = tune(parted, "target", plugin="random_forest", fold_col="part", settings=[{"n_estimators": 2, "max_depth": 2}])
+    assert found.metric == "rmse"
+    assert {r.fold: r.held_out for r in found.folds.collect()} == {
+        r.part: r["count"] for r in parted.where("part IS NOT NULL AND target IS NOT NULL").groupBy("part").count().collect()}
+
+
 # --- feature sets ---
 
 @pytest.fixture
