@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,16 +16,41 @@ from tabforge.operators.rows import with_row_index
 GROUP_PIECES = 8192
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int], opened: int) -> list[tuple[int, int]]:
+def held(sizes: Sequence[int], totals: Sequence[int], first: int, length: int) -> int:
+    """Tokens of a bin of ``length`` that takes piece ``first`` and then, again and again, the largest later piece that fits.
+
+    ``sizes`` are negated and rising, ``totals`` their running sums from 0.  Pieces in a row are taken at once; each such run
+    leaves less than half of the room, so there are few.
+    """
+    room, at = length, first
+    while room and at < len(sizes):
+        end = bisect_right(totals, totals[at] + room) - 1
+        room -= totals[end] - totals[at]
+        at = bisect_left(sizes, -room, end)
+    return length - room
+
+
+def pack(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], float],
+         opened: int | None = None) -> list[tuple[int, int]]:
     """(bin, offset) of each piece, largest pieces first, each in the open bin that it fills best.
 
-    A piece that fits in no open bin opens one of ``opened``, or of the least length that holds it.
+    A piece that fits in no open bin opens the one that costs least for each token it would hold if the largest pieces
+    left filled it at once, counted after downsizing; the shorter one, if they are equal.  With ``opened`` it opens
+    that length, or the least one that holds it.
     """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    falling = [-sizes[i] for i in order]
+    totals = [0, *accumulate(sizes[i] for i in order)]
+
+    def price(first: int, length: int) -> float:
+        tokens = held(falling, totals, first, length)
+        return cost(lengths[bisect_left(lengths, tokens)]) / tokens
+
     where: list[tuple[int, int]] = [(0, 0)] * len(sizes)
     free: dict[int, list[int]] = {}  # room left: bins, the oldest last opened first
     rooms: list[int] = []  # sorted keys of ``free``
     filled: list[int] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    for k, i in enumerate(order):
         size = sizes[i]
         at = bisect_left(rooms, size)
         if at < len(rooms):
@@ -33,7 +59,8 @@ def pack(sizes: Sequence[int], lengths: Sequence[int], opened: int) -> list[tupl
             if not free[room]:
                 del free[room], rooms[at]
         else:
-            target, room = len(filled), max(opened, lengths[bisect_left(lengths, size)])
+            target, holding = len(filled), lengths[bisect_left(lengths, size):]
+            room = min(holding, key=lambda n: price(k, n)) if opened is None else max(opened, holding[0])
             filled.append(0)
         where[i] = (target, filled[target])
         filled[target] += size
@@ -46,14 +73,14 @@ def pack(sizes: Sequence[int], lengths: Sequence[int], opened: int) -> list[tupl
 
 
 def best_pack(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], float]) -> list[tuple[int, int, int]]:
-    """(bin, offset, length) of each piece, at the least cost over the permitted lengths to open.
+    """(bin, offset, length) of each piece: the length of each bin chosen as it is opened, then downsized to its contents.
 
-    Every length is tried as the one to open; each bin is then downsized to the least length that
-    holds its contents, and the cheapest of these packings wins (the shorter length, if they are equal).
+    Choosing by estimate can cost more than opening one length throughout, for few pieces mostly; those packings are
+    made as well, and the cheapest wins (the chosen lengths, then the shorter length, if they are equal).
     """
     best, least = [], None
-    for opened in lengths:
-        where, used = pack(sizes, lengths, opened), {}
+    for opened in (None, *lengths):
+        where, used = pack(sizes, lengths, cost, opened), {}
         for (b, _), size in zip(where, sizes):
             used[b] = used.get(b, 0) + size
         fitted = {b: lengths[bisect_left(lengths, n)] for b, n in used.items()}

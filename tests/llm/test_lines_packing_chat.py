@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from frames import frame  # noqa: F401
 from tabforge.llm.chat import format_preferences, gather_turns
 from tabforge.llm.lines import dedup_lines, windows
-from tabforge.llm.packing import best_pack, pack_documents
+from tabforge.llm.packing import GROUP_PIECES, best_pack, pack_documents
+from tabforge.llm.queries import PACK_LENGTHS, op9_best_fit_packing
 
 
 def brute_lines(docs, words):
@@ -65,33 +66,60 @@ def test_windows_cover_runs():
     assert found == [(0, 2), (1, 4), (2, 4), (3, 4), (4, 4), (4, 5)] or set(found) >= {(0, 2), (4, 4), (4, 5)}
 
 
-def brute_pack(sizes, lengths, overhead):
-    """Best fit by scanning all open bins."""
-    best = None
-    for opened in lengths:
-        bins = []
-        for size in sorted(sizes, reverse=True):
-            fits = [b for b in bins if b[0] >= size]
-            if fits:
-                b = min(fits, key=lambda b: b[0])
-            else:
-                b = [max(opened, min(n for n in lengths if n >= size)), 0]
-                bins.append(b)
-            b[0] -= size
-            b[1] += size
-        cost = sum(min(n for n in lengths if n >= b[1]) + overhead for b in bins)
-        best = cost if best is None else min(best, cost)
-    return best
+def brute_pack(sizes, lengths, overhead, opened=None):
+    """Cost of best fit by scanning all open bins; a bin's length is fixed, or tried by filling it with the pieces left."""
+    cost = lambda n: min(m for m in lengths if m >= n) + overhead
+    bins, left = [], sorted(sizes, reverse=True)
+    while left:
+        size = left[0]
+        fits = [b for b in bins if b[0] >= size]
+        if fits:
+            b = min(fits, key=lambda b: b[0])
+        else:
+            prices = {}
+            for n in (n for n in lengths if n >= size):
+                tokens = 0
+                for x in left:
+                    tokens += x if tokens + x <= n else 0
+                prices[n] = cost(tokens) / tokens
+            b = [min(prices, key=prices.get) if opened is None else max(opened, min(prices)), 0]
+            bins.append(b)
+        b[0] -= size
+        b[1] += size
+        left.pop(0)
+    return sum(cost(b[1]) for b in bins)
 
 
 def test_best_pack_cost():
     import random
     r = random.Random(1)
     lengths = [8, 16, 32]
-    for _ in range(30):
+    chosen = 0
+    for _ in range(200):
         sizes = [r.randrange(1, 33) for _ in range(r.randrange(1, 60))]
         found = best_pack(sizes, lengths, lambda n: n + 3)
-        assert sum({b: n + 3 for b, _, n in found}.values()) == brute_pack(sizes, lengths, 3)
+        total = sum({b: n + 3 for b, _, n in found}.values())
+        joint, *single = [brute_pack(sizes, lengths, 3, n) for n in (None, *lengths)]
+        assert total == min(joint, *single)
+        chosen += joint < min(single)
+    assert chosen > 0
+
+
+def test_packing_of_whole_documents(spark):
+    """The query's plan over a whole table: every token once, bins without gaps, each group's cost that of the plain version."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = {r.doc_id: r.n for r in docs.selectExpr("doc_id", "octet_length(coalesce(text, '')) + 1 as n").collect()}
+    out = op9_best_fit_packing(spark, "/root/testdata/sf0.001").toPandas()
+    assert out.groupby("doc_id")["size"].sum().to_dict() == sizes
+    pieces = out.sort_values(["doc_id", "piece"])
+    assert (pieces["start"] == pieces.groupby("doc_id")["size"].cumsum() - pieces["size"]).all()
+    inside = out.sort_values(["bin_id", "offset"])
+    assert (inside["offset"] == inside.groupby("bin_id")["size"].cumsum() - inside["size"]).all()
+    bins = out.groupby("bin_id").agg(used=("size", "sum"), least=("bin_length", "min"), length=("bin_length", "max"))
+    assert (bins["least"] == bins["length"]).all()
+    assert (bins["length"] == bins["used"].map(lambda n: min(m for m in PACK_LENGTHS if m >= n))).all()
+    assert len(out) <= GROUP_PIECES  # one group, so one plain packing
+    assert (bins["length"] + 64).sum() == min(brute_pack(list(out["size"]), PACK_LENGTHS, 64, n) for n in (None, *PACK_LENGTHS))
 
 
 @pytest.mark.parametrize("group", [5, 1000])
