@@ -181,6 +181,27 @@ def scan_parquet_glob_mixed(spark, sf_dir):
     return files.read_table(spark, f"{root}/*/*.parquet").select("key", "name", "nationkey", "acctbal", "segment", "region_hint")
 
 
+@query("scan_parquet_conflicting", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice, o_orderstatus FROM orders")
+def scan_parquet_conflicting(spark, sf_dir):
+    """Many files of three schemas that do not merge, in folders that hold a column."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    root = scratch_path(spark, "conflicting-parquet")
+    for status, kind in {"F": "int", "O": "string", "P": "bigint"}.items():
+        some = orders.where(F.col("o_orderstatus") == status).withColumn("o_custkey", F.col("o_custkey").cast(kind))
+        some.drop("o_orderstatus").repartition(6, "o_orderkey").write.parquet(f"{root}/o_orderstatus={status}")
+    return files.read_parquet(spark, root).select(orders.columns)
+
+
+@query("scan_csv_alike", "SELECT o_totalprice, o_orderdate, o_orderkey, o_orderstatus FROM orders")
+def scan_csv_alike(spark, sf_dir):
+    """Files that are said to have one header: no pass over them, each header checked as it is read."""
+    orders = table(spark, sf_dir, "orders")
+    path = scratch_path(spark, "alike-csv")
+    orders.write.partitionBy("o_orderstatus").options(header=True, escape='"', sep="|").csv(path)
+    wanted = orders.select("o_totalprice", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return files.read_csv(spark, path, schema=wanted.schema, alike=True, sep="|")
+
+
 @query("scan_arrow_glob_mixed", _MIXED)
 def scan_arrow_glob_mixed(spark, sf_dir):
     root = scratch_path(spark, "mixed-arrow")

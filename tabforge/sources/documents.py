@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions import text as X
@@ -17,7 +17,7 @@ from tabforge.functions.workspace import spread
 # Suffixes read as documents.
 TEXT_SUFFIXES = (".txt", ".md", ".rst")
 BINARY_SUFFIXES = (".pdf", ".docx", ".doc")
-SCHEMA = "filename string, source string, page int, total_pages int, text string, char_count bigint"
+PAGES = "array<struct<page: int, total_pages: int, text: string, char_count: bigint>>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 # An extractor returns the pages of one file as (page number, total pages, text).
@@ -42,11 +42,25 @@ def read_documents(spark: SparkSession, *paths: str, label_from_dir: bool = Fals
 
 def parse_documents(files: DataFrame, *, label_from_dir: bool = False,
                     extractors: Mapping[str, Extractor] | None = None) -> DataFrame:
-    """Rows of the documents in a (path, content) frame."""
+    """Rows of the documents in a (path, content) frame, whose plan runs once.
+
+    Python gets the contents of files that need a parser only; plain text is decoded in the JVM.
+    """
     files = files.select("path", "content", X.suffix(F.col("path")).alias("__suffix"))
-    plain = text_documents(files.where(F.col("__suffix").isin(*TEXT_SUFFIXES)))
-    parsed = extracted_documents(files.where(F.col("__suffix").isin(*BINARY_SUFFIXES)), extractors)
-    return _labelled(plain.unionByName(parsed), label_from_dir)
+    files = files.where(F.col("__suffix").isin(*TEXT_SUFFIXES, *BINARY_SUFFIXES))
+    is_text = F.col("__suffix").isin(*TEXT_SUFFIXES)
+    parsed = files.withColumn("__pages", _parser(extractors)(F.when(~is_text, F.col("content")), "__suffix"))
+    plain = F.struct(F.lit(1), F.lit(1), X.clean_document(F.col("content")), F.lit(None))
+    pages = F.when(is_text, F.array(plain).cast(PAGES)).otherwise(F.col("__pages"))
+    rows = _exploded(parsed, pages).where(F.col("text") != "")
+    size = F.coalesce("char_count", F.char_length("text").cast("bigint"))
+    return _labelled(rows.withColumn("char_count", size), label_from_dir)
+
+
+def _exploded(files: DataFrame, pages: Column) -> DataFrame:
+    path = F.col("path")
+    return files.select(X.file_name(path).alias("filename"), X.plain_path(path).alias("source"),
+                        F.explode(pages).alias("page")).select("filename", "source", "page.*")
 
 
 def _labelled(rows: DataFrame, label_from_dir: bool) -> DataFrame:
@@ -69,27 +83,26 @@ def text_documents(files: DataFrame) -> DataFrame:
 def extracted_documents(files: DataFrame,
                         extractors: Mapping[str, Extractor] | None = None) -> DataFrame:
     """Files that need a parser, one file at a time inside the tasks."""
+    return _exploded(files, _parser(extractors)("content", X.suffix(F.col("path"))))
+
+
+def _parser(extractors: Mapping[str, Extractor] | None):
+    """Pages of a file's content by its suffix; one page with the error if it cannot be read, none without an extractor."""
     known: dict[str, Extractor] = {".pdf": pdf_pages, ".docx": docx_pages, ".doc": docx_pages}
     known.update(extractors or {})
 
-    def load(batches: Iterable[pd.DataFrame]):
-        for batch in batches:
-            rows = []
-            for path, name, ext, blob in batch.itertuples(index=False):
-                try:
-                    for page, total, text in known[ext](bytes(blob)):
-                        stripped = text.strip()
-                        if stripped:
-                            rows.append((name, path, page, total, stripped, len(stripped)))
-                except Exception as error:  # one bad file must not stop the job
-                    rows.append((name, path, 1, 1, f"[ERROR: {error}]", 0))
-            yield pd.DataFrame(rows, columns=["filename", "source", "page", "total_pages",
-                                              "text", "char_count"])
+    def pages(blob: bytes, suffix: str) -> list[tuple[int, int, str, int]]:
+        try:
+            stripped = [(page, total, text.strip()) for page, total, text in known[suffix](bytes(blob))]
+            return [(page, total, text, len(text)) for page, total, text in stripped if text]
+        except Exception as error:  # one bad file must not stop the job
+            return [(1, 1, f"[ERROR: {error}]", 0)]
 
-    path = F.col("path")
-    source = files.select(X.plain_path(path).alias("source"), X.file_name(path).alias("filename"),
-                          X.suffix(path).alias("suffix"), "content")
-    return source.mapInPandas(load, SCHEMA)
+    @F.pandas_udf(PAGES)
+    def parse(content: pd.Series, suffix: pd.Series) -> pd.Series:
+        return pd.Series([pages(c, s) if s in known else [] for c, s in zip(content, suffix)], dtype=object)
+
+    return parse
 
 
 def docx_pages(blob: bytes) -> list[tuple[int, int, str]]:

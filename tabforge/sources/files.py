@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.feather as feather
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,15 +71,42 @@ def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | None =
 
 
 def _each_schema(spark: SparkSession, paths: Sequence[str], bases: Sequence[str], options: dict) -> list[DataFrame]:
-    """The files of each schema, with the columns that only their paths hold."""
-    reader = spark.read.options(**_listed(options)).option("mergeSchema", False)
+    """The files of each schema, with the columns that only their paths hold.
+
+    Tasks read the footers; Spark then infers one schema for each different footer, so the jobs do not grow with the files.
+    """
+    def footers(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            kinds = [_footer_kind(path, options) for path in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string())], names=["file", "names", "kind"])
+
     facts = list_files(spark, *paths).select(F.col("path").alias("file"), _path_names(F.col("path"), bases).alias("names"))
     types = _path_types(facts, bases)
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in facts.orderBy("file").collect():
-        groups.setdefault((reader.parquet(r.file).schema.json(), r.names), []).append(r.file)
-    return [_with_path_columns(reader.parquet(*found), _path_columns(names, bases), types)
-            for (_, names), found in groups.items()]
+    found = facts.repartition(spark.sparkContext.defaultParallelism, "file").mapInArrow(
+        footers, "file string, names string, kind string")
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for r in found.orderBy("file").collect():
+        kinds.setdefault((r.kind, r.names), []).append(r.file)
+    reader = spark.read.options(**_listed(options)).option("mergeSchema", False)
+    groups: dict[tuple[str, str], tuple[T.StructType, list[str]]] = {}
+    for (_, names), same in kinds.items():
+        schema = reader.parquet(same[0]).schema
+        groups.setdefault((schema.json(), names), (schema, []))[1].extend(same)
+    return [_with_path_columns(reader.schema(schema).parquet(*same), _path_columns(names, bases), types)
+            for (_, names), (schema, same) in groups.items()]
+
+
+def _footer_kind(path: str, options: dict) -> str:
+    """Digest of the schema in a Parquet footer; a file that cannot be opened here is a kind of its own."""
+    try:
+        with _open(path, options) as f:
+            footer = pq.ParquetFile(f)
+            # The first line holds the address of the object.
+            columns = str(footer.schema).partition("\n")[2]
+            written = (footer.metadata.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+    except (OSError, pa.ArrowException):
+        return path
+    return hashlib.sha256(columns.encode() + written).hexdigest()
 
 
 # Letters that make a path a glob.
@@ -194,38 +223,44 @@ def _lines(spark: SparkSession, paths: Sequence[str], options: dict | None = Non
 def _first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``file, head, open``: each file's first line that is not blank, and whether a quote stays open on some line.
 
-    One pass of the splittable text source over the files; only these rows are shuffled and kept.
+    One pass of the splittable text source over the files; only these rows are shuffled.
     """
     lines = _lines(spark, paths)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = lines.where(F.trim("value") != "").groupBy("file").agg(
+    return lines.where(F.trim("value") != "").groupBy("file").agg(
         F.min_by("value", "at").alias("head"), F.bool_or(quotes % 2 == 1).alias("open"))
-    return workspace.cut_lineage(facts)
 
 
 def _json_layouts(spark: SparkSession, paths: Sequence[str], options: dict) -> DataFrame:
     """``file, whole``: whether each file is one value over several lines.
 
-    It is if its first line leaves a bracket open and its last one closes more than it opens.  Only brackets outside strings
-    count, so it does not matter which values Spark's lenient parser takes.  A file of several values that each go over
-    lines is an error: neither layout reads it all.
+    It is if its first line leaves a bracket open and its last one closes more than it opens.  One pass finds these two lines
+    of each file, and only they are parsed.  Only brackets outside strings count, so it does not matter which values Spark's
+    lenient parser takes.  A file of several values that each go over lines is an error: neither layout reads it all.
     """
     separator = {k: v for k, v in options.items() if k.lower() == "linesep"}
     comments = str({k.lower(): v for k, v in options.items()}.get("allowcomments", "")).lower() == "true"
-    bare = F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "\"[^\"]*\"?|'[^']*'?", "s")
-    if comments:
-        bare = F.regexp_replace(bare, r"/\*.*?\*/|//.*", "")
-    count = lambda brackets: F.length("bare") - F.length(F.translate("bare", brackets, ""))
-    lines = _lines(spark, paths, separator).withColumn("bare", bare).where(F.col("bare").rlike(r"[^\s\x{FEFF}]"))
-    steps = lines.select("file", "at", (count("[{") - count("]}")).alias("step"))
-    facts = workspace.cut_lineage(steps.groupBy("file").agg(
-        ((F.min_by("step", "at") > 0) & (F.max_by("step", "at") < 0)).alias("whole")))
+
+    def bare(line: str) -> Column:
+        """A line without its strings and, where they are allowed, comments."""
+        out = F.regexp_replace(F.regexp_replace(line, r"(?s)\\.", ""), "\"[^\"]*\"?|'[^']*'?", "s")
+        return F.regexp_replace(out, r"/\*.*?\*/|//.*", "") if comments else out
+
+    def step(line: str) -> Column:
+        """Brackets that a line opens, less those that it closes."""
+        count = lambda brackets: F.length(bare(line)) - F.length(F.translate(bare(line), brackets, ""))
+        return count("[{") - count("]}")
+
+    filled = (bare("value") if comments else F.col("value")).rlike(r"[^\s\x{FEFF}]")
+    ends = _lines(spark, paths, separator).where(filled).groupBy("file").agg(
+        F.min_by("value", "at").alias("first"), F.max_by("value", "at").alias("last"))
+    facts = workspace.cut_lineage(ends.select("file", ((step("first") > 0) & (step("last") < 0)).alias("whole")))
     wholes = [r.file for r in facts.where("whole").select("file").collect()]
     if wholes:
         depth = F.sum("step").over(Window.partitionBy("file").orderBy("at"))
-        ends = _lines(spark, wholes, separator).withColumn("bare", bare).select(
-            "file", "at", (count("[{") - count("]}")).alias("step")).where("step != 0").withColumn("depth", depth)
-        broken = ends.where("depth <= 0").groupBy("file").count().where("count > 1").orderBy("file").first()
+        steps = _lines(spark, wholes, separator).select("file", "at", step("value").alias("step")).where("step != 0")
+        ends = steps.withColumn("depth", depth).where("depth <= 0")
+        broken = ends.groupBy("file").count().where("count > 1").orderBy("file").first()
         if broken:
             raise ValueError(f"{broken.file} holds several JSON values that go over lines; multi_line=True reads the first one")
     return facts
@@ -257,36 +292,64 @@ def delimiter(header: str) -> str:
 
 
 def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None,
-             **options) -> DataFrame:
+             alike: bool = False, **options) -> DataFrame:
     """CSV with a header in each file; columns are matched by name over all files.
 
     One pass over the lines finds the files that are alike.  Files of another header or delimiter are
     read apart and stacked by name.  Files with a quoted line break are read by one task each, all others
     are split between lines.  ``sep`` and ``multiLine`` may be given instead.  Without a schema,
     types cost one more pass.
+
+    ``alike=True`` says that all files have one header, and ``sep`` and ``multiLine`` hold for all (a comma and False, if
+    not given).  No pass tells them apart then: the first header gives the columns, and a file with another one is an error.
     """
     given, paths = paths, expand(spark, *paths)
     base = {"header": True, "escape": '"', **options}
     bases = _bases(spark, given, options)
     wanted = _struct(spark, schema)
+    if alike:
+        base = {"enforceSchema": False, **base}
+        if not any(map(_GLOB.search, given)):
+            return _read_csv_group(spark, paths, wanted, None, {}, {}, base)
+        facts = list_files(spark, *paths, recursive=False).select(F.col("path").alias("file"), F.lit(None).alias("head"))
+        groups = _by_group(facts, ["head"], paths, given, bases)
+    else:
+        # One small row for each file; what an executor loses of them is made again.
+        facts = _first_lines(spark, paths).persist()
+        try:
+            groups = _by_group(facts, ["head", "open"], paths, given, bases)
+        finally:
+            facts.unpersist()
     frames = []
-    for (head, opened), found, columns, kinds in _by_group(_first_lines(spark, paths), ["head", "open"], paths, given, bases):
-        alike = {"sep": delimiter(head), "multiLine": opened, **(_listed(base) if columns else base)}
-        if wanted is None:
-            frames.append(_with_path_columns(spark.read.options(**{"inferSchema": True, **alike}).csv(found), columns, kinds))
-            continue
-        names = spark.read.options(**alike).csv(found[:1]).columns
-        types = {f.name: f.dataType for f in wanted}
-        rows = spark.read.options(**alike).schema(T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])).csv(found)
-        rows = _with_path_columns(rows, columns, kinds | types)
-        frames.append(rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                                    for f in wanted]))
+    for (head, *opened), found, columns, types in groups:
+        here = _listed(base) if columns else base
+        if not alike:
+            here = {"sep": delimiter(head), "multiLine": opened[0], **here}
+        frames.append(_read_csv_group(spark, found, wanted, head, columns, types, here))
     if not frames:
         reader = spark.read.options(**base)
         return (reader.schema(wanted) if wanted is not None else reader).csv(paths)
     return frames[0] if len(frames) == 1 else stack_by_name(frames)
 
 
+def _read_csv_group(spark: SparkSession, paths: Sequence[str], wanted: T.StructType | None, head: str | None,
+                    columns: dict[str, Column], types: dict[str, T.DataType], options: dict) -> DataFrame:
+    """Files of one header, with the columns that only their paths hold; the wanted columns by name, if any are."""
+    if wanted is None:
+        return _with_path_columns(spark.read.options(**{"inferSchema": True, **options}).csv(paths), columns, types)
+    reader = spark.read.options(**options)
+    kinds = {f.name: f.dataType for f in wanted}
+    # Spark names the columns, unless the header holds just the wanted names.
+    plain = head and '"' not in head and options["header"] is True and set(options) <= {"header", "escape", "sep", "multiLine"}
+    names = head.split(options["sep"]) if plain else None
+    if names != list(kinds):
+        names = reader.csv(paths[:1]).columns
+    rows = reader.schema(T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])).csv(paths)
+    rows = _with_path_columns(rows, columns, types | kinds)
+    return rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in wanted])
+
+
 def _struct(spark: SparkSession, schema: T.StructType | str | None) -> T.StructType | None:
     return spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
 

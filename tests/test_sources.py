@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.feather as feather
 import pyarrow.ipc as ipc
+import pyarrow.parquet as pq
 import pytest
 
 from conftest import rows
@@ -207,6 +208,22 @@ def test_pdf_extractor_can_be_supplied(spark, tmp_path):
     assert rows(df.select("page", "total_pages", "text")) == [(1, 4, "one"), (4, 4, "two")]
 
 
+def test_files_of_all_kinds_are_planned_once(spark, tmp_path):
+    texts = {"a/x.txt": b" one\r\n", "a/y.docx": _docx("One", "Two"), "b/z.docx": b"nope", "b/w.bin": b"nope", "b/v.md": b" \n",
+             "b/u.pdf": b"p|| q"}
+    frame = spark.createDataFrame([(f"file:/d/{k}", bytearray(v)) for k, v in texts.items()] + [
+        ("file:/d/n.txt", None), ("file:/d/m.docx", None), (None, bytearray(b"x"))], "path string, content binary")
+    frame.write.parquet(f"{tmp_path}/files")
+    pages = lambda blob: [(i, 3, t) for i, t in enumerate(blob.decode().split("|"), 1)]
+    df = documents.parse_documents(spark.read.parquet(f"{tmp_path}/files"), label_from_dir=True, extractors={".pdf": pages})
+    got = sorted(map(tuple, df.select("filename", "page", "total_pages", "text", "char_count", "label").collect()))
+    assert [r for r in got if not r[3].startswith("[ERROR: ")] == [
+        ("u.pdf", 1, 3, "p", 1, "b"), ("u.pdf", 3, 3, "q", 1, "b"), ("x.txt", 1, 1, "one", 3, "a"), ("y.docx", 1, 1, "One\nTwo", 7, "a")]
+    assert [(r[0], r[4]) for r in got if r[3].startswith("[ERROR: ")] == [("m.docx", 0), ("z.docx", 0)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert documents.parse_documents(spark.read.parquet(f"{tmp_path}/files").limit(0)).count() == 0
+
+
 # --- images and audio ---
 
 def test_image_headers(spark, tmp_path):
@@ -386,3 +403,64 @@ def test_path_columns_of_parquet_that_does_not_merge(spark, tmp_path):
     spark.sql("SELECT 2 AS a").write.parquet(f"{tmp_path}/q/r=EU")
     assert rows(files.read_parquet(spark, f"{tmp_path}/q/**/*.parquet")) == [(2, "EU")]
     assert rows(files.read_parquet(spark, f"{tmp_path}/q/r=EU")) == [(2,)]
+
+
+def _jobs(spark, name, run):
+    """Spark jobs that a call starts on the driver."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(name))
+
+
+def test_parquet_kinds_take_jobs_by_schema_not_by_file(spark, tmp_path):
+    kinds = [pa.array([1, 2], pa.int64()), pa.array(["x", "y"]), pa.array([[1.5], None])]
+
+    def write(folder, n):
+        (tmp_path / folder).mkdir()
+        for i in range(n):
+            for k, values in enumerate(kinds):
+                pq.write_table(pa.table({"a": values, "i": [i, k]}), tmp_path / folder / f"{k}-{i}.parquet")
+        return str(tmp_path / folder)
+
+    few, many = write("few", 40), write("many", 160)
+    jobs = [_jobs(spark, path, lambda path=path: files.read_parquet(spark, path)) for path in (few, many)]
+    assert jobs[0] == jobs[1] < 20
+    got = files.read_parquet(spark, many)
+    assert got.count() == 960 and dict(got.dtypes)["a"] == "string"
+    assert got.where("i < 3").groupBy("a").count().count() == 6
+
+
+def test_parquet_kinds_with_equal_schemas_are_read_together(spark, tmp_path):
+    spark.sql("SELECT 1 AS a, 'p' AS b").write.parquet(f"{tmp_path}/p/one")  # written by Spark, the next by another writer
+    (tmp_path / "p" / "two").mkdir()
+    pq.write_table(pa.table({"a": pa.array([2], pa.int32()), "b": ["q"]}), tmp_path / "p" / "two" / "x.parquet")
+    pq.write_table(pa.table({"a": ["r"]}), tmp_path / "p" / "two" / "y.parquet")
+    got = files.read_parquet(spark, f"{tmp_path}/p/*")
+    assert sorted(map(tuple, got.collect()), key=repr) == [("1", "p"), ("2", "q"), ("r", None)]
+
+
+def test_csv_files_said_to_be_alike_need_no_pass(spark, tmp_path):
+    for r, text in {"EU": "a;b\n1;x\n", "US": 'a;b\n2;"y;z"\n'}.items():
+        (tmp_path / "part" / f"r={r}").mkdir(parents=True)
+        (tmp_path / "part" / f"r={r}" / "x.csv").write_text(text)
+    for path in ("part", "part/*", "part/**/*.csv"):
+        read = lambda **k: files.read_csv(spark, f"{tmp_path}/{path}", alike=True, sep=";", **k)  # noqa: B023, E731
+        assert rows(read().select("a", "b", "r")) == [(1, "x", "EU"), (2, "y;z", "US")]
+        assert rows(read(schema="b string, z int, a long, r string")) == [("x", None, 1, "EU"), ("y;z", None, 2, "US")]
+    # With the columns of the schema in its order, only Spark's own look at the first header is left.
+    assert _jobs(spark, "alike", lambda: files.read_csv(spark, f"{tmp_path}/part", alike=True, sep=";", schema="a int, b string")) <= 1
+    (tmp_path / "part" / "r=US" / "z.csv").write_text("b;a\nq;3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, f"{tmp_path}/part", alike=True, sep=";", schema="a int, b string").collect()
+    assert files.read_csv(spark, f"{tmp_path}/part", schema="a int, b string").count() == 3
+
+
+def test_json_with_comments_before_and_after(spark, tmp_path):
+    (tmp_path / "t.json").write_text('// [\n{"k": 1}\n{"k": 2}\n/* ] */\n')
+    (tmp_path / "u.json").write_text('// head\n[\n{"k": 3}, // {\n{"k": 4}\n]\n// tail\n')
+    got = files.read_json(spark, f"{tmp_path}/*.json", allowComments=True)
+    assert sorted(r.k for r in got.where("k is not null").collect()) == [1, 2, 3, 4]
