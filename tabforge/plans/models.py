@@ -72,21 +72,28 @@ def feature_columns(df: DataFrame, target: str | None, exclude: Sequence[str] =
 
 
 def array_widths(df: DataFrame, features: Sequence[str]) -> dict[str, int]:
-    """Length of each array feature, read from one row."""
+    """Length of each array feature: that of all its arrays, null ones aside, by one aggregate.  Other lengths are an error."""
     arrays = [c for c in features if isinstance(df.schema[c].dataType, T.ArrayType)]
     if not arrays:
         return {}
-    first = df.select(*[F.size(c).alias(c) for c in arrays]).first()
-    if first is None:
+    size = lambda c: F.array_size(F.col(f"`{c}`"))
+    found = df.agg(F.count("*").alias("rows"), *[F.struct(F.min(size(c)), F.max(size(c))).alias(c) for c in arrays]).first()
+    if not found["rows"]:
         raise ValueError("no rows to train on")
-    return first.asDict()
+    for c in arrays:
+        least, most = found[c]
+        if least is None:
+            raise ValueError(f"feature {c} is null in all rows")
+        if least != most:
+            raise ValueError(f"feature {c} has arrays of {least} to {most} values")
+    return {c: found[c][0] for c in arrays}
 
 
 def feature_names(features: Sequence[str], widths: dict[str, int], flagged: bool = False) -> list[str]:
     out = []
     for c in features:
         out += [f"{c}[{i}]" for i in range(widths[c])] if c in widths else [c]
-    return out + [f"{c} is missing" for c in features if c not in widths] if flagged else out
+    return out + [f"{c} is missing" for c in features] if flagged else out
 
 
 def model_names(model: TrainedModel) -> list[str]:
@@ -119,8 +126,9 @@ def feature_array(df: DataFrame, features: Sequence[str], widths: dict[str, int]
                   invalid: str = "error", fill: dict[str, float] | None = None) -> Column:
     """All features of a row as one array of doubles.
 
-    ``invalid`` handles null and NaN: ``error`` stops the job, ``zero`` uses 0, ``flag`` uses ``fill`` and adds
-    a flag for each plain feature.  Pure column expressions, so it works on streams too.
+    ``invalid`` handles null and NaN: ``error`` stops the job, ``zero`` uses 0, ``flag`` uses ``fill`` (0 in arrays) and
+    adds a flag for each feature; that of an array says that it, or a value in it, is missing.  A null array is one
+    whose values are all missing; another length is an error.  Pure column expressions, so it works on streams too.
     """
     if invalid not in ("error", "zero", "flag"):
         raise ValueError(f"unknown policy {invalid!r}")
@@ -140,7 +148,8 @@ def feature_array(df: DataFrame, features: Sequence[str], widths: dict[str, int]
             if plain:
                 parts.append(F.array(*plain))
                 plain = []
-            values = F.transform(F.col(f"`{c}`"), cleaner(c))
+            gaps = F.array_repeat(F.lit(None).cast("double"), widths[c])
+            values = F.transform(F.coalesce(F.col(f"`{c}`").cast("array<double>"), gaps), cleaner(c))
             sized = F.when(F.size(values) == widths[c], values).otherwise(
                 F.raise_error(F.lit(f"feature {c} must have {widths[c]} values")).cast("array<double>"))
             parts.append(sized)
@@ -149,9 +158,9 @@ def feature_array(df: DataFrame, features: Sequence[str], widths: dict[str, int]
         else:
             plain.append(F.lit(0.0))
     if invalid == "flag":
-        present = lambda c: F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
-        plain += [F.when(present(c), 0.0).otherwise(1.0) if c in df.columns else F.lit(1.0)
-                  for c in features if c not in widths]
+        present = lambda value: value.isNotNull() & ~F.isnan(value.cast("double"))
+        whole = lambda c: F.forall(F.col(f"`{c}`"), present) if c in widths else present(F.col(f"`{c}`"))
+        plain += [F.when(whole(c), 0.0).otherwise(1.0) if c in df.columns else F.lit(1.0) for c in features]
     if plain:
         parts.append(F.array(*plain))
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -351,3 +351,27 @@ def test_gaps_are_flagged(spark):
     assert MO.predict(model, rows).where("prediction <> y").count() == 0
     with pytest.raises(Exception):
         TR.train_boosted(rows, "y", features=["x"], n_estimators=1, max_depth=2)
+
+
+def test_array_features_with_gaps(spark):
+    rows = [(i, None if i % 5 == 0 else [float(i % 2), None if i % 7 == 0 else 1.0], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "x int, v array<double>, y int")  # the first array is null
+    train = lambda d, **k: TR.train_random_forest(d, "y", features=["v", "x"], n_estimators=3, max_depth=3, **k)
+    with pytest.raises(Exception, match="v is null or NaN"):
+        train(df)
+    for missing, names in (("zero", ["v[0]", "v[1]", "x"]),
+                           ("flag", ["v[0]", "v[1]", "x", "v is missing", "x is missing"])):
+        model = train(df, missing=missing)
+        assert model.widths == {"v": 2} and MO.model_names(model) == names
+        got = df.select("x", MO.model_array(df, model).alias("a")).orderBy("x").limit(8).collect()
+        want = {0: [0.0, 0.0, 0.0], 1: [1.0, 1.0, 1.0], 7: [1.0, 0.0, 7.0]}
+        flags = {0: [1.0, 0.0], 1: [0.0, 0.0], 7: [1.0, 0.0]} if missing == "flag" else {}
+        assert all(got[i].a == want[i] + flags.get(i, []) for i in want)
+        scored = MO.predict_with_confidence(model, df, keep=["x"])
+        assert scored.count() == 200
+    with pytest.raises(ValueError, match="arrays of 1 to 2"):
+        train(df.unionByName(spark.createDataFrame([(1, [1.0], 0)], df.schema)), missing="zero")
+    with pytest.raises(ValueError, match="null in all rows"):
+        train(df.where("x % 5 = 0"), missing="zero")
+    with pytest.raises(ValueError, match="no rows"):
+        MO.array_widths(df.limit(0), ["v"])
