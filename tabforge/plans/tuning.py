@@ -91,7 +91,8 @@ def tune(df: DataFrame, target: str | None = None, *, plugin: str = "xgboost",
 
         def value(job: tuple[int, object]) -> float:
             trial, fold = job
-            fitted = estimator.fit(rows.where(F.col(_FOLD) != fold), grid[trial])
+            # A copy leaves the summary behind: it holds the session, which no task takes once a write was observed.
+            fitted = estimator.fit(rows.where(F.col(_FOLD) != fold), grid[trial]).copy()
             return float(evaluator.evaluate(fitted.transform(rows.where(F.col(_FOLD) == fold))))
 
         jobs = [(i, fold) for i in range(len(settings)) for fold in sizes]

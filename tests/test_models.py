@@ -375,3 +375,11 @@ def test_array_features_with_gaps(spark):
         train(df.where("x % 5 = 0"), missing="zero")
     with pytest.raises(ValueError, match="no rows"):
         MO.array_widths(df.limit(0), ["v"])
+
+
+def test_search_after_an_observed_write(spark, tmp_path):
+    FeatureSets(spark, str(tmp_path)).save(spark.range(3), "seen")
+    df = spark.range(60).selectExpr("id AS x", "cast(id % 2 AS int) AS y")
+    found = tune(df, "y", plugin="random_forest", features=["x"], cv=2,
+                 settings=[{"n_estimators": 2, "max_depth": 2, "min_instances": 1}])
+    assert found.trials.count() == 1
