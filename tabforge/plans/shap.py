@@ -154,9 +154,14 @@ def _prediction(node) -> np.ndarray:
     return np.array([node.prediction])
 
 
+def _weight(node, by_class: bool) -> float:
+    """Training rows of a node: equal rows may be one weighted row, of which ``rawCount`` knows nothing."""
+    return float(sum(node.impurityStats) if by_class else node.impurityStats[0])
+
+
 def _walk(nodes: dict[int, object], value) -> Iterable[Leaf]:
     """Leaves with the splits of their paths merged per feature."""
-    pending = [(0, {})]
+    pending, by_class = [(0, {})], value is _class_share
     while pending:
         node_id, path = pending.pop()
         node = nodes[node_id]
@@ -168,6 +173,6 @@ def _walk(nodes: dict[int, object], value) -> Iterable[Leaf]:
         feature, bound = node.split.featureIndex, node.split.leftCategoriesOrThreshold[0]
         for child, left in ((node.leftChild, True), (node.rightChild, False)):
             lo, hi, share = path.get(feature, (-np.inf, np.inf, 1.0))
-            part = nodes[child].rawCount / node.rawCount
+            part = _weight(nodes[child], by_class) / _weight(node, by_class)
             lo, hi = (lo, min(hi, bound)) if left else (max(lo, bound), hi)
             pending.append((child, {**path, feature: (lo, hi, share * part)}))

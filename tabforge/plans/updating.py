@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tabforge.functions.workspace import cut_lineage
-from tabforge.plans.models import FEATURES, LABEL, TrainedModel, design, load_model, model_dir, save_model
+from tabforge.plans.models import FEATURES, LABEL, ROWS, TrainedModel, grouped_design, load_model, model_dir, save_model
 from tabforge.plans.training import BOOSTING_PRESETS, fit_forest
 
 _MARGIN, _RESIDUAL, _STEP = "__margin", "__residual", "__step"
@@ -39,7 +39,7 @@ def update_boosted(model: TrainedModel, df: DataFrame, n_estimators: int = 50,
     """Boosting rounds on the new rows, starting from the old model's margins."""
     _check_features(model, df)
     rate = learning_rate or model.params["learning_rate"]
-    rows = design(df, model).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = grouped_design(df, model)
     try:
         if model.combine == "one_vs_rest":
             members = [
@@ -87,18 +87,18 @@ def _boost(base, rows: DataFrame, model: TrainedModel, rounds: int, rate: float,
     else:
         scored = base.transform(rows, {base.predictionCol: _STEP})
         start = F.col(_STEP)
-    state = scored.select(FEATURES, LABEL, start.alias(_MARGIN)).persist(StorageLevel.MEMORY_AND_DISK)
+    state = scored.select(FEATURES, LABEL, ROWS, start.alias(_MARGIN)).persist(StorageLevel.MEMORY_AND_DISK)
     trees = []
     for i in range(rounds):
-        learner = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=_RESIDUAL,
+        learner = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=_RESIDUAL, weightCol=ROWS,
                                         maxDepth=model.params["max_depth"],
                                         seed=model.params["seed"] + i + 1)
-        tree = learner.fit(state.select(FEATURES, _gradient(classify).alias(_RESIDUAL)))
+        tree = learner.fit(state.select(FEATURES, ROWS, _gradient(classify).alias(_RESIDUAL)))
         trees.append(tree)
         if i + 1 == rounds:
             break
         moved = tree.transform(state, {tree.predictionCol: _STEP}).select(
-            FEATURES, LABEL, (F.col(_MARGIN) + rate * F.col(_STEP)).alias(_MARGIN))
+            FEATURES, LABEL, ROWS, (F.col(_MARGIN) + rate * F.col(_STEP)).alias(_MARGIN))
         moved = cut_lineage(moved) if (i + 1) % every == 0 else moved.persist(StorageLevel.MEMORY_AND_DISK)
         moved.count()
         state.unpersist()

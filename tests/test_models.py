@@ -383,3 +383,52 @@ def test_search_after_an_observed_write(spark, tmp_path):
     found = tune(df, "y", plugin="random_forest", features=["x"], cv=2,
                  settings=[{"n_estimators": 2, "max_depth": 2, "min_instances": 1}])
     assert found.trials.count() == 1
+
+
+# --- equal rows are one weighted row ---
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """16 different rows, 3 times each, and the same 3000 times each."""
+    few = spark.range(48).selectExpr("id % 4 AS a", "int(id / 4) % 4 AS b").selectExpr("*", "10.0 * a + b AS number", "a > 1 AND b > 1 AS kind")
+    few = few.withColumn("kind", F.col("kind").cast("int")).checkpoint()
+    return few, few.crossJoin(spark.range(1000).select()).checkpoint()
+
+
+@pytest.mark.parametrize("train, rows_a_group", [
+    (lambda df: TR.train_boosted(df, "number", features=["a", "b"], n_estimators=3, max_depth=3), 1),
+    (lambda df: TR.train_random_forest(df, "number", features=["a", "b"], n_estimators=3, max_depth=4, featureSubsetStrategy="all"), MO.PIECES)])
+def test_trees_are_fitted_to_counted_rows(repeated, monkeypatch, train, rows_a_group):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    seen = []
+    for kind in (GBTRegressor, RandomForestRegressor):
+        fit = kind._fit
+        monkeypatch.setattr(kind, "_fit", lambda self, rows, fit=fit: seen.append((rows.count(), rows.agg(F.sum("__rows")).first()[0])) or fit(self, rows))
+    few, many = repeated
+    a, b = train(few), train(many)
+    assert seen[0][1] == 48 and seen[1] == (16 * rows_a_group, pytest.approx(48000))
+    if rows_a_group == 1:
+        assert rows(MO.predict(a, few)) == rows(MO.predict(b, few))
+
+
+def test_shares_curves_and_updates_count_rows(spark, repeated):
+    few, many = repeated
+    lopsided = few.unionByName(many.where("a = 0"))
+    model = TR.train_boosted(lopsided, "number", features=["a", "b"], n_estimators=2, max_depth=2)
+    first = model_leaves(spark, model)
+    # Of 12048 rows, 12012 have a = 0; a leaf that a splits off has their share.
+    shares = [dict(zip(feats, share)).get(0, 1.0) for _, feats, _, _, share in first]
+    assert max(s for s in shares if s < 1) == pytest.approx(12012 / 12048, abs=0.01)
+    curve = [r.loss for r in MO.round_curve(model, lopsided).orderBy("round").collect()]
+    gap = MO.predict(model, lopsided).agg(F.avg((F.col("number") - F.col("prediction")) ** 2)).first()[0]
+    assert curve[-1] == pytest.approx(gap)
+    base = TR.train_boosted(few, "number", features=["a", "b"], n_estimators=1, max_depth=2)
+    found = [[r.prediction for r in MO.predict(UP.update_boosted(base, df, 2), few).orderBy("a", "b").collect()] for df in repeated]
+    assert found[0] == pytest.approx(found[1])
+
+
+def test_folds_deal_the_rows_of_a_group(repeated):
+    found = tune(repeated[1], "kind", plugin="xgboost", features=["a", "b"], cv=3, settings=[{"n_estimators": 1, "max_depth": 2}])
+    assert [r.held_out for r in found.folds.collect()] == [16000] * 3
+    assert found.best_value == pytest.approx(1.0)
