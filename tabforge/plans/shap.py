@@ -1,6 +1,6 @@
 """Mean absolute Shapley values of tree models, over all given rows.
 
-The trees are read as tables; each task scores its rows against every leaf.
+The trees are read as tables; each task scores its rows against every leaf, equal rows once.
 For a leaf, a feature takes part through the share of training rows that pass
 its splits (feature unknown) or through whether the row passes them (known).
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions.workspace import scratch_path
-from tabforge.plans.models import TrainedModel, model_array, model_names
+from tabforge.plans.models import ROWS, TrainedModel, grouped, model_array, model_names
 
 # A leaf as (value per output, features, lower bounds, upper bounds, shares).
 Leaf = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -38,12 +38,15 @@ def shap_importance(model: TrainedModel, df: DataFrame) -> DataFrame:
         groups = None
         for b in batches:
             groups = packed(leaves.value) if groups is None else groups
-            x = np.array(b["x"].tolist(), float).reshape(len(b), width)
+            x, n = np.array(b["x"].tolist(), float).reshape(len(b), width), b["n"].to_numpy()
             phi = contributions(leaves.value, x, groups)
-            yield pd.DataFrame([[len(b), *np.abs(phi).mean(axis=2).sum(axis=0)]],
+            yield pd.DataFrame([[n.sum(), *(np.abs(phi).mean(axis=2) * n[:, None]).sum(axis=0)]],
                                columns=["n", *[f"s{i}" for i in range(width)]])
 
-    rows = df.select(model_array(df, model).alias("x"))
+    # Equal rows have equal values, so each is explained once.  A fixed number of partitions: rows are small, but dear.
+    rows = grouped(df, model.features)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select(model_array(rows, model).alias("x"), F.col(ROWS).alias("n")).repartition(parts)
     sums = rows.mapInPandas(explain, "n bigint, " + ", ".join(f"s{i} double" for i in range(width)))
     one = sums.agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(f"s{i}") for i in range(width)])
     return one.select(F.inline(F.array(*[
