@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabforge.operators.metrics import evaluate
 from tabforge.operators.profile import REGRESSION
 from tabforge.operators.rows import with_row_index
-from tabforge.plans.models import FEATURES, SCORES, TrainedModel, add_scores, model_array, model_names
+from tabforge.plans.models import FEATURES, ROWS, SCORES, TrainedModel, add_scores, model_array, model_names
 
 
 def exchange(n: int, seed: int) -> tuple[int, int]:
@@ -36,8 +36,7 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
 
     Rows are numbered in the order of a hash of their values, and each takes the values of the row whose number a
     permutation keyed by ``seed`` gives, so the result depends on the rows alone, not on their partitions.  The unchanged row and one
-    variant per feature are then scored side by side and reduced to metrics; variants never leave the scan
-    side of that aggregate.
+    variant per feature are then counted side by side, so that equal ones are scored once, and reduced to metrics.
     """
     names = model_names(model)
     base = df.where(F.col(f"`{model.target}`").isNotNull()).select(F.col(f"`{model.target}`").alias("__y"), model_array(df, model).alias("__x"))
@@ -52,15 +51,15 @@ def permutation_importance(model: TrainedModel, df: DataFrame, *, seed: int = 42
     swapped = F.when(F.col("feature") < 0, F.col("__x")).otherwise(F.concat(
         F.slice("__x", F.lit(1), F.col("feature")), F.slice("__other", F.col("feature") + 1, F.lit(1)),
         F.slice("__x", F.col("feature") + 2, F.size("__x"))))
-    rows = rows.select("__y", "feature", array_to_vector(swapped).alias(FEATURES))
-    scored = add_scores(model, rows)
+    rows = rows.select("__y", "feature", swapped.alias("__x")).groupBy("__y", "feature", "__x").agg(F.count("*").alias(ROWS))
+    scored = add_scores(model, rows.select("__y", "feature", ROWS, array_to_vector("__x").alias(FEATURES)))
     metric = "rmse" if model.task == REGRESSION else "f1"
     if model.task == REGRESSION:
         scored = scored.withColumn("__p", F.col(SCORES)[0])
     else:
         best = F.array_position(SCORES, F.array_max(SCORES)).cast("int")
         scored = scored.withColumn("__p", F.element_at(F.array(*[F.lit(v) for v in model.labels]), best))
-    values = evaluate(scored, "__y", "__p", model.task, pos_label=model.pos_label, by=("feature",))
+    values = evaluate(scored, "__y", "__p", model.task, pos_label=model.pos_label, by=("feature",), count=ROWS)
     # One value per feature: as many as the model is wide.
     found = {r.feature: r.value for r in values.where(F.col("metric") == metric).collect()}
     sign = -1.0 if metric == "rmse" else 1.0
