@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, Transformer
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed
@@ -43,10 +43,10 @@ class RandomCosines(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPara
 
         @F.pandas_udf("array<double>")
         def cosines(rows: pd.Series) -> pd.Series:
-            out = [None] * len(rows)
-            for width in {len(r) for r in rows if r is not None}:
-                at = [i for i, r in enumerate(rows) if r is not None and len(r) == width]
-                matrix = np.stack([rows.iloc[i] for i in at])
+            given, out = rows.tolist(), [None] * len(rows)
+            for width in {len(r) for r in given if r is not None}:
+                at = [i for i, r in enumerate(given) if r is not None and len(r) == width]
+                matrix = np.stack([given[i] for i in at])
                 turn, phase = directions(width, count, spread / np.sqrt(max(1, width)), seed)
                 for i, r in zip(at, np.hstack([matrix, np.cos(matrix @ turn + phase)])):
                     out[i] = r
@@ -56,10 +56,15 @@ class RandomCosines(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultPara
         return dataset.withColumn(self.getOutputCol(), found)
 
 
-def cosine_regression(features: str, label: str, *, count: int = 256, spread: float = 1.0, ridge: float = 1e-6, seed: int = 42) -> Pipeline:
-    """Scaled features, random cosines, and ridge regression by normal equations: one aggregate over the rows."""
+def cosine_regression(features: str, label: str, *, count: int = 256, spread: float = 1.0, ridge: float = 1e-6, seed: int = 42,
+                      scaler: StandardScalerModel | None = None, weight: str | None = None) -> Pipeline:
+    """Scaled features, random cosines, and ridge regression by normal equations: one aggregate over the rows.
+
+    Rows may be weighted; a scaler takes no weights, so it is then given as fitted to the rows themselves.
+    """
     scaled, mapped = "__scaled", "__cosines"
     return Pipeline(stages=[
-        StandardScaler(inputCol=features, outputCol=scaled, withMean=True),
+        scaler.setOutputCol(scaled) if scaler else StandardScaler(inputCol=features, outputCol=scaled, withMean=True),
         RandomCosines(inputCol=scaled, outputCol=mapped, count=count, spread=spread, seed=seed),
-        LinearRegression(featuresCol=mapped, labelCol=label, solver="normal", regParam=ridge, standardization=False)])
+        LinearRegression(featuresCol=mapped, labelCol=label, solver="normal", regParam=ridge, standardization=False,
+                         **({"weightCol": weight} if weight else {}))])

@@ -432,3 +432,23 @@ def test_folds_deal_the_rows_of_a_group(repeated):
     found = tune(repeated[1], "kind", plugin="xgboost", features=["a", "b"], cv=3, settings=[{"n_estimators": 1, "max_depth": 2}])
     assert [r.held_out for r in found.folds.collect()] == [16000] * 3
     assert found.best_value == pytest.approx(1.0)
+
+
+def test_equal_rows_are_explained_scored_and_mapped_once(spark, repeated, monkeypatch):
+    import tabforge.plans.importance as IM
+    from pyspark.ml.regression import LinearRegression
+
+    few, many = repeated
+    model = TR.train_random_forest(few, "kind", features=["a", "b"], n_estimators=3, max_depth=4)
+    assert [r.score for r in shap_importance(model, many).orderBy("feature").collect()] == pytest.approx(
+        [r.score for r in shap_importance(model, few).orderBy("feature").collect()])
+    scored, add = [], IM.add_scores
+    monkeypatch.setattr(IM, "add_scores", lambda model, rows: scored.append(rows.count()) or add(model, rows))
+    IM.permutation_importance(model, many)
+    assert scored[0] <= 16 + 2 * 32
+    seen, fit = [], LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    nets = [TR.train_mlp(df, "number", features=["a", "b"], task="regression") for df in repeated]
+    assert seen == [16, 16]
+    out = [[r.prediction for r in MO.predict(net, few).orderBy("a", "b").collect()] for net in nets]
+    assert out[0] == pytest.approx(out[1], abs=0.05)
