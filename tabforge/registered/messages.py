@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,8 +122,8 @@ def extract_documents(spark, sf_dir):
     return rows.select(_doc_id(), "page", "total_pages", "char_count", "text", "label")
 
 
-@F.pandas_udf(T.BinaryType())
-def docx_bytes(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def docx_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Word files with one paragraph per line."""
     head = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
 
@@ -135,7 +136,8 @@ def docx_bytes(text: pd.Series) -> pd.Series:
             z.writestr("word/document.xml", f"{head}{body}</w:body></w:document>")
         return out.getvalue()
 
-    return text.map(build)
+    for (text,) in D.parts((text,) for text in batches):
+        yield pa.array([build(t.as_py()) for t in text], pa.binary())
 
 
 _PARAGRAPHS = "trim(array_to_string([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''], chr(10)))"

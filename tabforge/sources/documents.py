@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ from tabforge.functions.workspace import spread
 TEXT_SUFFIXES = (".txt", ".md", ".rst")
 BINARY_SUFFIXES = (".pdf", ".docx", ".doc")
 PAGES = "array<struct<page: int, total_pages: int, text: string, char_count: bigint>>"
+_PAGES = pa.list_(pa.struct([("page", pa.int32()), ("total_pages", pa.int32()), ("text", pa.string()), ("char_count", pa.int64())]))
+#: Bytes of files that a worker parses at once, unless one file is larger.
+PART_BYTES = 1 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 # An extractor returns the pages of one file as (page number, total pages, text).
@@ -91,20 +94,33 @@ def _parser(extractors: Mapping[str, Extractor] | None):
     known: dict[str, Extractor] = {".pdf": pdf_pages, ".docx": docx_pages, ".doc": docx_pages}
     known.update(extractors or {})
 
-    def pages(blob: bytes, suffix: str) -> list[tuple[int, int, str, int]]:
+    def row(*values) -> dict:
+        return dict(zip(("page", "total_pages", "text", "char_count"), values))
+
+    def pages(blob: bytes, suffix: str) -> list[dict]:
         try:
             stripped = [(page, total, text.strip()) for page, total, text in known[suffix](bytes(blob))]
-            return [(page, total, text, len(text)) for page, total, text in stripped if text]
+            return [row(page, total, text, len(text)) for page, total, text in stripped if text]
         except Exception as error:  # one bad file must not stop the job
-            return [(1, 1, f"[ERROR: {error}]", 0)]
+            return [row(1, 1, f"[ERROR: {error}]", 0)]
 
-    @F.pandas_udf(PAGES)
-    def parse(content: pd.Series, suffix: pd.Series) -> pd.Series:
-        return pd.Series([pages(c, s) if s in known else [] for c, s in zip(content, suffix)], dtype=object)
+    @F.arrow_udf(PAGES)
+    def parse(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for content, suffix in parts(batches):
+            yield pa.array([pages(c.as_py(), s.as_py()) if s.as_py() in known else [] for c, s in zip(content, suffix)], _PAGES)
 
     return parse
 
 
+def parts(batches: Iterable[tuple[pa.Array, ...]]) -> Iterator[list[pa.Array]]:
+    """The same rows in parts of about ``PART_BYTES``, so that a worker makes objects and results of a few files at a time."""
+    for batch in batches:
+        n = len(batch[0])
+        step = max(1, PART_BYTES * n // max(1, sum(a.nbytes for a in batch)))
+        for at in range(0, n, step):
+            yield [a.slice(at, step) for a in batch]
+
+
 def docx_pages(blob: bytes) -> list[tuple[int, int, str]]:
     """Non-blank paragraphs of the document body, one per line."""
     with zipfile.ZipFile(io.BytesIO(blob)) as archive:
