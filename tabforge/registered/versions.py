@@ -110,10 +110,15 @@ def _order_versions(spark, sf_dir):
 _LINES = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem"
 
 
+#: Rows of a file; a table of a few rows still gets several files.
+FILE_ROWS = 1_000_000
+
+
 def saved_lines(spark, sf_dir) -> str:
     """Path of a version with several files and row groups."""
     sets = FeatureSets(spark, scratch_path(spark, "sets"))
-    sets.save(table(spark, sf_dir, "lineitem").repartition(4, "l_orderkey"), "lines")
+    lines = table(spark, sf_dir, "lineitem")
+    sets.save(lines.repartition(max(4, -(-lines.count() // FILE_ROWS)), "l_orderkey"), "lines")
     register(spark)
     return sets.info("lines").first().data_path
 
