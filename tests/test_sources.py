@@ -464,3 +464,27 @@ def test_json_with_comments_before_and_after(spark, tmp_path):
     (tmp_path / "u.json").write_text('// head\n[\n{"k": 3}, // {\n{"k": 4}\n]\n// tail\n')
     got = files.read_json(spark, f"{tmp_path}/*.json", allowComments=True)
     assert sorted(r.k for r in got.where("k is not null").collect()) == [1, 2, 3, 4]
+
+
+def test_files_are_parsed_in_parts_of_bounded_size(spark):
+    import pyarrow as pa
+    from tabforge.sources import documents as D
+
+    content, suffix = pa.array([b"x" * 1000] * 5000 + [None] + [b"y" * (3 << 20)]), pa.array([".docx"] * 5002)
+    found = list(D.parts([(content, suffix), (content.slice(0, 0), suffix.slice(0, 0))]))
+    assert max(len(c) for c, _ in found) <= 5002 * D.PART_BYTES // content.nbytes
+    assert [v for c, _ in found for v in c.to_pylist()] == content.to_pylist()
+    # More rows than a part has, in one batch; each keeps its own result.
+    words = spark.range(900).coalesce(1).selectExpr("id", "concat('file:/d/', id, '.docx') AS path", "repeat(concat(id, ' '), 1000) AS text")
+    from tabforge.registered.messages import docx_bytes
+    got = D.parse_documents(words.select("path", docx_bytes("text").alias("content"))).collect()
+    assert {r.filename: r.text for r in got} == {f"{i}.docx": " ".join([str(i)] * 1000) for i in range(900)}
+
+
+def test_a_saved_version_has_files_by_its_rows(spark, sf_dir, monkeypatch):
+    from tabforge.registered import versions as V
+
+    monkeypatch.setattr(V, "FILE_ROWS", 500, raising=False)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    files = [f for f in spark.read.parquet(V.saved_lines(spark, sf_dir)).inputFiles()]
+    assert len(files) >= n // 500
