@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -207,13 +207,18 @@ def train_text(df: DataFrame, target: str | None = None, *, text: str | None = N
         plugin="lora_text", task=BINARY if len(labels) == 2 else MULTICLASS, target=target,
         features=[text], members=[], labels=labels, kind="text",
         params={"n_features": n_features, "epochs": epochs, "reg": reg})
-    stages = [
+    terms = PipelineModel([
         RegexTokenizer(inputCol=FEATURES, outputCol="__tokens", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=n_features),
+        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=n_features)])
+    weights = Pipeline(stages=[
         IDF(inputCol="__tf", outputCol="__tfidf", minDocFreq=min_doc_freq),
-        LogisticRegression(featuresCol="__tfidf", labelCol=LABEL, maxIter=epochs, regParam=reg),
-    ]
-    model.members.append(Pipeline(stages=stages).fit(design(df, model)))
+        LogisticRegression(featuresCol="__tfidf", labelCol=LABEL, maxIter=epochs, regParam=reg)])
+    # Several passes read the terms; texts are split into words once.
+    rows = terms.transform(design(df, model)).select("__tf", LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model.members.append(PipelineModel([*terms.stages, *weights.fit(rows).stages]))
+    finally:
+        rows.unpersist()
     return model
 
 

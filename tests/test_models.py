@@ -452,3 +452,14 @@ def test_equal_rows_are_explained_scored_and_mapped_once(spark, repeated, monkey
     assert seen == [16, 16]
     out = [[r.prediction for r in MO.predict(net, few).orderBy("a", "b").collect()] for net in nets]
     assert out[0] == pytest.approx(out[1], abs=0.05)
+
+
+def test_terms_of_texts_are_kept_for_all_passes(spark, monkeypatch):
+    from pyspark.ml.feature import IDF
+
+    seen, fit = [], IDF._fit
+    monkeypatch.setattr(IDF, "_fit", lambda self, rows: seen.append((rows.storageLevel.useMemory, rows.columns)) or fit(self, rows))
+    docs = spark.range(40).selectExpr("if(id % 2 = 0, 'good fine film', 'bad dull film') AS review", "id % 2 AS y")
+    model = TR.train_text(docs, "y", text="review", epochs=5)
+    assert seen == [(True, ["__tf", "__label"])]
+    assert values(MO.evaluate_model(model, docs))["accuracy"] == 1.0
