@@ -337,9 +337,14 @@ def importance_frame(spark: SparkSession, importance: dict[str, float]) -> DataF
 
 
 def evaluate_model(model: TrainedModel, df: DataFrame) -> DataFrame:
-    """Metrics of the model on a table that has its trained target column."""
-    return evaluate(predict(model, df, output="__prediction"), model.target, "__prediction",
-                    model.task, pos_label=model.pos_label)
+    """Metrics of the model on a table that has its trained target column.
+
+    Equal rows are scored once and counted, unless their input is a text or holds arrays, which hardly repeat.
+    """
+    count = None if model.kind == "text" or model.widths else ROWS
+    rows = grouped(df, [*model.features, model.target]) if count else df
+    return evaluate(predict(model, rows, output="__prediction"), model.target, "__prediction",
+                    model.task, pos_label=model.pos_label, count=count)
 
 
 def training_log(spark: SparkSession, model: TrainedModel) -> DataFrame:

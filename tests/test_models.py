@@ -463,3 +463,17 @@ def test_terms_of_texts_are_kept_for_all_passes(spark, monkeypatch):
     model = TR.train_text(docs, "y", text="review", epochs=5)
     assert seen == [(True, ["__tf", "__label"])]
     assert values(MO.evaluate_model(model, docs))["accuracy"] == 1.0
+
+
+@pytest.mark.parametrize("label", ["kind", "number", "band"])
+def test_equal_rows_are_scored_once_in_evaluation(repeated, monkeypatch, label):
+    from tabforge.operators.metrics import evaluate
+
+    few, many = [df.withColumn("band", F.when(F.col("a") > 2, "old").when(F.col("b") > 2, "mid").otherwise("young")) for df in repeated]
+    model = TR.train_boosted(few.where("b <> 1"), label, features=["a", "b"], n_estimators=2, max_depth=1)
+    lopsided = few.unionByName(many.where("a = 0")).unionByName(few.withColumn(label, F.lit(None).cast(few.schema[label].dataType)))
+    whole = values(evaluate(MO.predict(model, lopsided, output="__p"), label, "__p", model.task, pos_label=model.pos_label))
+    scored, add = [], MO.add_scores
+    monkeypatch.setattr(MO, "add_scores", lambda model, rows: scored.append(rows.where(F.col(label).isNotNull()).count()) or add(model, rows))
+    found = values(MO.evaluate_model(model, lopsided))
+    assert scored == [16] and found == pytest.approx(whole) and len(found) == 2
