@@ -477,3 +477,22 @@ def test_equal_rows_are_scored_once_in_evaluation(repeated, monkeypatch, label):
     monkeypatch.setattr(MO, "add_scores", lambda model, rows: scored.append(rows.where(F.col(label).isNotNull()).count()) or add(model, rows))
     found = values(MO.evaluate_model(model, lopsided))
     assert scored == [16] and found == pytest.approx(whole) and len(found) == 2
+
+
+@pytest.mark.parametrize("train", [
+    lambda df: TR.train_boosted(df, "kind", features=["a", "b"], n_estimators=2, max_depth=2),
+    lambda df: TR.train_random_forest(df, "kind", n_estimators=2, max_depth=2, featureSubsetStrategy="all")])
+def test_task_and_classes_are_found_from_counted_rows(repeated, monkeypatch, train):
+    from pyspark.ml.classification import GBTClassifier
+
+    seen, fitted, fit = [], [], GBTClassifier._fit
+    for name in ("detect_task_type", "class_labels"):
+        find = getattr(TR, name)
+        monkeypatch.setattr(TR, name, lambda df, target, find=find: seen.append(df.count()) or find(df, target))
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, rows: fitted.append((rows.count(), rows.agg(F.sum("__rows")).first()[0])) or fit(self, rows))
+    many = repeated[1].drop("number")
+    model = train(many.unionByName(many.limit(5).withColumn("kind", F.lit(None).cast("int"))).select("a", "b", "kind"))
+    assert seen[0] == seen[1] and 16 < seen[0] <= 21
+    assert (model.task, model.labels, model.features) == ("binary_classification", [0, 1], ["a", "b"])
+    assert fitted == ([(16, 48000)] if model.plugin == "xgboost" else [])
+    assert values(MO.evaluate_model(model, many))["accuracy"] == 1.0
