@@ -20,7 +20,7 @@ def lines(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name, kind", [("train_gbt_classify", GBTClassifier)])
+@pytest.mark.parametrize("name, kind", [("train_gbt_classify", GBTClassifier), ("train_gbt_regress", GBTRegressor)])
 def test_training_does_all_rounds_of_the_preset(spark, lines, monkeypatch, name, kind):
     seen, fit = [], kind._fit
     monkeypatch.setattr(kind, "_fit", lambda self, rows: seen.append((self.getMaxIter(), self.getStepSize(), self.getMaxDepth())) or fit(
