@@ -177,9 +177,10 @@ def updated_forest(spark, sf_dir):
 
 @query("update_boosted")
 def updated_boosted(spark, sf_dir):
+    """All rounds of the preset, and then as many as an update adds."""
     train, test = hold_out(labelled_lines(spark, sf_dir, "binary"), "l_orderkey", 0.5)
-    model = TR.train_boosted(train, "outcome", features=FEATURES, n_estimators=3, max_depth=3)
-    newer = update_boosted(model, test, n_estimators=3, checkpoint_every=2)
+    model = TR.train_boosted(train, "outcome", features=FEATURES)
+    newer = update_boosted(model, test)
     return report(newer, train, {"accuracy": 0.9, "f1": 0.8}).select(
         "model", F.lit(model.n_trees).alias("rounds_before"), F.lit(newer.n_trees).alias("rounds_after"),
         "metric", "value")

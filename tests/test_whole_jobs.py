@@ -28,3 +28,11 @@ def test_training_does_all_rounds_of_the_preset(spark, lines, monkeypatch, name,
     assert QUERIES[name](spark, lines).count() == 2
     whole = BOOSTING_PRESETS["xgboost"]
     assert seen == [(whole["n_estimators"], whole["learning_rate"], whole["max_depth"])] == [(100, 0.1, 6)]
+
+
+def test_an_update_adds_all_its_rounds_to_a_whole_model(spark, lines, monkeypatch):
+    # Rounds are counted here; shallow trees will do for the first model.
+    seen, fit = [], GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, rows: seen.append(self.getMaxDepth()) or fit(self.copy({self.maxDepth: 1}), rows))
+    found = QUERIES["update_boosted"](spark, lines).collect()
+    assert seen == [6] and {(r.rounds_before, r.rounds_after) for r in found} == {(100, 150)}
