@@ -3,6 +3,7 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -225,6 +226,15 @@ def test_mlp_text_and_training_log(spark, people):
     assert values(MO.evaluate_model(text, reviews))["accuracy"] == 1.0
 
 
+def test_scoring_leaves_summaries_behind_and_the_log_keeps_them(spark, tmp_path):
+    docs = spark.range(40).selectExpr("if(id % 2 = 0, 'good fine film', 'bad dull film') AS review", "id % 2 AS y")
+    # A session that observed a write is not serializable.
+    docs.observe(Observation("seen"), F.count("*").alias("n")).write.parquet(f"file://{tmp_path}/seen")
+    model = TR.train_text(docs, "y", text="review", epochs=5)
+    assert values(MO.evaluate_model(model, docs))["accuracy"] == 1.0
+    assert MO.training_log(spark, model).count() > 0
+
+
 def test_image_resize():
     flat = TR.resize(np.full((4, 6, 3), 9, np.uint8), 3)
     assert flat.shape == (3, 3, 3) and np.allclose(flat, 9)
