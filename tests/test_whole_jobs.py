@@ -85,6 +85,6 @@ def test_trees_of_a_large_forest_are_grown_some_at_a_time_and_all_vote(spark, mo
         total = [None] * len(held)
         for trees, _, model in seen[3 * k:3 * k + 3]:
             out = vector_to_array("rawPrediction") if classes else F.array(F.col("prediction") * trees)
-            for r in model.transform(rows).select("i", out.alias("v")).collect():
+            for r in model.copy().transform(rows).select("i", out.alias("v")).collect():
                 total[r.i] = r.v if total[r.i] is None else [x + y for x, y in zip(total[r.i], r.v)]
         assert [r.prediction for r in held] == pytest.approx([float(v.index(max(v))) if classes else v[0] / 5 for v in total])
